@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, mixing, sharding
+from . import decontaminate, exactdedup, langid, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,28 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_table(_table(spark, sf_dir, "documents"))
+
+
 def op10_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup_table(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree_shards, op3_poisson_mix, op10_fuse_exact_dedup)
+    f.__name__: f for f in (op1_hash_tree_shards, op3_poisson_mix, op5_bitmask_language, op7_wu_manber_decontamination, op8_anchor_simhash, op10_fuse_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op3_poisson_mix": mixing.MIX_ORACLE,
+    "op7_wu_manber_decontamination": decontaminate.DECONTAMINATE_ORACLE,
     "op10_fuse_exact_dedup": exactdedup.DEDUP_ORACLE,
 }
