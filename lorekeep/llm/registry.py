@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exactdedup, langid, mixing, sharding, simhash
+from . import decontaminate, exactdedup, langid, mixing, pii, sharding, simhash, token_codec, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +17,26 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"))
 
 
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op4_context_mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codec.token_table(_table(spark, sf_dir, "documents"))
+
+
 def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_table(_table(spark, sf_dir, "documents"))
+
+
 def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,16 +45,33 @@ def op8_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_redirect_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_table(_table(spark, sf_dir, "pages"))
+
+
 def op10_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup_table(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree_shards, op3_poisson_mix, op5_bitmask_language, op7_wu_manber_decontamination, op8_anchor_simhash, op10_fuse_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_hash_tree_shards,
+        op2_crf_toxicity,
+        op3_poisson_mix,
+        op4_context_mixing_tokens,
+        op5_bitmask_language,
+        op6_disclosure_pii,
+        op7_wu_manber_decontamination,
+        op8_anchor_simhash,
+        op9_redirect_urls,
+        op10_fuse_exact_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
     "op3_poisson_mix": mixing.MIX_ORACLE,
     "op7_wu_manber_decontamination": decontaminate.DECONTAMINATE_ORACLE,
+    "op9_redirect_urls": urlfilter.URL_ORACLE,
     "op10_fuse_exact_dedup": exactdedup.DEDUP_ORACLE,
 }
