@@ -1,0 +1 @@
+"""An analytics engine for time-stamped, conversation-like records on Spark."""
