@@ -67,14 +67,14 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
     """
     added = ("rate", "n_copies", "copy_no", "mix_key")
     docs = docs.select(*[c for c in docs.columns if c not in added])
-    rates = written(rates.select(F.col("source").alias("_source"), "rate", "cdf"), "mix-rates")
-    rows, entries = rates.agg(F.count("*"), F.sum(F.size("cdf"))).first()
+    rates = written(rates.select(F.col("source").alias("_mix_source"), "rate", F.col("cdf").alias("_mix_cdf")), "mix-rates")
+    rows, entries = rates.agg(F.count("*"), F.sum(F.size("_mix_cdf"))).first()
     if small_enough(rows * 64 + (entries or 0) * 8, 1):
         rates = F.broadcast(rates)
     u = _draw(F.lit(seed), F.col("doc_id")) / F.lit(_UNIT)
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).drop("_source")
-    copies = F.size(F.filter("cdf", lambda c: c <= u)).cast("int")
-    out = joined.withColumn("n_copies", copies).drop("cdf").where("n_copies > 0")
+    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_mix_source"])).drop("_mix_source")
+    copies = F.size(F.filter("_mix_cdf", lambda c: c <= u)).cast("int")
+    out = joined.withColumn("n_copies", copies).drop("_mix_cdf").where("n_copies > 0")
     out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     return out.withColumn("mix_key", _draw(F.lit(seed), F.col("doc_id"), F.col("copy_no")))
 
