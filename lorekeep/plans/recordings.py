@@ -49,8 +49,8 @@ def noise_and_speech(spark, sf_dir):
 
 @query(None)
 def sentence_assignment(spark, sf_dir):
-    """Words of a user's day, three seconds apart at most in the recording's time, with their sentences."""
-    w = words(spark, sf_dir).selectExpr("concat(speaker, '/', sentence) as file", "id", "id % 2 as speaker", "end / 3600 as start", "end / 3600 + 0.2 as end", "if(id % 9 = 0, '.', '') as punct", "pitch")
+    """Words of a user with their sentences, an hour of the table taken as a second of the recording."""
+    w = words(spark, sf_dir).selectExpr("speaker as file", "id", "id % 2 as speaker", "end / 3600 as start", "end / 3600 + 0.2 as end", "if(id % 9 = 0, '.', '') as punct", "pitch")
     return S.sentences(w).select("file", "id", "sentence")
 
 
