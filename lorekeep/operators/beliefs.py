@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 HALF_LIFE_DAYS = 30.0
 RETURN_BONUS = 0.25
 WEIGHT_CEILING = 4.0
@@ -39,11 +41,7 @@ def current_versions(beliefs: DataFrame, replaces: DataFrame, most_rounds: int =
     time. In a cycle there is no newest: a pointer stops when it would come back to its start. Of several replacements the one
     with the smallest id counts.
     """
-    spark = beliefs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
+    with_checkpoints(beliefs.sparkSession)
     by = replaces.where("src_id != dst_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("src_id").alias("to"))
     at = beliefs.select("id").join(by, "id", "left").select("id", F.coalesce("to", "id").alias("to"), F.col("to").isNotNull().cast("long").alias("hops")).checkpoint()
     moving = at.where("hops > 0").count()

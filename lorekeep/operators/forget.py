@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 GRACE_S = 3600.0
 
 
@@ -13,11 +15,7 @@ def closure(seed: DataFrame, cites: DataFrame, most_rounds: int = 1000) -> DataF
 
     Only the newest ids are joined in a round, cycles end by themselves, and each round's set is a checkpoint.
     """
-    spark = seed.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
+    with_checkpoints(seed.sparkSession)
     edges = cites.select("src", F.col("dst").alias("id")).where("src is not null")
     everything = fresh = seed.select("id").distinct().checkpoint()
     for _ in range(most_rounds):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,10 @@ def session(name: str = "lorekeep", master: str | None = None, **settings: str)
     for k, v in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session, ready for checkpoint(): in the folder of spark.checkpoint.dir, which a cluster's machines share; only where that is unset, in one of our own."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    return spark
