@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import REQUEST_WORDS
+
 WRITE_TOOLS = ("write_belief", "record_answer")
 DEAD_AFTER_S = 90.0
 ALONE_S = 300.0
 DAILY_CALLS = 200
 DAILY_TOKENS = 300_000
 MIN_WORDS = 4
-# First words of requests.
-REQUESTS = "what when where who why how which can could would will do does did is are tell show find".split()
 
 
 def first_match(*cases: tuple[Column, str], default: str) -> Column:
@@ -51,7 +51,7 @@ def addressed(rows: DataFrame) -> DataFrame:
     """The first rung on which an utterance (id, text, paused, recognised) fails: paused, short, no request, unrecognised; else for the model."""
     n = F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(0)))
     first = F.lower(F.regexp_extract("text", r"^\s*([A-Za-z']+)", 1))
-    asks = first.isin(*REQUESTS) | F.col("text").rlike(r"\?\s*$")
+    asks = first.isin(*REQUEST_WORDS) | F.col("text").rlike(r"\?\s*$")
     return rows.select("id", first_match((F.col("paused"), "paused"), (n < MIN_WORDS, "short"), (~asks, "no request"), (~F.col("recognised"), "unrecognised"), default="ask the model").alias("rung"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import REQUEST_WORDS
 from ..operators import governance as G
 from ..sources.views import epoch, table
 from .catalog import query
@@ -42,7 +43,7 @@ def presence_state(spark, sf_dir):
     return G.presence(rows, _NOW, 900.0)
 
 
-_REQ = "[" + ", ".join(f"'{w}'" for w in G.REQUESTS) + "]"
+_REQ = "[" + ", ".join(f"'{w}'" for w in REQUEST_WORDS) + "]"
 
 
 @query(f"""select conv_id * 100 + turn as id, case when conv_id % 13 = 0 then 'paused' when len(regexp_extract_all(text, '\\S+')) < 4 then 'short'

@@ -106,13 +106,3 @@ def speaker_prefixes(spark, sf_dir):
     before = F.expr("lag(person) over (partition by session order by started_at, id)")
     rows = observations(spark, sf_dir).withColumn("before", before)
     return rows.select("id", F.concat(F.when(~F.col("before").eqNullSafe(F.col("person")), F.concat(F.initcap("person"), F.lit(": "))).otherwise(""), "text").alias("line"))
-
-
-@query(None)
-def wake_word(spark, sf_dir):
-    """Turns that begin or end with a word that sounds like a name."""
-    from ..operators.guards import tokens
-
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w"))
-    edge = F.concat(F.slice("w", 1, 2), F.slice(F.reverse("w"), 1, 1))
-    return rows.select("conv_id", "turn", F.exists(edge, lambda x: F.soundex(x) == F.soundex(F.lit("thea"))).alias("named"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import guards as G
 from ..sources.views import OBSERVATIONS, observations, table
 from .catalog import query
@@ -14,6 +15,7 @@ CASES = [
     ("inflected", "Mira audited the harbour accounts in spring.", "The harbour accounts were audited by Mira.", "Mira audited the harbour accounts", "Who audited?"),
     ("other date", "We met Jonas on 4 March 2021 at the mill.", "Jonas was met at the mill in June 2020.", "We met Jonas", "When did we meet Jonas?"),
     ("other claim", "Petra repaired the old boiler.", "Petra repaired the old boiler and sold the bakery to strangers.", "Petra repaired the old boiler", "What did Petra repair?"),
+    ("false clause", "Petra repaired the old boiler in the east cellar.", "Petra repaired the old boiler in the east cellar and sold bakeries.", "Petra repaired the old boiler", "What did Petra do?"),
     ("unrelated", "Tomatoes like warm nights.", "The train was late because of snow.", "the train was late", "Why was it late?"),
     ("invented name", "The choir sang two songs.", "The choir sang two songs for Bartholomew.", "The choir sang two songs", "Who sang?"),
     ("empty", "The choir sang two songs.", "", "", "Who sang?"),
@@ -32,8 +34,11 @@ def _values() -> str:
     return "cases(name, line, answer, support, question) as (values " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in CASES) + ")"
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in G.STOPWORDS) + "]"
-_MONTHS = "[" + ", ".join(f"'{w}'" for w in G.MONTHS) + "]"
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_STOP, _MONTHS = _list(fixed.STOPWORDS), _list(fixed.MONTHS)
 _TOK = lambda t: f"regexp_extract_all(lower({t}), '[a-z0-9'']+')"
 _CONTENT = lambda t: f"list_filter({_TOK(t)}, lambda w: len(w) > 1 and not list_contains({_STOP}, w))"
 _STEMS = lambda t: f"list_transform({_TOK(t)}, lambda w: substr(w, 1, 5))"
@@ -45,7 +50,7 @@ def answer_overlap(spark, sf_dir):
     return cases(spark).select("name", F.round(G.overlap(F.col("answer"), F.col("line")), 6).alias("overlap"))
 
 
-@query(f"""with {_values()}, c as (select name, line, unnest(regexp_split_to_array(answer, '(?i)[.;!?]\\s+|,\\s+|\\s+(?:and|but|because|which|who|while|then)\\s+')) as part from cases)
+@query(f"""with {_values()}, c as (select name, line, unnest(regexp_split_to_array(answer, '{fixed.CLAUSES}')) as part from cases)
 select n.name, o.weakest from (select name from cases) n left join (select name, round(min({_OVERLAP('part', 'line')}), 6) as weakest from c where len({_CONTENT('part')}) >= 2 group by name) o using (name)""")
 def weakest_clause(spark, sf_dir):
     return cases(spark).select("name", F.round(G.weakest_clause(F.col("answer"), F.col("line")), 6).alias("weakest"))
@@ -59,8 +64,12 @@ def date_guard(spark, sf_dir):
     return cases(spark).select("name", F.array_join(F.array_sort(G.borrowed_dates(F.col("answer"), F.col("line"))), ",").alias("borrowed"))
 
 
-@query(f"""with {_values()}, t as (select name, {_CONTENT('answer')} as c, list_concat({_TOK('question')}, {_TOK('line')}) as h, list_concat({_STEMS('question')}, {_STEMS('line')}) as s from cases)
-select name, array_to_string(list_sort(list_distinct(list_filter(c, lambda w: not (list_contains(h, w) or list_contains(s, substr(w, 1, 5)))))), ',') as invented from t""")
+_ALLOWED = _list(dict.fromkeys([*fixed.FRAMING, *fixed.STOPWORDS]))
+
+
+@query(f"""with {_values()}, t as (select name, list_filter({_TOK('answer')}, lambda w: len(w) > 1) as c, list_concat({_ALLOWED}, list_concat({_TOK('question')}, {_TOK('line')})) as h from cases),
+u as (select name, c, h, list_transform(h, lambda w: substr(w, 1, 5)) as s from t)
+select name, array_to_string(list_sort(list_distinct(list_filter(c, lambda w: not (list_contains(h, w) or list_contains(s, substr(w, 1, 5)))))), ',') as invented from u""")
 def invented_words(spark, sf_dir):
     return cases(spark).select("name", F.array_join(F.array_sort(G.invented(F.col("answer"), F.col("question"), F.col("line"))), ",").alias("invented"))
 
@@ -117,3 +126,20 @@ def question_flags(spark, sf_dir):
 def format_lines(spark, sf_dir):
     when = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(started_at as decimal(18, 6)))"), "dd MMMM yyyy")
     return observations(spark, sf_dir).select("id", F.concat(F.lit("["), when, F.lit("] "), "person", F.lit(": "), "text").alias("line"))
+
+
+@query(f"select conv_id, turn, coalesce(ends_with(lower(trim(text)), '?') or list_contains({_list(fixed.QUESTION_WORDS)}, regexp_extract(lower(trim(text)), '^\\S*')), false) as asks from conversations")
+def question_shaped(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", G.question_shaped(F.col("text")).alias("asks"))
+
+
+@query(None)
+def one_line(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", G.one_line(F.col("text")).alias("line"))
+
+
+@query(None)
+def wake_calls(spark, sf_dir):
+    """Turns in which a name calls, and what is left without it."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn as id", "text")
+    return G.called(rows, "Thea")
