@@ -164,3 +164,41 @@ def ewma(rows: DataFrame, by: str, alpha: float = EWMA) -> DataFrame:
     e = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("end", "id", "value"))).alias("e"))
     fold = F.aggregate(F.slice("e", 2, F.greatest(F.size("e") - 1, F.lit(0))), F.col("e")[0]["value"], lambda s, x: s + alpha * (x["value"] - s))
     return e.select(by, F.size("e").cast("long").alias("n"), F.round(fold, 6).alias("level"))
+
+
+def derived_levels(weights: DataFrame, by: str, step: float = 0.001) -> DataFrame:
+    """Per key the cuts for light and strong marks: where the right half of the weights exceeds the mirrored left half.
+
+    For a threshold t from the median on, the excess is the number of weights above t less that of left ones whose mirror image
+    is above t. Light is the first t of a grid at which at least half of the weights above it are excess, strong the first from there on
+    at which no more than half of light's excess is left. The grid's counts come from one sorted pass: each weight is put on
+    its grid step, steps are counted, and running sums give every excess.
+    """
+    w = weights.where("w is not null")
+    middle = w.groupBy(by).agg(F.percentile("w", F.lit(0.5)).alias("m"))
+    signed = w.join(middle, by).select(by, "m", F.when(F.col("w") > F.col("m"), F.col("w")).otherwise(2 * F.col("m") - F.col("w")).alias("x"), (F.col("w") > F.col("m")).alias("right"))
+    placed = signed.withColumn("k", F.ceil(F.round((F.col("x") - F.col("m")) / step, 6)).cast("long"))  # above t = m + j * step for all j < k
+    counts = placed.groupBy(by, "m", "k").agg(F.sum(F.col("right").cast("long")).alias("r"), F.sum((~F.col("right")).cast("long")).alias("l"))
+    after = W.partitionBy(by).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
+    # between two occupied steps nothing changes, so the first step of each stretch stands for it
+    grid = counts.withColumns({"R": F.sum("r").over(after), "L": F.sum("l").over(after), "j": F.coalesce(F.lag("k").over(W.partitionBy(by).orderBy("k")), F.lit(0))})
+    grid = grid.where("k > 0").withColumn("excess", F.col("R") - F.col("L"))
+    light = grid.where((F.col("R") > 0) & (F.col("excess") * 2 >= F.col("R"))).groupBy(by).agg(F.min(F.struct("j", "excess")).alias("a")).select(by, F.col("a.j").alias("light_j"), F.col("a.excess").alias("light_x"))
+    strong = grid.join(light, by).where((F.col("j") >= F.col("light_j")) & (F.col("excess") * 2 <= F.col("light_x"))).groupBy(by).agg(F.min("j").alias("strong_j"))
+    out = middle.join(light, by, "left").join(strong, by, "left")
+    return out.select(by, F.round("m", 6).alias("median"), F.round(F.col("m") + F.col("light_j") * step, 6).alias("light"), F.round(F.col("m") + F.col("strong_j") * step, 6).alias("strong"))
+
+
+def word_rows(words: DataFrame, frames: DataFrame, width: float) -> DataFrame:
+    """words (key, id, start, end) with what the frames (key, t, pitch, level) in them measured: an equi-join on buckets of time, then one aggregate."""
+    listed = words.withColumn("_k", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    inside = listed.join(frames.withColumn("_k", F.floor(F.col("t") / width)), ["key", "_k"]).where("t >= start and t <= end")
+    measured = inside.groupBy("id").agg(F.count("pitch").alias("n_voiced"), F.round(F.percentile("pitch", F.lit(0.5)), 6).alias("pitch_med"), F.round(F.percentile("level", F.lit(0.9)), 6).alias("int_p90"), F.round(F.avg("level"), 6).alias("int_mean"))
+    return words.select("id").join(measured, "id", "left").withColumn("n_voiced", F.coalesce("n_voiced", F.lit(0)))
+
+
+def silence_log(words: DataFrame, least: float) -> DataFrame:
+    """Gaps between the words (key, id, end, word) of a key that last `least` or more, with the words on either side, and the pitch's fall."""
+    w = W.partitionBy("key").orderBy("end", "id")
+    rows = words.withColumns({"gap": F.col("end") - F.lag("end").over(w), "before": F.lag("word").over(w), "was": F.lag("pitch").over(w)})
+    return rows.where(F.col("gap") >= least).select("key", "id", F.round("gap", 3).alias("gap"), "before", F.col("word").alias("next"), (F.col("pitch") < 0.95 * F.col("was")).alias("fell"))
