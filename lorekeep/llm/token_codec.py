@@ -29,12 +29,12 @@ MAGIC = b"LKT1"
 
 TOTAL_BITS = 16
 TOTAL = 1 << TOTAL_BITS
-SLOT_BITS = 12
+SLOT_BITS = 11
 CONFIDENCE = 7
 #: Order 0 keeps at least this part of TOTAL for itself against order 1, and both together twice as much against order 2.
 FLOOR = 8192
 #: Tokens between two settings of order 0, what a token adds to its bucket's count, and the sum of its shares.
-REFRESH = 32
+REFRESH = 64
 STEP = 8
 SHARES_BITS = 13
 SHARES = 1 << SHARES_BITS
@@ -47,71 +47,90 @@ _MASK, _SHORT = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
 BUCKET_BITS = np.array([0] * 80 + [b for b in range(1, 12) for _ in range(16)])
 BUCKET_BASE = np.concatenate([[0], np.cumsum(1 << BUCKET_BITS)[:-1]])
 BUCKETS = len(BUCKET_BITS)
-_BITS = BUCKET_BITS.astype(np.uint64)
+SINGLE = int((BUCKET_BITS == 0).sum())
+_BITS, _ORDINAL, _LAST = BUCKET_BITS.astype(np.uint64), np.arange(1, BUCKETS + 1, dtype=np.int32), np.uint64(TOTAL - 1)
+_SLOTS = (1 << SLOT_BITS) - 1
+#: A slot's next confidence, shifted into place: by its confidence after an error, then after a success.
+_NEXT = np.array([max(1, k >> 1) for k in range(CONFIDENCE + 1)] + [min(k + 1, CONFIDENCE) for k in range(CONFIDENCE + 1)], np.int32) << 16
 
 
 class _Lanes:
     """The models of many blocks side by side, one lane each. The same calls in the same order give the same numbers, so reader and writer agree.
 
     A slot of order 1 or 2 holds the id that it expects and a confidence; each confidence has a weight, 16 bits, that follows how often
-    such slots are right. Weights of both orders and the shares of order 0 are mixed into one distribution of TOTAL.
+    such slots are right. Weights of both orders and the shares of order 0 are mixed into one distribution of TOTAL. Arrays of
+    both orders are kept in one, order 1 in front, so that a step is few calls; counts are added up when the shares are set.
     """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.slot, self.row8 = self.lane << SLOT_BITS, self.lane * (CONFIDENCE + 1)
+    def __init__(self, lanes: int, ranks: int):
+        self.lanes, both = lanes, np.arange(2 * lanes, dtype=np.int64)
+        self.lane, self.slot, self.row8 = both[:lanes], both << SLOT_BITS, both * (CONFIDENCE + 1)
         self.row0, self.row = self.lane * BUCKETS, self.lane * (BUCKETS + 1)
-        self.table1, self.table2 = (np.zeros(lanes << SLOT_BITS, np.int32) for _ in (1, 2))
-        self.weight1, self.weight2 = (np.tile(np.array([0] + [TOTAL // 3] * CONFIDENCE), lanes) for _ in (1, 2))
-        self.count = np.ones(lanes * BUCKETS, np.int32)
-        self.share = np.zeros((lanes, BUCKETS + 1), np.int64)
-        self.flat = self.share.reshape(-1)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.table = np.zeros(2 * lanes << SLOT_BITS, np.int32)
+        self.weight = np.tile(np.array([0] + [TOTAL // 3] * CONFIDENCE), 2 * lanes)
+        self.count = np.ones(lanes * BUCKETS, np.float32)
+        self.share = np.zeros((lanes, BUCKETS + 1), np.int32)
+        self.flat, self.seen = self.share.reshape(-1), []
+        id = np.arange(max(ranks, 1), dtype=np.int64)
+        self.hash1, self.hash2, self.hash3 = id * 40503 >> 4 & _SLOTS, id * 40503 >> 3 & _SLOTS, id * 30011 >> 3 & _SLOTS
+        self.last, self.older = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.at, self.twice = np.empty(2 * lanes, np.int64), np.empty(2 * lanes, np.int32)
         self.steps = 0
 
     def _refresh(self) -> None:
         """Shares of the buckets by their counts, one at least, summed up; old counts fade."""
+        if self.seen:
+            self.count += STEP * np.bincount(np.concatenate(self.seen), minlength=len(self.count))
+            self.seen = []
         count = self.count.reshape(-1, BUCKETS)
-        total = np.cumsum(count, axis=1, dtype=np.float64)
-        self.share[:, 1:] = total * ((SHARES - BUCKETS) / total[:, -1:]) + 1e-6
-        self.share[:, 1:] += np.arange(1, BUCKETS + 1)
+        total = np.cumsum(count, axis=1)
         over = total[:, -1] > 4 * SHARES
+        total *= (SHARES - BUCKETS) / total[:, -1:]
+        total[:, -1] = SHARES - BUCKETS
+        self.share[:, 1:] = total
+        self.share[:, 1:] += _ORDINAL
         if over.any():
-            count[over] = (count[over] + 1) >> 1
+            count[over] = np.ceil(count[over] / 2)
 
     def predict(self) -> None:
         """Of TOTAL, m2 and m1 for the ids that orders 2 and 1 expect and m0 for all by order 0."""
         if self.steps % REFRESH == 0:
             self._refresh()
-        h = self.last * 40503
-        self.at1 = self.slot + (h >> 4 & ((1 << SLOT_BITS) - 1))
-        self.at2 = self.slot + (h + self.before * 30011 >> 3 & ((1 << SLOT_BITS) - 1))
-        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.c1, self.c2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.k1, self.k2 = self.e1 >> 16, self.e2 >> 16
-        self.j1, self.j2 = self.row8 + self.k1, self.row8 + self.k2
-        self.w1, self.w2 = self.weight1.take(self.j1), self.weight2.take(self.j2)
-        self.m2 = self.w2 * (TOTAL - 2 * FLOOR) >> 16
-        self.m1 = self.w1 * (TOTAL - FLOOR - self.m2) >> 16
-        self.m1[(self.c1 == self.c2) & (self.k2 > 0)] = 0
+        n = self.lanes
+        self.at[:n] = self.hash1.take(self.last)
+        self.at[n:] = self.hash2.take(self.last) ^ self.older
+        self.at += self.slot
+        e = self.table.take(self.at)
+        self.c, self.k = e & 0xFFFF, e >> 16
+        self.known = self.k > 0
+        self.j = self.row8 + self.k
+        self.w = self.weight.take(self.j)
+        self.c1, self.c2 = self.c[:n], self.c[n:]
+        self.m2 = self.w[n:] * (TOTAL - 2 * FLOOR) >> 16
+        m1 = self.w[:n] * (TOTAL - FLOOR - self.m2) >> 16
+        self.m1 = m1 * ((self.c1 != self.c2) | ~self.known[n:])
         self.m21 = self.m2 + self.m1
         self.m0 = TOTAL - self.m21
 
     def matches(self, x: np.ndarray) -> None:
-        self.is2 = (x == self.c2) & (self.k2 > 0)
-        self.same1 = (x == self.c1) & (self.k1 > 0)
+        n = self.lanes
+        self.twice[:n], self.twice[n:] = x, x
+        self.same = (self.c == self.twice) & self.known
+        self.is2 = self.same[n:]
         self.missed = ~self.is2
-        self.is1 = self.same1 & self.missed
+        self.is1 = self.same[:n] & self.missed
+        self.literal = self.missed & ~self.is1
 
     def update(self, x: np.ndarray, bucket: np.ndarray) -> None:
-        """After matches(x): what the lanes learn from their next ids."""
-        fresh = x.astype(np.int32) | 1 << 16
-        for table, at, e, c, k, same in ((self.table2, self.at2, self.e2, self.c2, self.k2, self.is2), (self.table1, self.at1, self.e1, self.c1, self.k1, self.same1)):
-            table[at] = np.where(same, np.minimum(e + (1 << 16), c | CONFIDENCE << 16), np.where(k > 1, c | k >> 1 << 16, fresh))
-        self.weight2[self.j2] = self.w2 + self.is2 * (TOTAL - 1 >> RATE) - (self.w2 >> RATE)
-        self.weight1[self.j1] = self.w1 + (self.is1 * (TOTAL - 1 >> RATE) - (self.w1 >> RATE)) * self.missed
-        self.count[self.row0 + bucket] += STEP * (self.missed & ~self.same1)
-        self.before, self.last = self.last, x
+        """After matches(x): what the lanes learn from their next ids. A slot that was wrong halves its confidence, and takes the new id at the lowest."""
+        n = self.lanes
+        stays = self.same | (self.k > 1)
+        self.table[self.at] = np.where(stays, self.c, self.twice) | _NEXT.take(self.k + self.same * (CONFIDENCE + 1))
+        gain = self.same * (TOTAL - 1 >> RATE) - (self.w >> RATE)
+        gain[:n] *= self.missed
+        self.weight[self.j] = self.w + gain
+        self.seen.append((self.row0 + bucket)[self.literal])
+        self.older, self.last = self.hash3.take(self.last), x
         self.steps += 1
 
 
@@ -122,100 +141,99 @@ def encode_blocks(ranks: np.ndarray, bucket_of: np.ndarray) -> list[bytes]:
     width below 2^32 gives off one or two words of 16 bits.
     """
     lanes, size = ranks.shape
-    model = _Lanes(lanes)
-    low, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64), np.zeros(lanes, np.int64)
-    room = 2 * size + 4
+    model = _Lanes(lanes, len(bucket_of))
+    low, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64), np.arange(lanes) * (2 * size + 4)
+    room, first = 2 * size + 4, pos.copy()
     out = np.zeros(lanes * room, np.uint32)
-    row = model.lane * room
     columns, buckets = np.ascontiguousarray(ranks.T).astype(np.int64), np.ascontiguousarray(bucket_of[ranks].T)
     for t in range(size):
         x, b = columns[t], buckets[t]
         model.predict()
         model.matches(x)
-        at, m0 = model.row + b, model.m0
+        start, part = model.m2 * model.is1, np.where(model.is2, model.m2, model.m1)
+        own = np.flatnonzero(model.literal)
+        at, m0, bucket = model.row[own] + b[own], model.m0[own], b[own]
         a, z = model.flat.take(at) * m0 >> SHARES_BITS, model.flat.take(at + 1) * m0 >> SHARES_BITS
-        start = np.where(model.is2, 0, np.where(model.is1, model.m2, model.m21 + a)).astype(np.uint64)
-        part = np.where(model.is2, model.m2, np.where(model.is1, model.m1, z - a)).astype(np.uint64)
+        start[own] = model.m21[own] + a
+        part[own] = z - a
         unit = width >> _WORD
-        low += start * unit
-        width = part * unit
-        wide = np.flatnonzero(model.missed & ~model.same1 & (b >= 80))
-        if len(wide):
-            own = b[wide]
-            unit = width[wide] >> _BITS[own]
-            low[wide] += (x[wide] - BUCKET_BASE[own]).astype(np.uint64) * unit
-            width[wide] = unit
+        low += start.view(np.uint64) * unit
+        width = part.view(np.uint64) * unit
+        wide = bucket >= SINGLE
+        own, bucket = own[wide], bucket[wide]
+        unit = width[own] >> _BITS[bucket]
+        low[own] += (x[own] - BUCKET_BASE[bucket]).view(np.uint64) * unit
+        width[own] = unit
         carry = np.flatnonzero(low > _MASK)
         if len(carry):
-            out[row[carry] + pos[carry] - 1] += 1
-            low &= _MASK
+            out[pos[carry] - 1] += 1
+            low[carry] &= _MASK
         short = np.flatnonzero(width < _SHORT)
         while len(short):
-            x16, w = low[short], width[short] << _WORD
-            out[row[short] + pos[short]] = x16 >> _TOP
+            x16, w, p = low[short], width[short] << _WORD, pos[short]
+            out[p] = x16 >> _TOP
             low[short] = x16 << _WORD & _MASK
             width[short] = w
-            pos[short] += 1
+            pos[short] = p + 1
             short = short[w < _SHORT]
         model.update(x, b)
     for shift in (32, 16, 0):
-        out[row + pos] = (low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint32)
+        out[pos] = (low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint32)
         pos += 1
-    words = out.reshape(lanes, room)
-    for p in range(int(pos.max()) - 1, 0, -1):
+    words, used = out.reshape(lanes, room), pos - first
+    for p in range(int(used.max()) - 1, 0, -1):
         words[:, p - 1] += words[:, p] >> 16
-    words = (words & 0xFFFF).astype("<u2")
-    return [words[k, : pos[k]].tobytes() for k in range(lanes)]
+    words = words.astype("<u2")
+    return [words[k, : used[k]].tobytes() for k in range(lanes)]
 
 
 def decode_blocks(blocks: list[bytes], size: int, bucket_of: np.ndarray) -> np.ndarray:
     """The rows of ranks that encode_blocks() had."""
     lanes = len(blocks)
     room = max(map(len, blocks)) // 2 + 4
-    words = np.zeros((lanes, room), np.uint64)
+    words = np.zeros((lanes, room), np.uint16)
     for k, b in enumerate(blocks):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    code = words[:, 0] << np.uint64(32) | words[:, 1] << _WORD | words[:, 2]
+    code = words[:, 0].astype(np.uint64) << _TOP | words[:, 1].astype(np.uint64) << _WORD | words[:, 2]
     words = words.reshape(-1)
-    model = _Lanes(lanes)
+    model = _Lanes(lanes, len(bucket_of))
     width, pos = np.full(lanes, (1 << 48) - 1, np.uint64), model.lane * room + 3
     out = np.zeros((size, lanes), np.int64)
     for t in range(size):
         model.predict()
         unit = width >> _WORD
-        value = np.minimum(code // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-        by2, by1 = value < model.m2, value < model.m21
+        value = np.minimum(code // unit, _LAST).view(np.int64)
+        by2 = value < model.m2
         x = np.where(by2, model.c2, model.c1).astype(np.int64)
-        start, part = np.where(by2, 0, model.m2), np.where(by2, model.m2, model.m1)
+        start, part = model.m2 * ~by2, np.where(by2, model.m2, model.m1)
         bucket = np.zeros(lanes, np.int64)
-        literal = np.flatnonzero(~by1)
-        if len(literal):
-            m0, m21, row = model.m0[literal], model.m21[literal], model.row[literal]
-            goal = ((value[literal] - m21 + 1 << SHARES_BITS) - 1) // m0
-            at = row.copy()
-            for half in (128, 64, 32, 16, 8, 4, 2, 1):
-                at += half * (model.flat.take(at + half) <= goal)
-            a = model.flat.take(at) * m0 >> SHARES_BITS
-            start[literal] = m21 + a
-            part[literal] = (model.flat.take(at + 1) * m0 >> SHARES_BITS) - a
-            bucket[literal] = b = at - row
-            x[literal] = BUCKET_BASE[b]
-        code -= start.astype(np.uint64) * unit
-        width = part.astype(np.uint64) * unit
-        if len(literal):
-            wide = np.flatnonzero(b >= 80)
-            own = literal[wide]
-            unit = width[own] >> _BITS[b[wide]]
-            off = code[own] // unit
-            code[own] -= off * unit
-            width[own] = unit
-            x[own] += off.astype(np.int64)
+        own = np.flatnonzero(value >= model.m21)
+        m0, m21, row = model.m0[own], model.m21[own], model.row[own]
+        goal = ((value[own] - m21 + 1 << SHARES_BITS) - 1) // m0
+        at = row.copy()
+        for half in (128, 64, 32, 16, 8, 4, 2, 1):
+            at += half * (model.flat.take(at + half) <= goal)
+        a = model.flat.take(at) * m0 >> SHARES_BITS
+        start[own] = m21 + a
+        part[own] = (model.flat.take(at + 1) * m0 >> SHARES_BITS) - a
+        at -= row
+        bucket[own] = at
+        x[own] = BUCKET_BASE[at]
+        code -= start.view(np.uint64) * unit
+        width = part.view(np.uint64) * unit
+        wide = at >= SINGLE
+        own, at = own[wide], at[wide]
+        unit, rest = width[own] >> _BITS[at], code[own]
+        off = rest // unit
+        code[own] = rest - off * unit
+        width[own] = unit
+        x[own] += off.view(np.int64)
         short = np.flatnonzero(width < _SHORT)
         while len(short):
-            w = width[short] << _WORD
-            code[short] = code[short] << _WORD | words[pos[short]]
+            w, p = width[short] << _WORD, pos[short]
+            code[short] = code[short] << _WORD | words.take(p)
             width[short] = w
-            pos[short] += 1
+            pos[short] = p + 1
             short = short[w < _SHORT]
         out[t] = x
         model.matches(x)
