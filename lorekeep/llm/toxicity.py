@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -59,43 +60,49 @@ class Tagger:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_seen": {}}
 
-    def evidence(self, word: str) -> float:
-        x = self._seen.get(word)
-        if x is None:
-            x = self.bias + sum(self.emission.get(m, 0.0) for m in marks_of(word))
+    def evidence(self, words: list[str]) -> list[float]:
+        """The emission score of each word; marks are looked up once for each distinct word."""
+        found = list(map(self._seen.get, words))
+        if None in found:
             if len(self._seen) >= REMEMBERED:
                 self._seen.clear()
-            self._seen[word] = x
-        return x
+            weight = self.emission.get
+            for w in {w for w, x in zip(words, found, strict=True) if x is None}:
+                self._seen[w] = self.bias + sum(weight(m, 0.0) for m in marks_of(w))
+            found = [self._seen[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
 
     def marginals(self, docs: list[list[str]]) -> list[np.ndarray]:
         """The probability of the toxic state for each token of each document."""
         sizes = np.array([len(d) for d in docs], np.int64)
-        e = np.fromiter((self.evidence(w) for d in docs for w in d), np.float64, int(sizes.sum()))
+        e = np.concatenate([np.zeros(0), *[np.array(self.evidence(d)) for d in docs]])
         first = np.zeros(len(e), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         return np.split(forward_backward(e, first, self.transition, self.start), np.cumsum(sizes)[:-1]) if docs else []
 
-    def features(self, docs: list[list[str]]) -> np.ndarray:
+    @staticmethod
+    def features(marginals: list[np.ndarray]) -> np.ndarray:
         """For each document 1, the log odds of its most toxic token and the logarithm of the expected number of toxic tokens."""
-        out = np.zeros((len(docs), 3))
-        for k, p in enumerate(self.marginals(docs)):
-            top = min(max(p.max(), 1e-6), 1 - 1e-6) if len(p) else 1e-6
-            out[k] = 1.0, np.log(top / (1 - top)), np.log1p(p.sum())
+        out = np.zeros((len(marginals), 3))
+        for k, p in enumerate(marginals):
+            top = min(max(float(p.max()), 1e-6), 1 - 1e-6) if len(p) else 1e-6
+            out[k] = 1.0, math.log(top / (1 - top)), math.log1p(float(p.sum()))
         return out
 
-    def scores(self, docs: list[list[str]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(docs) @ self.document, -30, 30)))
+    def scores(self, marginals: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(marginals) @ self.document, -30, 30)))
 
-    def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) in characters of each run of tokens whose marginal is `least` or more."""
-        low = (text or "").lower()
-        found = [(m.start(), m.end()) for m in _WORD.finditer(low)]
+    @staticmethod
+    def spans(text: str | None, marginals: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
+        """(start, end, probability) in characters of each run of the text's tokens whose marginal is `least` or more."""
         out: list[tuple[int, int, float]] = []
         open_run = False
-        for (a, b), p in zip(found, self.marginals([[low[a:b] for a, b in found]])[0], strict=True):
+        for m, p in zip(_WORD.finditer((text or "").lower()), marginals.tolist(), strict=True):
             if p >= least:
-                out[-1:] = [(out[-1][0], b, max(out[-1][2], float(p)))] if open_run else [*out[-1:], (a, b, float(p))]
+                if open_run:
+                    out[-1] = (out[-1][0], m.end(), max(out[-1][2], p))
+                else:
+                    out.append((m.start(), m.end(), p))
             open_run = p >= least
         return out
 
@@ -299,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Tagger:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = shared.value.features([words_of(t) for t in b.column("text").to_pylist()])
+            x = shared.value.features(shared.value.marginals([words_of(t) for t in b.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *[pa.array(x[:, k]) for k in (1, 2)]], ["toxic", "top", "mass"])
 
     x = sample.mapInArrow(features, "toxic int, top double, mass double").toPandas()
@@ -328,8 +335,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for whole in batches:
             for b in _slices(whole):
                 texts = b.column("text").to_pylist()
-                s = shared.value.scores([words_of(t) for t in texts])
-                spans = [[{"start": x, "end": y, "probability": p} for x, y, p in shared.value.spans(t)] if v >= 0.5 else [] for t, v in zip(texts, s, strict=True)]
+                marginals = shared.value.marginals([words_of(t) for t in texts])
+                s = shared.value.scores(marginals)
+                spans = [[{"start": x, "end": y, "probability": p} for x, y, p in shared.value.spans(t, m)] if v >= 0.5 else [] for t, m, v in zip(texts, marginals, s, strict=True)]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
