@@ -9,8 +9,6 @@ from .common import written
 
 #: Characters (code points) on either side of an entity in which terms are looked at.
 CONTEXT = 64
-#: Documents in which a term must stand beside an entity.
-MIN_DOCS = 3
 #: A term discloses an entity when it gives away this part of the entity's information, PMI(entity, term) / IC(entity): from GENERALISE on it is replaced by a placeholder, from REMOVE on it is removed.
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -108,10 +106,11 @@ def disclosures(contexts: DataFrame, docs: DataFrame, total: int) -> DataFrame:
 
     contexts: (rid, entity, term). All numbers are documents of the whole corpus: n(e) with the entity, n(t) with the term anywhere,
     n(e, t) with both side by side; disclosure = log2(n(e, t) N / (n(e) n(t))) / log2(N / n(e)). Pairs come from contexts only, so they
-    grow with the entities' places and not with the square of anything; all counts are combined before they are shuffled.
+    grow with the entities' places and not with the square of anything; all counts are combined before they are shuffled. Entities
+    and terms of one document are scored like all others.
     """
     pairs = written(contexts.select("rid", "entity", "term").distinct(), "pii-pairs")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCS)
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     both = written(both, "pii-both")
     of_entity = pairs.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))

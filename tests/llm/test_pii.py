@@ -63,6 +63,18 @@ def test_terms_that_reveal(spark):
     assert "Zebedee" not in clean[3] and "[EMAIL]" in clean[3] and clean[3].endswith("common letter number 3.") and clean[105] == rows[11][1]
 
 
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    rows = [(0, "Write to Zebedee anna@x.org about the common letter.")]
+    rows += [(k, f"Call Quillon at +1 (743) 555-3824 about the common letter {k}.") for k in (1, 2)]
+    rows += [(100 + k, f"Write to them or call at noon about the common letter {k}.") for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in P.pii_table(frame).collect()}
+    for k, name in ((0, "Zebedee"), (1, "Quillon"), (2, "Quillon")):
+        terms = [s.split(":") for s in got[k].split(",") if s.startswith("term:")]
+        assert {rows[k][1][int(a) : int(b)] for _, a, b in terms} == {name}
+    assert all(got[100 + k] == "" for k in range(40))
+
+
 def test_odd_rows(spark, odd, empty):
     same(odd, [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()])
     assert P.pii_table(empty).count() == 0 and P.sanitised(odd).count() == 11
