@@ -25,11 +25,23 @@ def octave_rejection(spark, sf_dir):
     return kept.select("speaker", "sentence", F.size("v").cast("long").alias("kept"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+def _split_tokens(documents):
+    t = documents.select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    return t.select("token", S.split_punctuation(F.col("token")).alias("s")).select("token", "s.word", "s.punct")
+
+
 @query("""with t as (select distinct unnest(string_split(text, ' ')) as token from documents where doc_id % 10 = 0), s as (select token, regexp_extract(token, '([.,!?;:…]+)$', 1) as p from t)
 select token, case when token = p then token else substr(token, 1, len(token) - len(p)) end as word, case when token = p then '' else p end as punct from s""")
 def split_punctuation(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ")).alias("token")).distinct()
-    return t.select("token", S.split_punctuation(F.col("token")).alias("s")).select("token", "s.word", "s.punct")
+    """A tenth of the documents, as its SQL reads them; split_punctuation_whole reads all."""
+    return _split_tokens(table(spark, sf_dir, "documents").where("doc_id % 10 = 0"))
+
+
+@query("""with t as (select distinct unnest(string_split(text, ' ')) as token from documents), s as (select token, regexp_extract(token, '([.,!?;:…]+)$', 1) as p from t)
+select token, case when token = p then token else substr(token, 1, len(token) - len(p)) end as word, case when token = p then '' else p end as punct from s""")
+def split_punctuation_whole(spark, sf_dir):
+    """The tokens of all documents."""
+    return _split_tokens(table(spark, sf_dir, "documents"))
 
 
 @query(f"""with {WORDS}, w as (select id, speaker, "end" - 900 as s, "end" as e, lag("end") over (partition by speaker order by "end", id) as p from words)

@@ -50,3 +50,12 @@ def test_plans_prune_and_push_down(spark, small, capsys):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "label" not in plan.split("ReadSchema")[1]
     catalog.QUERIES["spend_by_day"](spark, small).explain("formatted")
     assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 1
+
+
+def test_split_punctuation_reads_all_documents(spark, small):
+    tokens = {t for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"] is not None for t in r["text"].split(" ")}
+    rows = catalog.QUERIES["split_punctuation_whole"](spark, small).collect()
+    assert len(rows) == len(tokens) and {r["token"] for r in rows} == tokens
+    for r in rows:
+        word = r["token"].rstrip(".,!?;:…")
+        assert (r["word"], r["punct"]) == ((word, r["token"][len(word) :]) if word else (r["token"], ""))
