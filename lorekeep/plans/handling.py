@@ -77,12 +77,21 @@ def settings_digest(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ids.settings_digest(settings).alias("digest"))
 
 
+def _spoken(events):
+    said = F.concat(F.lower(F.date_format("ts", "h:mm a")), F.lit(" on "), F.date_format("ts", "d MMMM, yyyy"))
+    return events.select("event_id", ids.spoken_time(said).alias("at"))
+
+
 @query("select event_id, date_trunc('minute', ts) as at from events where event_id % 20 = 0")
 def spoken_times(spark, sf_dir):
-    """Timestamps written as people say them and read back."""
-    rows = table(spark, sf_dir, "events").where("event_id % 20 = 0")
-    said = F.concat(F.lower(F.date_format("ts", "h:mm a")), F.lit(" on "), F.date_format("ts", "d MMMM, yyyy"))
-    return rows.select("event_id", ids.spoken_time(said).alias("at"))
+    """Timestamps written as people say them and read back; one event in twenty, as its SQL reads them, spoken_times_whole reads all."""
+    return _spoken(table(spark, sf_dir, "events").where("event_id % 20 = 0"))
+
+
+@query("select event_id, date_trunc('minute', ts) as at from events")
+def spoken_times_whole(spark, sf_dir):
+    """The same of all events."""
+    return _spoken(table(spark, sf_dir, "events"))
 
 
 @query(f"""with {WORDS}, r as (select speaker, avg(value) as m, stddev_samp(value) as s from words where not suspect group by speaker), z as (select w.*, (value - m) / nullif(s, 0) as z from words w join r using (speaker)),

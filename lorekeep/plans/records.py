@@ -158,12 +158,24 @@ def upsert_latest(spark, sf_dir):
     return G.upsert(base, changed.union(added), ["id"])
 
 
+def _prefixes(events):
+    rows = events.selectExpr("event_id", f"cast(round({epoch('ts')} * 1000) as bigint) as ms")
+    own, usual = "ABCDEFGHJKMNPQRSTVWXYZ", "ABCDEFGHIJKLMNOPQRSTUV"
+    prefix = F.translate(F.lpad(F.conv(F.col("ms").cast("string"), 10, 32), 10, "0"), usual, own)
+    return rows.select("event_id", prefix.alias("prefix")).withColumn("decoded", F.conv(F.translate("prefix", own, usual), 32, 10).cast("long"))
+
+
 @query("""with i as (select event_id, cast(round(epoch(ts) * 1000) as bigint) as ms from events where event_id % 50 = 0),
 d as (select event_id, ms, unnest(generate_series(0, 9)) as k from i)
 select event_id, string_agg(substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', cast((ms // cast(pow(32, 9 - k) as bigint)) % 32 as integer) + 1, 1), '' order by k) as prefix, ms as decoded from d group by event_id, ms""")
 def ulid_prefix(spark, sf_dir):
-    """The ten time characters of a sortable id, and their value read back."""
-    rows = table(spark, sf_dir, "events").where("event_id % 50 = 0").selectExpr("event_id", f"cast(round({epoch('ts')} * 1000) as bigint) as ms")
-    own, usual = "ABCDEFGHJKMNPQRSTVWXYZ", "ABCDEFGHIJKLMNOPQRSTUV"
-    prefix = F.translate(F.lpad(F.conv(F.col("ms").cast("string"), 10, 32), 10, "0"), usual, own)
-    return rows.select("event_id", prefix.alias("prefix")).withColumn("decoded", F.conv(F.translate("prefix", own, usual), 32, 10).cast("long"))
+    """The ten time characters of a sortable id, and their value read back; one event in fifty, as its SQL reads them, ulid_prefix_whole reads all."""
+    return _prefixes(table(spark, sf_dir, "events").where("event_id % 50 = 0"))
+
+
+@query("""with i as (select event_id, cast(round(epoch(ts) * 1000) as bigint) as ms from events),
+d as (select event_id, ms, unnest(generate_series(0, 9)) as k from i)
+select event_id, string_agg(substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', cast((ms // cast(pow(32, 9 - k) as bigint)) % 32 as integer) + 1, 1), '' order by k) as prefix, ms as decoded from d group by event_id, ms""")
+def ulid_prefix_whole(spark, sf_dir):
+    """The same of all events."""
+    return _prefixes(table(spark, sf_dir, "events"))

@@ -1,4 +1,5 @@
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -59,3 +60,11 @@ def test_split_punctuation_reads_all_documents(spark, small):
     for r in rows:
         word = r["token"].rstrip(".,!?;:…")
         assert (r["word"], r["punct"]) == ((word, r["token"][len(word) :]) if word else (r["token"], ""))
+
+
+def test_ids_and_times_of_all_events(spark, small):
+    ts = {r["event_id"]: r["ts"] for r in spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts").collect()}
+    ulid, said = (catalog.QUERIES[f"{q}_whole"](spark, small).collect() for q in ("ulid_prefix", "spoken_times"))
+    assert len(ulid) == len(said) == len(ts)
+    assert {r["event_id"]: r["at"] for r in said} == {k: t.replace(second=0, microsecond=0) for k, t in ts.items()}
+    assert all(r["decoded"] == round((ts[r["event_id"]] - datetime(1970, 1, 1)) / timedelta(milliseconds=1)) for r in ulid)
