@@ -115,13 +115,27 @@ def speech_region_complement(spark, sf_dir):
     return T.complement(_runs(spark, sf_dir), ["speaker"], bounds, 60)
 
 
+def _slide(spoken):
+    regions = spoken.groupBy("speaker").agg(F.min("end").alias("s"), F.max("end").alias("e"))
+    return T.sliding(regions, ["speaker"], 86400.0, 43200.0)
+
+
 @query(f"""with {WORDS}, b as (select speaker, min("end") as s, max("end") as e from words where speaker % 10 = 0 group by speaker), n as (select *, cast(floor((e - s - 86400) / 43200) as bigint) as n from b)
 select speaker, s + k * 43200 as a, s + k * 43200 + 86400 as b from (select *, unnest(generate_series(0, n)) as k from n where n >= 0)
 union all select speaker, e - 86400, e from n where n >= 0 and e - (s + n * 43200 + 86400) > 1e-6
 union all select speaker, s, e from n where n < 0""")
 def sliding_windows(spark, sf_dir):
-    regions = words(spark, sf_dir).where("speaker % 10 = 0").groupBy("speaker").agg(F.min("end").alias("s"), F.max("end").alias("e"))
-    return T.sliding(regions, ["speaker"], 86400.0, 43200.0)
+    """Windows in the regions of one speaker in ten, as its SQL reads them; sliding_windows_whole has all."""
+    return _slide(words(spark, sf_dir).where("speaker % 10 = 0"))
+
+
+@query(f"""with {WORDS}, b as (select speaker, min("end") as s, max("end") as e from words group by speaker), n as (select *, cast(floor((e - s - 86400) / 43200) as bigint) as n from b)
+select speaker, s + k * 43200 as a, s + k * 43200 + 86400 as b from (select *, unnest(generate_series(0, n)) as k from n where n >= 0)
+union all select speaker, e - 86400, e from n where n >= 0 and e - (s + n * 43200 + 86400) > 1e-6
+union all select speaker, s, e from n where n < 0""")
+def sliding_windows_whole(spark, sf_dir):
+    """The same of all speakers."""
+    return _slide(words(spark, sf_dir))
 
 
 @query(f"""with {WORDS}, w as (select id, speaker, kind as label, "end" as a, "end" + 20000 as b from words),

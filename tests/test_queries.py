@@ -68,3 +68,9 @@ def test_ids_and_times_of_all_events(spark, small):
     assert len(ulid) == len(said) == len(ts)
     assert {r["event_id"]: r["at"] for r in said} == {k: t.replace(second=0, microsecond=0) for k, t in ts.items()}
     assert all(r["decoded"] == round((ts[r["event_id"]] - datetime(1970, 1, 1)) / timedelta(milliseconds=1)) for r in ulid)
+
+
+def test_windows_slide_for_all_speakers(spark, small):
+    rows = catalog.QUERIES["sliding_windows_whole"](spark, small).collect()
+    speakers = {r["user_id"] for r in spark.read.parquet(f"{small}/events.parquet").select("user_id").distinct().collect()}
+    assert {r["speaker"] for r in rows} == speakers and any(s % 10 for s in speakers)
