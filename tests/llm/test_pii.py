@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -75,6 +76,42 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
     assert all(got[100 + k] == "" for k in range(40))
 
 
+def test_terms_far_away_and_everywhere(spark):
+    rows = [(0, "Zebedee " + "wrote a common letter about it, " * 30 + "to anna@x.org and so did (Zebedee).")]
+    rows += [(1, "No address here, but 'ZEBEDEE' wrote a common letter about it to them and so did others.")]
+    rows += [(100 + k, f"They wrote a common letter here, about no address, but to others and so did {k}.") for k in range(400)]
+    rows += [(900, "Common letter " * 30_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in P.pii_table(frame).collect()}
+    for k, n in ((0, 2), (1, 1)):
+        terms = [tuple(map(int, s.split(":")[1:])) for s in got[k].split(",") if s.startswith("term:")]
+        assert terms == [m.span() for m in re.finditer("(?i)zebedee", rows[k][1])] and len(terms) == n
+    assert all(s == "" for k, s in got.items() if k >= 100)
+    clean = {r["doc_id"]: r["text"] for r in P.sanitised(frame).collect()}
+    assert not any("zebedee" in t.lower() for t in clean.values()) and clean[900] == rows[-1][1]
+
+
+def test_disclosures_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in ("rn", "x", "Ö", "lé")]
+    people = [f"p{k}@x.org" for k in range(40)]
+    rows = [(k, " ".join([*rng.choices(words, [1 / (1 + j) for j in range(len(words))], k=12), *rng.sample(people, rng.choice([0, 0, 1, 2]))])) for k in range(200)]
+    sets = [({w.lower() for w in t.split() if "@" not in w and len(w) > 2}, {w for w in t.split() if "@" in w}) for _, t in rows]
+    n, told = len(rows), {}
+    for e in people:
+        with_e = [w for w, p in sets if e in p]
+        for t in set().union(*with_e):
+            n_t = sum(t in w for w, _ in sets)
+            gain = math.log2(sum(t in w for w in with_e) * n / (len(with_e) * n_t)) / math.log2(n / len(with_e))
+            if gain >= P.GENERALISE:
+                told[t] = max(gain, told.get(t, 0))
+    assert told
+    want = {k: [(m.start(), m.end(), round(told[m.group().lower()], 9)) for m in re.finditer(r"(?<!\S)[^\W\d_]{3,}(?!\S)", t) if m.group().lower() in told] for k, t in rows}
+    found = P.find(P.numbered(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    got = {r["doc_id"]: [(s["start"], s["end"], round(s["disclosure"], 9)) for s in r["term"]] for r in found}
+    assert got == want
+
+
 def test_odd_rows(spark, odd, empty):
     same(odd, [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()])
     assert P.pii_table(empty).count() == 0 and P.sanitised(odd).count() == 11
