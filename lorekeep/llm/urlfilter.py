@@ -33,12 +33,18 @@ RULES = (
 #: Rules are compiled into the plan; far larger lists belong in a table.
 MOST_RULES = 2_000
 
-# Patterns that Java and RE2 read alike.
+# Patterns of the SQL, which follows the first tag of a kind only; Java and RE2 read them alike.
 CANONICAL_TAG = r"(?i)<link[^>]*rel\s*=\s*[\"']?canonical[^>]*>"
 HREF = r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TAG = r"(?i)<meta[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>"
 REFRESH_URL = r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)"
 
+# Patterns of page_edges.
+LINK_TAGS = r"(?i)<link\b[^>]*+>"
+META_TAGS = r"(?i)<meta\b[^>]*+>"
+#: What the content of a refresh names, after its seconds.
+REFRESH_CONTENT = r"(?i)^\s*(?:[0-9.]++[\s;,]++|(?=url\s*=))(?:url\s*=\s*)?+[\"']?\s*([^\"'\s]+)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 #: What stands before the first '://', the host, the path, the query.
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
@@ -73,19 +79,60 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column
     return found
 
 
-def _target(html: Column, word: str, tag: str, value: str) -> Column:
-    found = F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1)
-    return F.when(F.contains(F.lower(html), F.lit(word)), F.replace(found, F.lit("&amp;"), F.lit("&"))).otherwise("")
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, empty where it has none."""
+    pattern = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]))
+
+
+def _targets(html: Column, word: str, tags: str, of) -> Column:
+    """What all tags of a kind name, empty texts among it; only pages that hold the word are searched."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda tag: F.replace(of(tag), F.lit("&amp;"), F.lit("&")))
+    return F.when(F.contains(F.lower(html), F.lit(word)), found).otherwise(F.array().cast("array<string>"))
+
+
+def _canonical(tag: Column) -> Column:
+    rel = F.split(F.lower(_attribute(tag, "rel")), r"\s+")
+    return F.when(F.array_contains(rel, "canonical"), _attribute(tag, "href")).otherwise("")
+
+
+def _refresh(tag: Column) -> Column:
+    return F.when(F.lower(_attribute(tag, "http-equiv")) == "refresh", F.regexp_extract(_attribute(tag, "content"), REFRESH_CONTENT, 1)).otherwise("")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without its segments '.' and '..'."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """A link's target as a whole url, as RFC 3986 resolves it against the page's url; empty for other schemes and for places in the page itself."""
+    to = F.regexp_extract(to, r"(?s)^([^#]*)", 1)
+    path, query = F.regexp_extract(to, r"(?s)^([^?]*)", 1), F.regexp_extract(to, r"(?s)^[^?]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    root = F.concat(F.lit("http://"), host_of(url))
+    here = F.when(path == "", path_of(url)).when(path.startswith("/"), _without_dots(path)).otherwise(_without_dots(F.concat(folder, path)))
+    whole = F.when(to.rlike(SCHEME + "//"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to))
+    return whole.when((to == "") | to.rlike(SCHEME) | (host_of(url) == ""), "").otherwise(F.concat(root, here, query))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) of canonical links and immediate redirects that pages state in their html: absolute, with the page's scheme or from the host's root; others aren't followed."""
+    """(a, b) of all canonical links and redirects that pages state in their html, canonical being one word of a link's rel. Relative targets are resolved against the page's url; base tags aren't read."""
     html = F.coalesce("html", F.lit(""))
-    targets = F.array(_target(html, "canonical", CANONICAL_TAG, HREF), _target(html, "refresh", REFRESH_TAG, REFRESH_URL))
-    raw = pages.select("url", F.explode(targets).alias("to")).where("to != ''")
-    to = F.col("to")
-    full = F.when(F.instr(to, "://") > 0, to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), to)).otherwise("")
-    return raw.select("url", full.alias("to")).select(node_of(F.col("url")).alias("a"), node_of(to).alias("b")).where("a != '' and b != '' and a != b")
+    targets = F.concat(_targets(html, "canonical", LINK_TAGS, _canonical), _targets(html, "refresh", META_TAGS, _refresh))
+    raw = pages.select("url", F.explode(F.array_distinct(targets)).alias("to")).where("to != ''")
+    ends = raw.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("to"), F.col("url"))).alias("b"))
+    return ends.where("a != '' and b != '' and a != b")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -41,5 +41,22 @@ def test_long_chains_and_hubs(spark):
     assert {r["verdict"] for r in rows if r["page_id"] < n} == {"block"} and {r["verdict"] for r in rows if r["page_id"] >= 1000} == {"allow"}
 
 
+def test_all_tags_and_relative_targets(spark):
+    link = lambda to, rel="canonical": f'<link rel="{rel}" href="{to}">'
+    at = "http://r.net/a/b/c?q=1"
+    want = {
+        link("page/5"): "r.net/a/b/page/5", link("../x"): "r.net/a/x", link("../../../x/./y/.."): "r.net/x/", link("?id=2"): "r.net/a/b/c?id=2", link("/d/../e?u=http://z.net"): "r.net/e?u=http://z.net",
+        link("x?y=../z"): "r.net/a/b/x?y=../z", link("//S.net/y#f"): "s.net/y", link("HTTPS://s.net/y?a=1&amp;b=2"): "s.net/y?a=1&b=2", link("n", "nofollow Canonical"): "r.net/a/b/n",
+        link("mailto:a@b.c"): None, link("#top"): None, link("n", "canonical-not"): None, link("n", "next") + "canonical": None, "<linked rel=canonical href=n>": None,
+        "<link href=n rel=canonical>": "r.net/a/b/n", "<meta content='5; url=m' http-equiv=Refresh>": "r.net/a/b/m", '<meta http-equiv="refresh" content="5">': None,
+    }
+    pages = spark.createDataFrame([(f"{at}&k={k}", h) for k, h in enumerate(want)], "url string, html string")
+    got = {r["a"]: r["b"] for r in U.page_edges(pages).collect()}
+    assert got == {f"r.net/a/b/c?q=1&k={k}": b for k, b in enumerate(want.values()) if b}
+    many = link("http://one.net/") + link("two") + '<meta http-equiv="refresh" content="0;url=three"><meta http-equiv="refresh" content="0;url=http://q.com/de/x">'
+    pages = spark.createDataFrame([(1, "http://free.net/a/", many), (2, "http://free.net/a/two", None), (3, "http://free.net/a/b", link("../a/three", "alternate canonical")), (4, "http://free.net/z", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in U.url_table(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_empty(spark):
     assert U.url_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
