@@ -326,7 +326,7 @@ def _slices(b: pa.RecordBatch, characters: int = 4 << 20) -> Iterator[pa.RecordB
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, spans (array of start, end, probability in characters).
 
-    Only the whole text enters a score. Null and empty texts have no token and the lowest score; repeats have equal scores;
+    Spans rest on the marginals of tokens alone, so documents with a score below 0.5 have them too. Only the whole text enters a score. Null and empty texts have no token and the lowest score; repeats have equal scores;
     further columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
@@ -337,7 +337,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 texts = b.column("text").to_pylist()
                 marginals = shared.value.marginals([words_of(t) for t in texts])
                 s = shared.value.scores(marginals)
-                spans = [[{"start": x, "end": y, "probability": p} for x, y, p in shared.value.spans(t, m)] if v >= 0.5 else [] for t, m, v in zip(texts, marginals, s, strict=True)]
+                spans = [[{"start": x, "end": y, "probability": p} for x, y, p in shared.value.spans(t, m)] if m.max(initial=0.0) >= 0.5 else [] for t, m in zip(texts, marginals, strict=True)]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "held_out", "score", "predicted", "spans"])
 

@@ -41,6 +41,18 @@ def test_held_out(spark, medium):
     assert "idiot" in {text[k].lower()[s["start"] : s["end"]] for k, r in rows.items() for s in r["spans"]}
 
 
+def test_spans_of_documents_with_low_scores(spark, medium, monkeypatch):
+    docs, labels = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
+    model = X.fit(docs, labels)
+    model.document = np.array([-50.0, 0.0, 0.0])  # every score is next to 0; marginals stay
+    monkeypatch.setattr(X, "fit", lambda *_: model)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["text"]]
+    got = {r["doc_id"]: r for r in X.score(docs, labels).collect()}
+    want = {k: [(a, b) for a, b, _ in model.spans(t, model.marginals([X.words_of(t)])[0])] for k, t in rows if len(t) < 4000}
+    assert all(r["score"] < 0.5 for r in got.values()) and any(want.values())
+    assert {k: [(s["start"], s["end"]) for s in got[k]["spans"]] for k in want} == want
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (5, 1, None), (None, 1, 1), (2, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
