@@ -29,12 +29,12 @@ MAGIC = b"LKT1"
 
 TOTAL_BITS = 16
 TOTAL = 1 << TOTAL_BITS
-SLOT_BITS = 11
+SLOT_BITS = 12
 CONFIDENCE = 7
 #: Order 0 keeps at least this part of TOTAL for itself against order 1, and both together twice as much against order 2.
 FLOOR = 8192
 #: Tokens between two settings of order 0, what a token adds to its bucket's count, and the sum of its shares.
-REFRESH = 64
+REFRESH = 32
 STEP = 8
 SHARES_BITS = 13
 SHARES = 1 << SHARES_BITS

@@ -80,3 +80,15 @@ def test_files_hold_all_documents(spark, small, odd, empty, pieces, monkeypatch)
         got = [tuple(r) for r in C.token_table(docs).orderBy("start").collect()]
         assert got == brute(pieces, rows)
     assert C.token_table(empty).count() == 0
+
+
+def test_tables_compress_better_than_halved_ones(monkeypatch):
+    rng = np.random.default_rng(8)
+    phrases = [rng.zipf(1.3, 12) % 20_000 for _ in range(600)]
+    ids = np.concatenate([phrases[k] for k in rng.integers(0, 600, 12_000)])
+    whole = C.pack(ids, [1], [len(ids)])
+    assert np.array_equal(C.unpack(whole)[0], ids)
+    monkeypatch.setattr(C, "SLOT_BITS", 11)
+    monkeypatch.setattr(C, "_SLOTS", (1 << 11) - 1)
+    monkeypatch.setattr(C, "REFRESH", 64)
+    assert len(whole) < len(C.pack(ids, [1], [len(ids)]))
