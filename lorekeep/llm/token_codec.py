@@ -7,9 +7,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,164 +23,182 @@ from .common import written
 BLOCK = 4096
 SEGMENT = 4 << 20
 END_ID = 2
-#: Pieces of text whose ids a worker remembers.
+#: Entries of one generation of a worker's memories, the characters of the longest, and words that go to the library together.
 REMEMBERED = 400_000
+LONGEST = 64
+_TOGETHER = 100
 
 # Format of a segment: MAGIC, crc32 of the header, header length, header (deflated), blocks.
 MAGIC = b"LKT1"
 
-TOTAL_BITS = 16
-TOTAL = 1 << TOTAL_BITS
+TOTAL = 1 << 16
 SLOT_BITS = 12
+_SLOTS = (1 << SLOT_BITS) - 1
+#: What a slot holds before it has seen an id; no rank equals it.
+_NONE = 0xFFFF
 CONFIDENCE = 7
 #: Order 0 keeps at least this part of TOTAL for itself against order 1, and both together twice as much against order 2.
-FLOOR = 8192
-#: Tokens between two settings of order 0, what a token adds to its bucket's count, and the sum of its shares.
-REFRESH = 32
+FLOOR = 4096
+#: Steps after which slots and weights take in what was seen; order 0 does so at first as often, then each time its block has grown by a quarter.
+EPOCH = 16
+#: What an id adds to its bucket's count, and the sum of the buckets' shares.
 STEP = 8
-SHARES_BITS = 13
+SHARES_BITS = 12
 SHARES = 1 << SHARES_BITS
-#: How fast the weights of orders 1 and 2 follow their success.
-RATE = 5
-_LOW, _TOP, _WORD = np.uint64(48), np.uint64(32), np.uint64(16)
-_MASK, _SHORT = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
+#: Bits of the weights of orders 1 and 2, and how fast they follow their success.
+WEIGHT_BITS, RATE = 14, 5
 
-# Order-0 buckets of ranks: 80 single ranks, then sixteen buckets for each power of two.
-BUCKET_BITS = np.array([0] * 80 + [b for b in range(1, 12) for _ in range(16)])
+# Order-0 buckets of ranks: 64 single ranks, then eight buckets for each power of two.
+BUCKET_BITS = np.array([0] * 64 + [b for b in range(3, 13) for _ in range(8)])
 BUCKET_BASE = np.concatenate([[0], np.cumsum(1 << BUCKET_BITS)[:-1]])
 BUCKETS = len(BUCKET_BITS)
-SINGLE = int((BUCKET_BITS == 0).sum())
-_BITS, _ORDINAL, _LAST = BUCKET_BITS.astype(np.uint64), np.arange(1, BUCKETS + 1, dtype=np.int32), np.uint64(TOTAL - 1)
-_SLOTS = (1 << SLOT_BITS) - 1
+_SCALE, _BASE, _ORDINAL = 0.5**BUCKET_BITS, BUCKET_BASE.astype(np.int32), np.arange(BUCKETS + 1, dtype=np.int32)
 #: A slot's next confidence, shifted into place: by its confidence after an error, then after a success.
 _NEXT = np.array([max(1, k >> 1) for k in range(CONFIDENCE + 1)] + [min(k + 1, CONFIDENCE) for k in range(CONFIDENCE + 1)], np.int32) << 16
+# The coder's 48-bit numbers are kept as doubles, which hold them and all products here exactly.
+_WHOLE, _SHORT, _WORD, _UNWORD, _UNSHORT = 2.0**48, 2.0**32, 2.0**16, 2.0**-16, 2.0**-32
 
 
 class _Lanes:
     """The models of many blocks side by side, one lane each. The same calls in the same order give the same numbers, so reader and writer agree.
 
-    A slot of order 1 or 2 holds the id that it expects and a confidence; each confidence has a weight, 16 bits, that follows how often
-    such slots are right. Weights of both orders and the shares of order 0 are mixed into one distribution of TOTAL. Arrays of
-    both orders are kept in one, order 1 in front, so that a step is few calls; counts are added up when the shares are set.
+    A slot of order 1 or 2 holds the id that it expects and a confidence; each confidence has a weight that follows how often such slots
+    are right. Weights of both orders and the shares of order 0 are mixed into one distribution of TOTAL. Slots and weights learn
+    an epoch's ids at its end: the writer then predicts whole epochs at once, and the reader's steps are short. Arrays of both
+    orders are kept in one, order 1 in front.
     """
 
-    def __init__(self, lanes: int, ranks: int):
+    def __init__(self, lanes: int):
         self.lanes, both = lanes, np.arange(2 * lanes, dtype=np.int64)
-        self.lane, self.slot, self.row8 = both[:lanes], both << SLOT_BITS, both * (CONFIDENCE + 1)
-        self.row0, self.row = self.lane * BUCKETS, self.lane * (BUCKETS + 1)
-        self.table = np.zeros(2 * lanes << SLOT_BITS, np.int32)
-        self.weight = np.tile(np.array([0] + [TOTAL // 3] * CONFIDENCE), 2 * lanes)
+        self.slot, self.row8 = both << SLOT_BITS, both * (CONFIDENCE + 1)
+        self.row0 = both[:lanes] * BUCKETS
+        self.table = np.full(2 * lanes << SLOT_BITS, _NONE, np.int32)
+        self.weight = np.tile(np.array([0] + [(1 << WEIGHT_BITS) // 3] * CONFIDENCE, np.int32), 2 * lanes)
         self.count = np.ones(lanes * BUCKETS, np.float32)
         self.share = np.zeros((lanes, BUCKETS + 1), np.int32)
-        self.flat, self.seen = self.share.reshape(-1), []
-        id = np.arange(max(ranks, 1), dtype=np.int64)
-        self.hash1, self.hash2, self.hash3 = id * 40503 >> 4 & _SLOTS, id * 40503 >> 3 & _SLOTS, id * 30011 >> 3 & _SLOTS
-        self.last, self.older = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at, self.twice = np.empty(2 * lanes, np.int64), np.empty(2 * lanes, np.int32)
-        self.steps = 0
-
-    def _refresh(self) -> None:
-        """Shares of the buckets by their counts, one at least, summed up; old counts fade."""
+        self.seen, self.steps, self.due = [], 0, 0
+
+    def refresh(self) -> bool:
+        """Whether order 0 was due: then shares follow the buckets' counts, one at least, summed up; ends has a bucket's sum before it and with it, 16 bits each."""
+        if self.steps < self.due:
+            return False
+        self.due = self.steps + max(EPOCH, self.steps // 4)
         if self.seen:
             self.count += STEP * np.bincount(np.concatenate(self.seen), minlength=len(self.count))
             self.seen = []
-        count = self.count.reshape(-1, BUCKETS)
-        total = np.cumsum(count, axis=1)
-        over = total[:, -1] > 4 * SHARES
+        total = np.cumsum(self.count.reshape(-1, BUCKETS), axis=1)
         total *= (SHARES - BUCKETS) / total[:, -1:]
         total[:, -1] = SHARES - BUCKETS
-        self.share[:, 1:] = total
-        self.share[:, 1:] += _ORDINAL
-        if over.any():
-            count[over] = np.ceil(count[over] / 2)
-
-    def predict(self) -> None:
-        """Of TOTAL, m2 and m1 for the ids that orders 2 and 1 expect and m0 for all by order 0."""
-        if self.steps % REFRESH == 0:
-            self._refresh()
+        self.share[:, 0], self.share[:, 1:] = 0, total
+        self.share += _ORDINAL
+        self.ends = (self.share[:, :-1] << 16 | self.share[:, 1:]).ravel()
+        return True
+
+    def places(self, last: np.ndarray, older: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The slots of contexts, for one step or for many: order 1 by the last rank, order 2 by a hash of the last two."""
         n = self.lanes
-        self.at[:n] = self.hash1.take(self.last)
-        self.at[n:] = self.hash2.take(self.last) ^ self.older
-        self.at += self.slot
-        e = self.table.take(self.at)
-        self.c, self.k = e & 0xFFFF, e >> 16
-        self.known = self.k > 0
-        self.j = self.row8 + self.k
-        self.w = self.weight.take(self.j)
-        self.c1, self.c2 = self.c[:n], self.c[n:]
-        self.m2 = self.w[n:] * (TOTAL - 2 * FLOOR) >> 16
-        m1 = self.w[:n] * (TOTAL - FLOOR - self.m2) >> 16
-        self.m1 = m1 * ((self.c1 != self.c2) | ~self.known[n:])
-        self.m21 = self.m2 + self.m1
-        self.m0 = TOTAL - self.m21
-
-    def matches(self, x: np.ndarray) -> None:
+        np.bitwise_and(last, _SLOTS, out=out[..., :n])
+        hashed = last * 40503
+        hashed ^= older * 30011
+        hashed >>= 3
+        np.bitwise_and(hashed, _SLOTS, out=out[..., n:])
+        out += self.slot
+        return out
+
+    def mix(self, held: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of slots' contents: what they expect, their confidences, and the parts m2 and m1 of TOTAL for the ids that orders 2 and 1 expect."""
         n = self.lanes
-        self.twice[:n], self.twice[n:] = x, x
-        self.same = (self.c == self.twice) & self.known
-        self.is2 = self.same[n:]
-        self.missed = ~self.is2
-        self.is1 = self.same[:n] & self.missed
-        self.literal = self.missed & ~self.is1
-
-    def update(self, x: np.ndarray, bucket: np.ndarray) -> None:
-        """After matches(x): what the lanes learn from their next ids. A slot that was wrong halves its confidence, and takes the new id at the lowest."""
+        expected, sure = held & 0xFFFF, held >> 16
+        weight = self.weight.take(self.row8 + sure)
+        m2 = weight[..., n:] * (TOTAL - 2 * FLOOR)
+        m2 >>= WEIGHT_BITS
+        m1 = (TOTAL - FLOOR) - m2
+        m1 *= weight[..., :n]
+        m1 >>= WEIGHT_BITS
+        m1 *= expected[..., :n] != expected[..., n:]
+        return expected, sure, m2, m1
+
+    def learn(self, at: np.ndarray, held: np.ndarray, x: np.ndarray, bucket: np.ndarray) -> None:
+        """What slots, weights and counts take from the ranks x of an epoch. A slot that was wrong halves its confidence, and takes the new id at the lowest."""
         n = self.lanes
-        stays = self.same | (self.k > 1)
-        self.table[self.at] = np.where(stays, self.c, self.twice) | _NEXT.take(self.k + self.same * (CONFIDENCE + 1))
-        gain = self.same * (TOTAL - 1 >> RATE) - (self.w >> RATE)
-        gain[:n] *= self.missed
-        self.weight[self.j] = self.w + gain
-        self.seen.append((self.row0 + bucket)[self.literal])
-        self.older, self.last = self.hash3.take(self.last), x
-        self.steps += 1
+        expected, sure = held & 0xFFFF, held >> 16
+        same = expected.reshape(-1, 2, n) == x[:, None]
+        twice = np.concatenate([x, x], axis=1)
+        hit2, same = same[:, 1].copy(), same.reshape(len(x), -1)
+        expected -= twice
+        expected *= same | (sure > 1)
+        expected += twice
+        expected |= _NEXT.take(sure + same * np.int32(CONFIDENCE + 1))
+        self.table[at] = expected
+        sure[:, :n] *= ~hit2
+        j = self.row8 + sure
+        held_by, right = np.bincount(j.ravel(), minlength=len(self.weight)), np.bincount(j[same], minlength=len(self.weight))
+        self.weight += ((right << WEIGHT_BITS) - held_by * self.weight >> RATE).astype(np.int32)
+        self.weight[:: CONFIDENCE + 1] = 0
+        self.seen.append((self.row0 + bucket)[~(hit2 | same[:, :n])])
+        self.steps += len(x)
 
 
 def encode_blocks(ranks: np.ndarray, bucket_of: np.ndarray) -> list[bytes]:
-    """Each row of ranks as the words of a range coder with 48-bit low end; carries are kept in the words and settled at the end.
+    """Each row of ranks as the words of a range coder with 48-bit low end.
 
     An id is coded in the part of the highest order that expects it, or in the share of its bucket and there evenly. Afterwards a
-    width below 2^32 gives off one or two words of 16 bits.
+    width below 2^32 gives off one or two words of 16 bits. Between words low may pass 2^48: the carry then goes into the next
+    word, and all carries are settled at the end.
     """
     lanes, size = ranks.shape
-    model = _Lanes(lanes, len(bucket_of))
-    low, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64), np.arange(lanes) * (2 * size + 4)
-    room, first = 2 * size + 4, pos.copy()
-    out = np.zeros(lanes * room, np.uint32)
-    columns, buckets = np.ascontiguousarray(ranks.T).astype(np.int64), np.ascontiguousarray(bucket_of[ranks].T)
-    for t in range(size):
-        x, b = columns[t], buckets[t]
-        model.predict()
-        model.matches(x)
-        start, part = model.m2 * model.is1, np.where(model.is2, model.m2, model.m1)
-        own = np.flatnonzero(model.literal)
-        at, m0, bucket = model.row[own] + b[own], model.m0[own], b[own]
-        a, z = model.flat.take(at) * m0 >> SHARES_BITS, model.flat.take(at + 1) * m0 >> SHARES_BITS
-        start[own] = model.m21[own] + a
-        part[own] = z - a
-        unit = width >> _WORD
-        low += start.view(np.uint64) * unit
-        width = part.view(np.uint64) * unit
-        wide = bucket >= SINGLE
-        own, bucket = own[wide], bucket[wide]
-        unit = width[own] >> _BITS[bucket]
-        low[own] += (x[own] - BUCKET_BASE[bucket]).view(np.uint64) * unit
-        width[own] = unit
-        carry = np.flatnonzero(low > _MASK)
-        if len(carry):
-            out[pos[carry] - 1] += 1
-            low[carry] &= _MASK
-        short = np.flatnonzero(width < _SHORT)
-        while len(short):
-            x16, w, p = low[short], width[short] << _WORD, pos[short]
-            out[p] = x16 >> _TOP
-            low[short] = x16 << _WORD & _MASK
-            width[short] = w
-            pos[short] = p + 1
-            short = short[w < _SHORT]
-        model.update(x, b)
-    for shift in (32, 16, 0):
-        out[pos] = (low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint32)
+    model = _Lanes(lanes)
+    room = 2 * size + 4
+    low, width, first = np.zeros(lanes), np.full(lanes, _WHOLE - 1), np.arange(lanes) * room
+    pos, out = first.copy(), np.zeros(lanes * room, np.uint32)
+    columns = np.zeros((size + 2, lanes), np.int32)
+    columns[2:] = ranks.T
+    for t in range(0, size, EPOCH):
+        x = columns[t + 2 : t + 2 + EPOCH]
+        n, b = len(x), bucket_of.take(columns[t + 2 : t + 2 + EPOCH])
+        model.refresh()
+        at = model.places(columns[t + 1 : t + 1 + n].astype(np.int64), columns[t : t + n].astype(np.int64), np.empty((n, 2 * lanes), np.int64))
+        held = model.table.take(at)
+        expected, _, m2, m1 = model.mix(held)
+        is2, is1 = (expected[:, lanes:] == x) & (m2 > 0), (expected[:, :lanes] == x) & (m1 > 0)
+        literal, m21 = ~(is1 | is2), m2 + m1
+        z, m0 = model.ends.take(model.row0 + b), TOTAL - m21
+        a, z = (z >> 16) * m0 >> SHARES_BITS, (z & 0xFFFF) * m0 >> SHARES_BITS
+        z -= a
+        a += m21
+        start, part = (a * literal + m2 * is1).astype(np.float64), (z * literal + m2 * is2 + m1 * is1).astype(np.float64)
+        inner = b * literal
+        scale, off = _SCALE.take(inner), ((x - _BASE.take(inner)) * literal).astype(np.float64)
+        for k in range(n):
+            unit = np.floor(width * _UNWORD)
+            low += start[k] * unit
+            width = part[k] * unit
+            width *= scale[k]
+            np.floor(width, out=width)
+            low += off[k] * width
+            short = width < _SHORT
+            word = np.floor(low * _UNSHORT)
+            out[pos] = word  # lanes that give off none write here again
+            pos += short
+            word *= short
+            word *= _SHORT
+            low -= word
+            more = short * (_WORD - 1)
+            more += 1
+            low *= more
+            width *= more
+            short = np.flatnonzero(width < _SHORT)
+            if len(short):
+                word = np.floor(low[short] * _UNSHORT)
+                out[pos[short]] = word
+                pos[short] += 1
+                low[short] = (low[short] - word * _SHORT) * _WORD
+                width[short] *= _WORD
+        model.learn(at, held, x, b)
+    for _ in range(3):
+        word = np.floor(low * _UNSHORT)
+        out[pos] = word
+        low = (low - word * _SHORT) * _WORD
         pos += 1
     words, used = out.reshape(lanes, room), pos - first
     for p in range(int(used.max()) - 1, 0, -1):
@@ -194,51 +214,82 @@ def decode_blocks(blocks: list[bytes], size: int, bucket_of: np.ndarray) -> np.n
     words = np.zeros((lanes, room), np.uint16)
     for k, b in enumerate(blocks):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    code = words[:, 0].astype(np.uint64) << _TOP | words[:, 1].astype(np.uint64) << _WORD | words[:, 2]
+    code = words[:, 0] * _SHORT + words[:, 1] * _WORD + words[:, 2]
     words = words.reshape(-1)
-    model = _Lanes(lanes, len(bucket_of))
-    width, pos = np.full(lanes, (1 << 48) - 1, np.uint64), model.lane * room + 3
-    out = np.zeros((size, lanes), np.int64)
-    for t in range(size):
-        model.predict()
-        unit = width >> _WORD
-        value = np.minimum(code // unit, _LAST).view(np.int64)
-        by2 = value < model.m2
-        x = np.where(by2, model.c2, model.c1).astype(np.int64)
-        start, part = model.m2 * ~by2, np.where(by2, model.m2, model.m1)
-        bucket = np.zeros(lanes, np.int64)
-        own = np.flatnonzero(value >= model.m21)
-        m0, m21, row = model.m0[own], model.m21[own], model.row[own]
-        goal = ((value[own] - m21 + 1 << SHARES_BITS) - 1) // m0
-        at = row.copy()
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            at += half * (model.flat.take(at + half) <= goal)
-        a = model.flat.take(at) * m0 >> SHARES_BITS
-        start[own] = m21 + a
-        part[own] = (model.flat.take(at + 1) * m0 >> SHARES_BITS) - a
-        at -= row
-        bucket[own] = at
-        x[own] = BUCKET_BASE[at]
-        code -= start.view(np.uint64) * unit
-        width = part.view(np.uint64) * unit
-        wide = at >= SINGLE
-        own, at = own[wide], at[wide]
-        unit, rest = width[own] >> _BITS[at], code[own]
-        off = rest // unit
-        code[own] = rest - off * unit
-        width[own] = unit
-        x[own] += off.view(np.int64)
-        short = np.flatnonzero(width < _SHORT)
-        while len(short):
-            w, p = width[short] << _WORD, pos[short]
-            code[short] = code[short] << _WORD | words.take(p)
-            width[short] = w
-            pos[short] = p + 1
-            short = short[w < _SHORT]
-        out[t] = x
-        model.matches(x)
-        model.update(x, bucket)
-    return out.T
+    model = _Lanes(lanes)
+    width, pos = np.full(lanes, _WHOLE - 1), np.arange(lanes) * room + 3
+    bucket_by_share, share_row = np.zeros(0, np.uint8), np.arange(lanes) << SHARES_BITS
+    every = np.tile(np.arange(BUCKETS, dtype=np.uint8), lanes)
+    out = np.zeros((size + 2, lanes), np.int64)
+    for t in range(0, size, EPOCH):
+        n = min(EPOCH, size - t)
+        if model.refresh():
+            bucket_by_share = np.repeat(every, np.diff(model.share, axis=1).ravel())
+        at, held, bucket = np.empty((n, 2 * lanes), np.int64), np.empty((n, 2 * lanes), np.int32), np.empty((n, lanes), np.int64)
+        for k in range(n):
+            model.places(out[t + k + 1], out[t + k], at[k])
+            model.table.take(at[k], out=held[k], mode="clip")
+            expected, _, m2, m1 = model.mix(held[k])
+            m21 = m2 + m1
+            m0 = TOTAL - m21
+            unit = np.floor(width * _UNWORD)
+            value = (code / unit).astype(np.int32)
+            by2, own = value < m2, value >= m21
+            value -= m21
+            value += 1
+            goal = ((value * float(SHARES) - 1) / m0).astype(np.int64)
+            goal *= own
+            goal += share_row
+            b = bucket[k]
+            b[:] = bucket_by_share.take(goal)
+            z = model.ends.take(model.row0 + b)
+            a = z >> 16
+            z &= 0xFFFF
+            a *= m0
+            a >>= SHARES_BITS
+            z *= m0
+            z >>= SHARES_BITS
+            z -= a
+            # Selections by multiplying, as the conditions are too irregular for branches: own, by2, or else m1's part.
+            a += m1
+            a *= own
+            a += m2 * ~by2
+            z -= m1
+            z *= own
+            z += m1
+            m2 -= m1
+            m2 *= by2
+            z += m2
+            code -= a * unit
+            width = z * unit
+            width *= _SCALE.take(b)
+            np.floor(width, out=width)
+            off = np.floor(code / width)
+            code -= off * width
+            x, second = expected[:lanes], expected[lanes:]
+            own_x = off.astype(np.int32)
+            own_x += _BASE.take(b)
+            own_x -= x
+            own_x *= own
+            second -= x
+            second *= by2
+            own_x += second
+            own_x += x
+            out[t + k + 2] = own_x
+            short = width < _SHORT
+            more = short * (_WORD - 1)
+            more += 1
+            width *= more
+            code *= more
+            code += words.take(pos) * short
+            pos += short
+            short = np.flatnonzero(width < _SHORT)
+            if len(short):
+                code[short] = code[short] * _WORD + words.take(pos[short])
+                width[short] *= _WORD
+                pos[short] += 1
+        model.learn(at, held, out[t + 2 : t + 2 + n].astype(np.int32), bucket)
+    return out[2:].T
 
 
 def _bucket_of(ranks: int) -> np.ndarray:
@@ -291,63 +342,169 @@ def unpack(data: bytes) -> tuple[np.ndarray, list[int | None], list[int]]:
     return table[rows].astype(np.int64) if n else rows, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], sizes.tolist()
 
 
+class _Memory:
+    """Ids of short texts in two generations of at most `room` entries each: what is found in the old one moves to the new one, and when that is full the old one goes."""
+
+    def __init__(self, room: int):
+        self.room, self.new, self.old = room, {}, {}
+
+    def find(self, text: str) -> bytes | None:
+        x = self.new.get(text)
+        if x is None and (x := self.old.get(text)) is not None:
+            self.new[text] = x
+        return x
+
+    def turn(self) -> None:
+        if len(self.new) >= self.room:
+            self.old, self.new = self.new, {}
+
+
 class Pieces:
-    """The tokenizers library with a memory of pieces.
+    """The tokenizers library with a memory of words.
 
     Byte-level BPE first cuts a text into runs that never hold a space after another character, so a text may be cut before any
     space that doesn't stand between two white-space characters (the end of the text counts as one): the pieces' ids joined
-    are the text's ids. Pieces recur far more than texts, so each is encoded by the library once.
+    are the text's ids. A run never goes on from a letter or digit into other signs either, so a piece that ends with ASCII signs after
+    an ASCII letter or digit may be cut before them. Words recur far more than texts, so the library encodes each once; many go to it in one text, with a
+    line feed, which is a run of its own before a space and a character, between them. Texts that hold one of the tokenizer's added
+    tokens aren't cut at all. Pieces and words are counted out and ids are joined by array operations over some MB of text at once.
     """
 
     _UNSAFE = re.compile(r"\s (?:\s|\Z)")
     _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+    _SPACE = re.compile(r"\s")
+    _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    _ENDS = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.after_space: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("this tokenizer has ids of 65,536 or more")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.whole = _Memory(REMEMBERED), _Memory(REMEMBERED)
+        feed = self._ids("\n")
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that no space goes before."""
+        x = self.whole.find(text)
+        if x is None:
+            x = self._ids(text).tobytes()
+            if len(text) <= LONGEST:
+                self.whole.new[text] = x
+        return x
+
+    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words after a space, each by itself or, without white space in them, many with line feeds between them, which are found again one for each."""
+        out, together = {}, []
+        for w in words:
+            if w and self.feed is not None and not self._SPACE.search(w):
+                together.append(w)
+            else:
+                out[w] = self._ids(" " + w).tobytes()
+        for i in range(0, len(together), _TOGETHER):
+            some = together[i : i + _TOGETHER]
+            ids = self._ids(" " + "\n ".join(some))
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(some) - 1:
+                raw, ends = ids.tobytes(), [-2, *(ends * 2).tolist(), 2 * len(ids)]
+                out.update((w, raw[b + 2 : e]) for w, b, e in zip(some, ends, ends[1:], strict=False))
+            else:
+                out.update((w, self._ids(" " + w).tobytes()) for w in some)
+        return out
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words that a space goes before."""
+        self.words.turn()
+        known, before = self.words.new, self.words.old.get
+        out, new, i = list(map(known.get, words)), [], -1
+        for _ in range(out.count(None)):
+            i = out.index(None, i + 1)
+            x = before(words[i])
+            if x is None:
+                new.append(i)
+                out[i] = b""
+            else:
+                known[words[i]] = out[i] = x
+        learnt = self._learn_words([words[i] for i in new])
+        for i in new:
+            out[i] = learnt[words[i]]
+        known.update((w, x) for w, x in learnt.items() if len(w) <= LONGEST)
+        return out
 
-    def _learn(self, seen: dict[str, bytes], missing: set[str], before: str) -> None:
-        keys = list(missing)
-        for k, e in zip(keys, self.tokenizer.encode_batch_fast([before + k for k in keys], add_special_tokens=False), strict=True):
-            seen[k] = np.array(e.ids, "<u2" if not e.ids or max(e.ids) < 1 << 16 else np.uint64).astype("<u2").tobytes()
+    def _pieces_after_space(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that a space goes before, one after another, and how many each has: those of its word and of the signs after it."""
+        words = pc.ascii_rtrim(pieces, self._SIGNS)
+        _, ends, data = words.buffers()
+        ends, data = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        last = np.where(np.diff(ends) > 0, np.append(data, 0)[ends[1:] - 1], 0)
+        words = pc.if_else(pa.array(self._ENDS[last]), words, pieces)
+        signs = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()
+        ends_so, tails = np.flatnonzero(signs), {}
+        tail_of = [tails.setdefault(p[-n:], len(tails)) for p, n in zip(pieces.take(pa.array(ends_so)).to_pylist(), signs[ends_so].tolist(), strict=True)]
+        coded = words.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        blobs = [b"", *self._after_space(words), *map(self._whole, tails)]
+        code = np.zeros((len(pieces), 2), np.int64)
+        code[:, 0] = coded.indices.to_numpy()
+        code[:, 0] += 1
+        code[ends_so, 1] = tail_of
+        code[ends_so, 1] += 1 + len(words)
+        ids, ends = _joined(*_bank(blobs), code.ravel())
+        return ids, np.diff(ends[1::2], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, two bytes each, little-endian."""
-        if len(self.after_space) + len(self.whole) > REMEMBERED:
-            self.after_space.clear()
-            self.whole.clear()
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("this tokenizer has ids of 65,536 or more")
-        cut, out = [], []
-        rest_of, whole_of, unsafe = self.after_space.get, self.whole.get, self._UNSAFE.search
-        new_rest, new_whole = set(), set()
-        for t in texts:
-            if unsafe(t):
-                cut.append((None, [p for p in self._CUT.split(t) if p]))
-                new_whole.update(p for p in cut[-1][1] if p not in self.whole)
-                out.append(None)
-                continue
-            first, *rest = t.split(" ")
-            cut.append((first, rest))
-            head, ids = whole_of(first), list(map(rest_of, rest))
-            if head is None:
-                new_whole.add(first)
-            if None in ids:
-                new_rest.update(p for p, x in zip(rest, ids, strict=True) if x is None)
-                head = None
-            out.append(None if head is None else head + b"".join(ids))
-        self._learn(self.after_space, new_rest, " ")
-        self._learn(self.whole, new_whole, "")
-        for k, (first, rest) in enumerate(cut):
-            if out[k] is None:
-                out[k] = b"".join(map(self.whole.__getitem__, rest)) if first is None else self.whole[first] + b"".join(map(self.after_space.__getitem__, rest))
+        out, cut = [b""] * len(texts), []
+        self.whole.turn()
+        for k, t in enumerate(texts):
+            if any(a in t for a in self.added):
+                out[k] = self._ids(t).tobytes()
+            elif self._UNSAFE.search(t):
+                out[k] = b"".join(self._whole(p) for p in self._CUT.split(t) if p)
+            else:
+                cut.append(k)
+        if not cut:
+            return out
+        split = pc.split_pattern(pa.array([texts[k] for k in cut], pa.large_string()), " ")
+        begin, coded, first = split.offsets.to_numpy(), split.values.dictionary_encode(), {}
+        ids, size = self._pieces_after_space(coded.dictionary)
+        code = coded.indices.to_numpy().astype(np.int64)
+        code[begin[:-1]] = [len(size) + first.setdefault(t, len(first)) for t in split.values.take(pa.array(begin[:-1])).to_pylist()]
+        first_ids, first_size = _bank(list(map(self._whole, first)))
+        ids, ends = _joined(np.concatenate([ids, first_ids]), np.concatenate([size, first_size]), code)
+        ends = np.concatenate([[0], ends]).take(begin).tolist()
+        for k, b, e in zip(cut, ends, ends[1:], strict=False):
+            out[k] = ids[b:e].tobytes()
         return out
 
 
+def _bank(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' ids one after another, and how many each has."""
+    return np.frombuffer(b"".join(texts), "<u2"), np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+
+
+def _joined(ids: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts in code, one after another, and where each ends; ids and size are a bank."""
+    sizes = size.take(code)
+    ends = np.cumsum(sizes)
+    at = np.repeat((np.cumsum(size) - size).take(code) - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return ids.take(at), ends
+
+
+@cache
+def _pieces(path: str) -> Pieces:
+    """A worker keeps its memory from task to task."""
+    return Pieces(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -370,7 +527,7 @@ def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     dealt = slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end = Pieces(tokenizer), np.array([END_ID], "<u2").tobytes()
+        pieces, end = _pieces(tokenizer), np.array([END_ID], "<u2").tobytes()
         part, seq, ids, doc_ids, tokens = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row() -> pa.RecordBatch:

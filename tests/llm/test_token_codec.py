@@ -90,5 +90,5 @@ def test_tables_compress_better_than_halved_ones(monkeypatch):
     assert np.array_equal(C.unpack(whole)[0], ids)
     monkeypatch.setattr(C, "SLOT_BITS", 11)
     monkeypatch.setattr(C, "_SLOTS", (1 << 11) - 1)
-    monkeypatch.setattr(C, "REFRESH", 64)
+    monkeypatch.setattr(C, "EPOCH", 64)
     assert len(whole) < len(C.pack(ids, [1], [len(ids)]))
