@@ -19,7 +19,10 @@ _LOWEST = -(1 << 63)
 
 
 class BinaryFuse8:
-    """Three-wise binary fuse filter with 8-bit fingerprints over distinct 64-bit keys, about 9 bits a key and 1/256 false positives. Never changes once built."""
+    """Three-wise binary fuse filter with 8-bit fingerprints over distinct 64-bit keys and 1/256 false positives. Never changes once built.
+
+    Its size is 0.875 + 3.45 / ln(keys) bytes a key, 1.125 at least, rounded to whole segments: 9.8 bits a key for 20,000 keys, 9.5 for 50,000, 9.0 for many millions.
+    """
 
     def __init__(self, seed: int, segment: int, segments: int, prints: np.ndarray):
         self.seed, self.segment, self.segments, self.prints = seed, segment, segments, prints
@@ -49,7 +52,7 @@ class BinaryFuse8:
         n = max(len(keys), 2)
         segment = 1 << min(18, max(2, int(math.floor(math.log(n) / math.log(3.33) + 2.25))))
         room = int(round(n * max(1.125, 0.875 + 0.25 * math.log(1e6) / math.log(n))))
-        segments = max(1, -(-room // segment) - 2)
+        segments = max(1, round(room / segment) - 2)
         for seed in range(1, 200):
             if seed % 20 == 0:
                 segments += 1
@@ -153,6 +156,18 @@ def byte_check(docs: DataFrame, text: Column, digests: DataFrame, count: int) ->
         raise RuntimeError(f"{clash} digests have more than one text")
 
 
+def _with_groups(digests: DataFrame, exact: DataFrame) -> DataFrame:
+    """digests with the columns of their group, null for rows alone. Groups are broadcast behind a size check; beyond it only hot ones
+    are, of a thousandth of all grouped rows or more and so a thousand at most, and no key of the shuffled join is hot."""
+    count, rows = exact.agg(F.count("*"), F.coalesce(F.sum("group_size"), F.lit(0))).first()
+    if small_enough(count, 96):
+        return digests.join(F.broadcast(exact), "sha", "left")
+    hot = F.col("group_size") >= max(2, rows // 1000)
+    large = exact.where(hot)
+    rest = digests.join(F.broadcast(large.select("sha")), "sha", "left_anti").join(exact.where(~hot), "sha", "left")
+    return rest.unionByName(digests.join(F.broadcast(large), "sha"))
+
+
 def dedup(docs: DataFrame, snapshot: Column | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
 
@@ -183,7 +198,7 @@ def dedup(docs: DataFrame, snapshot: Column | None = None) -> DataFrame:
     exact = written(exact.where("group_size > 1"), "dedup-groups")
     byte_check(docs, text, exact, exact.count())
 
-    out = digests.join(exact, "sha", "left")
+    out = _with_groups(digests, exact)
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",

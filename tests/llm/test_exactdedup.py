@@ -52,6 +52,9 @@ def test_odd_rows(spark, odd, empty):
 def test_shuffled_byte_check_and_clash(spark, odd, monkeypatch):
     monkeypatch.setattr(X, "small_enough", lambda *_: False)
     assert X.dedup_table(odd).count() == 11
+    rows = [(k, "hot" if k % 3 else f"text {k % 40}") for k in range(600)]
+    got = X.dedup_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got], key=str) == brute(rows)
     text = F.coalesce(F.col("text"), F.lit(""))
     monkeypatch.setattr(F, "sha2", lambda c, n: F.lit("00" * 32))
     with pytest.raises(RuntimeError, match="more than one text"):
