@@ -44,13 +44,41 @@ def test_code_is_perfect():
     count = np.bincount(S.anchor_of(words), minlength=4096)
     assert (count == 2048).all()
     message = np.arange(4096)
-    code = (message << 11) | S._LOW[0] if False else np.array([m << 11 ^ S._remainder(m << 11) for m in message])
+    code = np.array([m << 11 ^ S._remainder(m << 11) for m in message])
     assert (S.anchor_of(code) == message).all()
     w = np.random.default_rng(1).integers(0, 1 << 23, 200)
     for x, near in zip(w, S.anchors_near(w, 23), strict=True):
         assert set(near[near >= 0]) == set(message[np.bitwise_count(code ^ x) <= 4])
 
 
+def test_hamming_code_is_perfect():
+    words = np.arange(1 << 15)
+    code = np.unique(S._NEAREST)
+    assert len(code) == 2048 and (np.bincount(S._NEAREST, minlength=1 << 15)[code] == 16).all() and (np.bitwise_count(S._NEAREST ^ words) <= 1).all()
+    for x, near in zip(words[::999], S.anchors_near(words[::999], 15, S._NEAREST.__getitem__), strict=True):
+        assert set(near[near >= 0]) == set(code[np.bitwise_count(code ^ x) <= 2])
+
+
+def test_anchors_meet_all_near_fingerprints():
+    rng = random.Random(3)
+    a = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
+    b = a ^ np.array([sum(1 << k for k in rng.sample(range(64), rng.randrange(5))) for _ in a], np.uint64)
+    for way in (S.coarse_anchors, S.fine_anchors):
+        met = [(own[:, :1] == near).any(1) for own, near in zip(way(a), way(b), strict=True)]
+        assert np.logical_or.reduce(met).all()
+
+
+def test_fine_cells_stay_small():
+    rng = np.random.default_rng(6)
+    for n in (50_000, 200_000):
+        compared = 0
+        for near in S.fine_anchors(rng.integers(0, 1 << 63, n, dtype=np.uint64)):
+            homes = np.unique(near[:, 0], return_counts=True)
+            copies = dict(zip(*np.unique(near[near >= 0], return_counts=True), strict=True))
+            compared += sum(c * copies[h] for h, c in zip(*homes, strict=True))
+        assert compared / n < 150 + n / 20_000
+
+
 def test_fingerprints_agree_with_spark_hash(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     got = {r["doc_id"]: r["fingerprint"] for r in S.simhash_table(docs).collect()}
@@ -90,8 +118,14 @@ def linked(spark, prints, frame):
 def test_links_miss_nothing(spark, monkeypatch):
     prints, frame = planted(spark)
     want = linked(spark, prints, frame)
+    monkeypatch.setattr(S, "FINE_FROM", 0)
+    assert linked(spark, prints, frame) == want
     monkeypatch.setattr(S, "CELL_ROWS", 3)  # every cell is cut into blocks
     assert linked(spark, prints, frame) == want
+    monkeypatch.setattr(S, "small_enough", lambda *_: False)
+    assert linked(spark, prints, frame) == want
+    monkeypatch.setattr(S, "FINE_FROM", 1 << 40)
+    assert linked(spark, prints, frame) == want
 
 
 def test_odd_rows(spark, odd, empty):
@@ -102,7 +136,7 @@ def test_odd_rows(spark, odd, empty):
     assert S.simhash_table(empty).count() == 0 and S.stage(empty).count() == 0
     kept = S.stage(odd)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "5", "7", "8", "None", "None"]
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert kept.columns == odd.columns
 
 
 def test_stage_keeps_one_of_each_group(spark, medium):
