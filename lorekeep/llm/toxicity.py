@@ -12,24 +12,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_remainder, written
 
 #: Labelled documents that the model is fitted on at most, drawn by hash; all where there are fewer.
 TRAIN_DOCS = 20_000
-#: Marks (words, prefixes) that the driver keeps, those with the strongest evidence.
-MARKS = 20_000
 #: Evidence that a mark belongs to toxic documents: log-likelihood ratio and how many times likelier it is there.
 MIN_EVIDENCE = 15.0
 MIN_LIFT = 5.0
 PREFIXES = (4, 5, 6)
-#: Training segments: tokens in each, and how many at most for either kind of document and for one document.
+#: Tokens of the training documents of either kind that the chain is fitted on: whole texts are drawn by hash until they have so many.
+TRAIN_TOKENS = 200_000
+#: Tokens of a run; training texts are cut into runs without loss.
 SEGMENT = 48
-SEGMENTS = 4_000
-DOC_SEGMENTS = 4
 STEPS = 120
-PENALTY = 1e-3
+#: Inverse variance of the normal prior of weights and transitions.
+PENALTY = 0.1
 #: Tokens that a lane of the forward and backward passes holds, and words whose marks a worker remembers.
 LANE = 256
 REMEMBERED = 500_000
@@ -38,7 +38,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters in lower case; each is lowered by itself, so that offsets are those of the text."""
+    return [w.lower() for w in _WORD.findall(text or "")]
 
 
 def marks_of(word: str) -> list[str]:
@@ -97,7 +98,7 @@ class Tagger:
         """(start, end, probability) in characters of each run of the text's tokens whose marginal is `least` or more."""
         out: list[tuple[int, int, float]] = []
         open_run = False
-        for m, p in zip(_WORD.finditer((text or "").lower()), marginals.tolist(), strict=True):
+        for m, p in zip(_WORD.finditer(text or ""), marginals.tolist(), strict=True):
             if p >= least:
                 if open_run:
                     out[-1] = (out[-1][0], m.end(), max(out[-1][2], p))
@@ -190,7 +191,7 @@ def train_chain(marks: list[str], ids: np.ndarray, length: np.ndarray, labels: n
         rest = np.where(inside, labels - p, 0.0)
         grad_w = np.bincount(flat, np.repeat(rest.reshape(-1), ids.shape[2]), len(w))
         grad_w[0] = 0
-        grads = [grad_w / n - PENALTY * w / len(w), np.array([rest.sum() / n]), (seen - both) / n - PENALTY * tr, np.array([rest[:, 0].sum() / n])]
+        grads = [(grad_w - PENALTY * w) / n, np.array([rest.sum() / n]), (seen - both - PENALTY * tr) / n, np.array([rest[:, 0].sum() / n])]
         for x, gr, (m1, m2) in zip((w, bias, tr, st), grads, moments, strict=True):
             m1 += 0.1 * (gr - m1)
             m2 += 0.001 * (gr * gr - m2)
@@ -235,20 +236,21 @@ def _evidence(toxic: Column, n: Column, all_toxic: int, all_docs: int) -> Column
 
 
 def toxic_marks(sample: DataFrame) -> list[str]:
-    """Marks whose documents are toxic far more often than others, the strongest MARKS of them; distinct texts count once."""
-    rows = sample.select("text", "toxic").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = written(rows, "toxic-texts")
-    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    """Marks whose documents are toxic far more often than others, the strongest first. sample: distinct texts with their label."""
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return []
-    counted = rows.mapInArrow(_mark_counts, "mark string, toxic long, n long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    counted = sample.mapInArrow(_mark_counts, "mark string, toxic long, n long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     lift = (F.col("toxic") / toxic) / ((F.col("n") - F.col("toxic") + 1) / (n - toxic))
     strong = counted.withColumn("evidence", _evidence(F.col("toxic"), F.col("n"), toxic, n)).where((F.col("evidence") >= MIN_EVIDENCE) & (lift >= MIN_LIFT))
-    return [r["mark"] for r in strong.orderBy(F.desc("evidence"), "mark").limit(MARKS).select("mark").collect()]
+    return [r["mark"] for r in strong.orderBy(F.desc("evidence"), "mark").select("mark").collect()]
 
 
 def _segments(sample: DataFrame, marks: list[str]) -> pd.DataFrame:
-    """Labelled token runs for training: of toxic documents around marked tokens, of others spread over the text; bounded for each document and in all."""
+    """Labelled token runs for training: whole texts, by hash, until those of their label have TRAIN_TOKENS words or more. Toxic texts without a mark are left out, as nothing tells which tokens are meant."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("text"), "text").rowsBetween(W.unboundedPreceding, -1)  # TRAIN_DOCS rows at most
+    sample = sample.withColumn("words", words).withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0))).where(F.col("before") < TRAIN_TOKENS)
     known = sample.sparkSession.sparkContext.broadcast(frozenset(marks))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,19 +259,15 @@ def _segments(sample: DataFrame, marks: list[str]) -> pd.DataFrame:
             for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = words_of(text)
                 tag = [int(bool(label) and any(m in known.value for m in marks_of(w))) for w in words]
-                hits = np.flatnonzero(tag)
-                at = np.unique((hits if len(hits) else np.arange(0, len(words), max(1, len(words) // 2))) // SEGMENT)[:DOC_SEGMENTS]
-                if label and not len(hits):
-                    continue  # nothing tells which tokens are meant
-                for k in at.tolist():
+                if label and not any(tag):
+                    continue
+                for k in range(0, len(words), SEGMENT):
                     toxic.append(int(label))
-                    runs.append(words[k * SEGMENT : (k + 1) * SEGMENT])
-                    tags.append(tag[k * SEGMENT : (k + 1) * SEGMENT])
+                    runs.append(words[k : k + SEGMENT])
+                    tags.append(tag[k : k + SEGMENT])
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(runs, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32()))], ["toxic", "words", "tags"])
 
-    runs = written(sample.select("text", "toxic").mapInArrow(cut, "toxic int, words array<string>, tags array<int>"), "toxic-segments")
-    order = F.xxhash64("words")
-    return pd.concat([runs.where(F.col("toxic") == k).orderBy(order).limit(SEGMENTS).toPandas() for k in (0, 1)], ignore_index=True)
+    return sample.select("text", "toxic").mapInArrow(cut, "toxic int, words array<string>, tags array<int>").toPandas()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -277,7 +275,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Tagger:
-    """A tagger fitted on labelled documents that aren't held out, TRAIN_DOCS of them at most.
+    """A tagger fitted on labelled documents that aren't held out, about TRAIN_DOCS of them at most, repeats of a text counted once.
 
     A document's label is 1 if half of its rows in labels or more say so; null labels don't count. Its tokens are labelled
     toxic if it is and they bear a mark of toxic documents. Without labels of both kinds every score is the prior.
@@ -287,7 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Tagger:
     count = each.count()
     draw = F.xxhash64("doc_id", F.lit(5)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
     chosen = each.where(draw < TRAIN_DOCS / max(1, count))  # bounded, so it may be broadcast
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-texts")
+    few = F.xxhash64("text", F.lit(7)).bitwiseAND((1 << 30) - 1) / float(1 << 30) < TRAIN_DOCS / max(1, texts.count())
+    sample = written(texts.where(few), "toxic-sample")  # a doc_id may have any number of rows
     marks = toxic_marks(sample)
     if not marks:
         share = sample.agg(F.avg("toxic")).first()[0]
@@ -326,7 +327,8 @@ def _slices(b: pa.RecordBatch, characters: int = 4 << 20) -> Iterator[pa.RecordB
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, spans (array of start, end, probability in characters).
 
-    Spans rest on the marginals of tokens alone, so documents with a score below 0.5 have them too. Only the whole text enters a score. Null and empty texts have no token and the lowest score; repeats have equal scores;
+    Spans rest on the marginals of tokens alone, so documents with a score below 0.5 have them too. Only the whole text enters a
+    score. Null and empty texts have no token and the lowest score; repeats have equal scores; an empty table gives no rows;
     further columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
