@@ -18,16 +18,16 @@ from .common import id_remainder
 GRAM = 4
 #: Labelled rows that a language is learned from at most, drawn by hash; all rows where there are fewer.
 TRAIN_ROWS = 20_000
-#: A language contains an n-gram if this share of its documents does; at most GRAMS of them, the most common.
+#: A language contains an n-gram if this share of its documents, and one at least, does: strays of other languages stand in nearly any large sample.
 MIN_SHARE = 0.01
-GRAMS = 60_000
 #: Positions of the filter for each (language, n-gram), and probes of an n-gram.
 POSITIONS = 16
 PROBES = 3
 #: The pipeline rejects documents of which a smaller share of n-grams belongs to the decided language.
 MIN_COVERAGE = 0.15
 UNDECIDED = "und"
-MOST_LANGUAGES = 64
+#: Languages of one bitmask; more take further masks.
+MASK_LANGUAGES = 64
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -35,7 +35,8 @@ _SEGMENT = 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is a letter; other characters of words, as fractions and raised figures, aren't."""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def grams(text: str) -> np.ndarray:
@@ -52,10 +53,10 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """masks: for each position the languages that set it. false_positive: for each language the chance that an unknown n-gram passes all probes."""
+    """masks: for each MASK_LANGUAGES languages, the languages that set each position. false_positive: for each language the chance that an unknown n-gram passes all probes."""
 
     languages: tuple[str, ...]
-    masks: np.ndarray
+    masks: tuple[np.ndarray, ...]
     false_positive: np.ndarray
 
     @staticmethod
@@ -69,23 +70,25 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, languages: list[str], members: list[np.ndarray]) -> LanguageFilter:
-        """members: for each language its n-grams."""
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"a bitmask holds at most {MOST_LANGUAGES} languages")
-        bits = min(21, max(12, int(np.ceil(np.log2(max(1, POSITIONS * max([1, *map(len, members)])))))))
-        kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
-        masks, wrong = np.zeros(1 << bits, kind), []
-        for k, g in enumerate(members):
-            for p in cls.positions(g, bits):
-                masks[p] |= kind(1 << k)
-            wrong.append(float(np.count_nonzero(masks & kind(1 << k)) / len(masks)) ** PROBES)
-        return cls(tuple(languages), masks, np.array(wrong))
-
-    def languages_of(self, g: np.ndarray) -> np.ndarray:
-        """For each n-gram the bitmask of the languages that contain it."""
-        found = None
-        for p in self.positions(g, int(len(self.masks)).bit_length() - 1):
-            found = self.masks[p] if found is None else found & self.masks[p]
+        """members: for each language its n-grams, which decide the filter's size."""
+        bits = max(12, int(np.ceil(np.log2(POSITIONS * max([1, *map(len, members)])))))
+        masks, wrong = [], []
+        for at in range(0, len(languages), MASK_LANGUAGES):
+            some = members[at : at + MASK_LANGUAGES]
+            kind = np.uint8 if len(some) <= 8 else np.uint16 if len(some) <= 16 else np.uint32 if len(some) <= 32 else np.uint64
+            mask = np.zeros(1 << bits, kind)
+            for k, g in enumerate(some):
+                for p in cls.positions(g, bits):
+                    mask[p] |= kind(1 << k)
+                wrong.append(float(np.count_nonzero(mask & kind(1 << k)) / len(mask)) ** PROBES)
+            masks.append(mask)
+        return cls(tuple(languages), tuple(masks), np.array(wrong))
+
+    def languages_of(self, g: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the bitmasks of the languages that contain it."""
+        found = [None] * len(self.masks)
+        for p in self.positions(g, int(len(self.masks[0])).bit_length() - 1) if self.masks else ():
+            found = [m[p] if f is None else f & m[p] for f, m in zip(found, self.masks, strict=True)]
         return found
 
     def counts(self, g: np.ndarray) -> np.ndarray:
@@ -93,7 +96,7 @@ class LanguageFilter:
         raw = np.zeros(len(self.languages))
         for at in range(0, len(g), _SEGMENT):
             found = self.languages_of(g[at : at + _SEGMENT])
-            raw += [np.count_nonzero(found & found.dtype.type(1 << k)) for k in range(len(self.languages))]
+            raw += [np.count_nonzero(f & f.dtype.type(1 << k % MASK_LANGUAGES)) for k in range(len(self.languages)) for f in found[k // MASK_LANGUAGES : k // MASK_LANGUAGES + 1]]
         return np.maximum(0, (raw - len(g) * self.false_positive) / (1 - self.false_positive))
 
     def decide(self, text: str | None) -> tuple[str, float, float]:
@@ -119,22 +122,19 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame) -> LanguageFilter:
-    """The filter learned from labelled rows (text, lang). The driver gets the n-grams that MIN_SHARE of a language's documents hold, GRAMS for each language at most."""
+    """The filter learned from labelled rows (text, lang): all n-grams that MIN_SHARE of a language's sampled documents hold, which by that are a bounded number."""
     labelled = labelled.where("lang is not null and text is not null").select("text", "lang")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not rows:
         return LanguageFilter.build([], [])
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"a bitmask holds at most {MOST_LANGUAGES} languages")
     draw = F.xxhash64("text").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     share = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(TRAIN_ROWS / n))])
     sample = labelled.where(draw < share[F.col("lang")])
     counted = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     least = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(max(1.0, MIN_SHARE * min(n, TRAIN_ROWS))))])
     common = counted.where(F.col("n") >= least[F.col("lang")]).toPandas()
-    common = common.sort_values(["lang", "n", "gram"], ascending=[True, False, True])
-    languages = sorted(rows)
-    return LanguageFilter.build(languages, [common.loc[common["lang"] == k, "gram"].to_numpy(np.uint32)[:GRAMS] for k in languages])
+    languages, by = sorted(rows), dict(iter(common.groupby("lang")["gram"]))
+    return LanguageFilter.build(languages, [by[k].to_numpy(np.uint32) if k in by else np.zeros(0, np.uint32) for k in languages])
 
 
 def _decided(docs: DataFrame, model: LanguageFilter) -> DataFrame:
@@ -157,14 +157,18 @@ def identify(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score, coverage; learned from the rows that aren't held out.
 
     Only the whole text enters a prediction. `und` for null texts, texts without a letter, and where nothing could be learned.
-    Each row stands for itself, so repeats have equal results; further columns aren't read.
+    Each row stands for itself, so repeats have equal results; ties go to the first language by name; an empty table gives no
+    rows; further columns aren't read.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     return _decided(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs whose language is decided and that are written in it: `und` and those below MIN_COVERAGE go. Streamed, all columns as they were."""
+    """docs whose language is decided and that are written in it: `und` (null and letterless texts too) and those below MIN_COVERAGE go.
+
+    Streamed, all columns as they were; repeats go or stay together, an empty table stays empty.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
