@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -96,17 +97,22 @@ def covered(spans: Iterable[tuple[int, int]]) -> int:
 
 
 def searchers(benchmark: DataFrame) -> Iterator[Searcher]:
-    """The benchmark in searchers of MOST_WINDOWS windows each, read row by row; an item's id counts as text, null as empty. At least one."""
+    """The benchmark in searchers of MOST_WINDOWS windows each at most, read row by row; an item's id counts as text, null as empty. At least one.
+
+    An item of more windows is cut into runs of words that share WINDOW - 1 words, so that each window is in one of them.
+    """
     items: list = []
     n = made = 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("binary")).distinct()
     for name, text in rows.toLocalIterator():
         words = words_of(text)
-        if items and n + max(1, len(words)) > MOST_WINDOWS:
-            yield Searcher(items)
-            items, n, made = [], 0, made + 1
-        items.append((name, words))
-        n += max(1, len(words))
+        for at in range(0, max(1, len(words) - WINDOW + 1), MOST_WINDOWS):
+            run = words[at : at + MOST_WINDOWS + WINDOW - 1]
+            if items and n + max(1, len(run)) > MOST_WINDOWS:
+                yield Searcher(items)
+                items, n, made = [], 0, made + 1
+            items.append((name, run))
+            n += max(1, len(run))
     if items or not made:
         yield Searcher(items)
 
@@ -128,12 +134,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Texts are streamed past a broadcast searcher of bounded size: no shuffle, and no row waits for another. A benchmark of more
     windows is searched for in several passes over rows numbered in a written table, whose findings are merged by row. Null and
-    empty texts have no words; repeated items count once by item_id; an empty benchmark hits nothing.
+    empty texts have no words; repeated items count once by item_id; an empty benchmark hits nothing, empty docs give no rows;
+    further columns aren't read.
     """
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    passes = [docs.sparkSession.sparkContext.broadcast(s) for s in searchers(benchmark)]
-    if len(passes) == 1:
-        only = passes[0]
+    spark, passes = docs.sparkSession.sparkContext, searchers(benchmark)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        only = spark.broadcast(first)
 
         def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -174,8 +182,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return pd.DataFrame({"rid": [pdf["rid"].iloc[0]], "n_hit": [covered(spans)], "n_items": [len(items)], "items_sha256": [_digest(items)]})
 
     found = None
-    for searcher in passes:  # one written result each, so that only one searcher is in a worker's memory
-        part = written(rows.select("rid", "text").mapInArrow(finder(searcher), "rid long, spans binary, items array<string>"), "decontaminate-found")
+    for searcher in chain((first, second), passes):  # one at a time on the driver and in workers, its findings written
+        shared = spark.broadcast(searcher)
+        part = written(rows.select("rid", "text").mapInArrow(finder(shared), "rid long, spans binary, items array<string>"), "decontaminate-found")
+        shared.destroy()
         found = part if found is None else found.union(part)
     merged = found.groupBy("rid").applyInPandas(merge, "rid long, n_hit long, n_items long, items_sha256 string")
     all_rows = rows.mapInArrow(count, "rid long, doc_id long, n_words long").join(merged, "rid", "left")
@@ -184,8 +194,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold any benchmark window, streamed; a large benchmark is a chain of passes, each over a written table."""
-    passes = [docs.sparkSession.sparkContext.broadcast(s) for s in searchers(benchmark)]
+    """docs without those that hold any benchmark window, streamed; a large benchmark is a chain of passes, each over a written table.
+
+    All columns stay as they were. Null and empty texts hold no window and stay, repeats go or stay together, an empty table stays empty.
+    """
+    spark, passes = docs.sparkSession.sparkContext, searchers(benchmark)
 
     def cleaner(searcher):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +211,13 @@ def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return clean
 
-    for k, searcher in enumerate(passes):
-        docs = docs.mapInArrow(cleaner(searcher), docs.schema)
-        if k + 1 < len(passes):
-            docs = written(docs, "decontaminate-stage")
-    return docs
+    searcher = next(passes)
+    for following in passes:
+        shared = spark.broadcast(searcher)
+        docs = written(docs.mapInArrow(cleaner(shared), docs.schema), "decontaminate-stage")
+        shared.destroy()
+        searcher = following
+    return docs.mapInArrow(cleaner(spark.broadcast(searcher)), docs.schema)
 
 
 #: Windows as joined runs of words; every distinct window length is looked up among the documents' runs of that length.
