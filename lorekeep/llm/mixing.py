@@ -116,5 +116,11 @@ from copies
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mixed corpus with the columns of docs, in shuffled order."""
-    return mix(docs).select(*docs.columns)
+    """The mixed corpus with the columns of docs, in shuffled order.
+
+    Columns named like those of replicate() pass through unchanged. Null doc_ids and sources are values like others, texts aren't
+    looked at, repeated rows have equal counts, and an empty table stays empty.
+    """
+    own = {c: c if c in ("doc_id", "source") else f"_own_{k}" for k, c in enumerate(docs.columns)}
+    mixed = mix(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
+    return mixed.select(*[F.col(name).alias(c) for c, name in own.items()])

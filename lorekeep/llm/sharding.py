@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, written
+from .common import written
 
 SHARDS = 16
 SEED = 20240611
@@ -103,5 +103,9 @@ def shard_table(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def stage(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All documents with the shard that each goes to."""
-    return assign(docs.select(*DOCUMENT_COLUMNS), shards).select(*DOCUMENT_COLUMNS, "shard")
+    """All documents, with all their columns, and the shard that each goes to; a column `shard` of theirs is replaced.
+
+    Nulls, texts of any length, repeats and empty tables are as in assign().
+    """
+    kept = [c for c in docs.columns if c != "shard"]
+    return docs.select(*kept, shard_of(F.col("doc_id"), topology(shards)).alias("shard"))

@@ -45,4 +45,11 @@ def test_odd_rows(spark, odd, empty):
     out = M.replicate(odd, rates).groupBy("doc_id").count().collect()
     n = {r["doc_id"]: r["count"] for r in out}
     assert set(n) == {1, 3, 4, 5, 6, None} and n[1] % 2 == 0 and n[5] > 900
-    assert M.mix(empty).count() == 0 and M.stage(odd).columns == odd.columns
+    assert M.mix(empty).count() == 0 and M.stage(odd).columns == odd.columns and M.stage(empty).count() == 0
+
+
+def test_stage_keeps_columns_named_like_its_own(spark):
+    docs = spark.range(50).selectExpr("id as doc_id", "'a' as source", "-99.0D as rate", "'mine' as mix_key", "map('k', 1) as n_copies", "7 as copy_no")
+    out = M.stage(docs)
+    assert out.dtypes == docs.dtypes
+    assert {(r["rate"], r["mix_key"], r["n_copies"]["k"], r["copy_no"]) for r in out.collect()} == {(-99.0, "mine", 1, 7)}

@@ -1,5 +1,8 @@
+import math
 import zlib
 
+from pyspark.sql import functions as F
+
 from lorekeep.llm import sharding as S
 
 
@@ -29,7 +32,29 @@ def test_odd_rows(spark, odd, empty):
     assert len(rows) == 11 and [r["size"] for r in rows if r["doc_id"] == 3] == [1]
     assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
     assert S.shard_table(empty).count() == 0
-    assert S.stage(odd).columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
+    assert S.stage(odd).columns == [*[c for c in odd.columns if c != "shard"], "shard"]
+    assert S.stage(empty).count() == 0 and S.stage(odd).count() == 11
+    given = {r["doc_id"]: r["shard"] for r in rows}
+    assert {r["doc_id"]: r["shard"] for r in S.stage(odd).collect()} == given
+
+
+def test_draws_against_brute_force(spark):
+    """The tree walked in Python over the same hashes."""
+    keys = [*range(300), -5, 1 << 40]
+    nodes, frame = range(17), spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    hashed = frame.select("doc_id", *[F.xxhash64(F.lit(S.SEED), F.lit(level), F.lit(n), F.col("doc_id")).bitwiseAND((1 << 53) - 1).alias(f"h{level}_{n}") for level in range(3) for n in nodes])
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in S.assign(frame).collect()}
+    for r in hashed.collect():
+        for k, leaves in enumerate((S.topology(16), S.topology(17))):
+            region = rack = None
+            for level, name in enumerate(("region", "rack", "shard")):
+                weight = {}
+                for x in leaves:
+                    if (level < 1 or x.region == region) and (level < 2 or x.rack == rack):
+                        weight[getattr(x, name)] = weight.get(getattr(x, name), 0.0) + x.weight
+                drawn = min(weight, key=lambda n: -math.log((r[f"h{level}_{n}"] + 0.5) / (1 << 53)) / weight[n])
+                region, rack, shard = (drawn, None, None) if level == 0 else (region, drawn, None) if level == 1 else (region, rack, drawn)
+            assert got[r["doc_id"]][k] == shard
 
 
 def test_weights_move_rows_only_in_their_subtree(spark):
