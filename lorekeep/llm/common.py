@@ -8,17 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns of the documents table, in order; pipeline stages return exactly these.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 #: Bytes that a broadcast side may have; beyond them every operator takes its shuffled way.
 BROADCAST_LIMIT = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset, as in local tests, a folder of our own is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset on a local master, as in tests, a folder of our own is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lorekeep-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    n, s = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF)), F.lit(0))).first()
-    return n, s
+def _state(edges: DataFrame) -> tuple[int, ...]:
+    """The number of edges and 128 bits of two sums over hashes of them, the same in any order."""
+    halves = [x for h in (F.xxhash64("a", "b"), F.xxhash64("b", F.lit(1), "a")) for x in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    return tuple(edges.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in halves]).first())
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

@@ -1,3 +1,7 @@
+import shutil
+
+import pytest
+
 import corpus_pipeline as P
 from lorekeep.llm import decontaminate, langid, simhash
 
@@ -17,3 +21,14 @@ def test_stages(spark, small):
     out = P.run(spark, small).collect()
     assert {r["doc_id"] for r in out} <= kept and all(0 <= r["shard"] < 16 for r in out)
     assert len({r["doc_id"] for r in out}) > 0.4 * len(kept)
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_odd_rows(spark, small, tmp_path, request, rows):
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shutil.copy(f"{small}/benchmark.parquet", f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path))
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard"]
+    got = out.collect()
+    assert (rows == "odd") == bool(got) and all(r["doc_id"] not in (3, 4, 7) and 0 <= r["shard"] < 16 for r in got)
