@@ -19,7 +19,7 @@ from .common import id_remainder, written
 
 #: Labelled documents that the model is fitted on at most, drawn by hash; all where there are fewer.
 TRAIN_DOCS = 20_000
-#: Evidence that a mark belongs to toxic documents: log-likelihood ratio and how many times likelier it is there.
+#: Evidence that a mark belongs to toxic documents: log-likelihood ratio, which of many marks must also pass 2 log(marks) lest some do by chance, and how many times likelier it is there.
 MIN_EVIDENCE = 15.0
 MIN_LIFT = 5.0
 PREFIXES = (4, 5, 6)
@@ -29,7 +29,7 @@ TRAIN_TOKENS = 200_000
 SEGMENT = 48
 STEPS = 120
 #: Inverse variance of the normal prior of weights and transitions.
-PENALTY = 0.1
+PENALTY = 0.3
 #: Tokens that a lane of the forward and backward passes holds, and words whose marks a worker remembers.
 LANE = 256
 REMEMBERED = 500_000
@@ -241,8 +241,10 @@ def toxic_marks(sample: DataFrame) -> list[str]:
     if not toxic or toxic == n:
         return []
     counted = sample.mapInArrow(_mark_counts, "mark string, toxic long, n long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    counted = written(counted, "toxic-marks")
+    least = max(MIN_EVIDENCE, 2 * math.log(max(1, counted.count())))
     lift = (F.col("toxic") / toxic) / ((F.col("n") - F.col("toxic") + 1) / (n - toxic))
-    strong = counted.withColumn("evidence", _evidence(F.col("toxic"), F.col("n"), toxic, n)).where((F.col("evidence") >= MIN_EVIDENCE) & (lift >= MIN_LIFT))
+    strong = counted.withColumn("evidence", _evidence(F.col("toxic"), F.col("n"), toxic, n)).where((F.col("evidence") >= least) & (lift >= MIN_LIFT))
     return [r["mark"] for r in strong.orderBy(F.desc("evidence"), "mark").select("mark").collect()]
 
 
