@@ -30,3 +30,15 @@ anywhere far apart any some something thing things one other location place wher
 yesterday week colour color reason reasons answer question topic subject detail details information specific specifics plan plans discussed discuss
 came come up talked talk told tell asked ask recall remember having have has had get got going go want need like just now then also either nor
 because regarding concerning related nearby more less much many all both each every""".split()
+
+# What is taken off the front of a topic, in turn, and off its end; off the front of a question; the most words of a topic, and
+# how many of a question's stand in for one.
+TOPIC_LEADS = (r"(the question of|what|where|when|who|why|how)", r"(is|was|are|were|did|do|does|i|you|your)")
+TOPIC_END = r"(said|says|saying|told|is|was|were|are|do|did|does|location|place|time|date)"
+QUESTION_LEADS = (r"(what|where|when|who|why|how|do|did|does|is|are|was|were)", r"(i|you|we|my|your)")
+TOPIC_WORDS, SPARE_WORDS = 6, 5
+
+# What is said when nothing answers. {topic} and {fact} are put in.
+NOTHING_BUT = "Nothing about {topic} -- though you did mention {fact}."
+NOTHING_IN = "Nothing about {topic} in what's been said."
+NOTHING_HERE = "Nothing about {topic} has been said here."

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REQUEST_WORDS
 
 WRITE_TOOLS = ("write_belief", "record_answer")
 DEAD_AFTER_S = 90.0
+SILENT_S = 900.0
 ALONE_S = 300.0
 DAILY_CALLS = 200
 DAILY_TOKENS = 300_000
@@ -78,3 +80,57 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Keys (key, value) in which two configurations differ; a missing key is null."""
     both = a.select("key", F.col("value").alias("old")).join(b.select("key", F.col("value").alias("new")), "key", "full_outer")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def secret_hash(salt: Column, secret: Column) -> Column:
+    return F.sha2(F.concat(salt, secret), 256)
+
+
+def authenticated(attempts: DataFrame, callers: DataFrame) -> DataFrame:
+    """attempts (id, caller, secret) with their outcome, callers having (caller, salt, hash)."""
+    rows = attempts.join(callers.select("caller", "salt", "hash", F.lit(True).alias("_known")), "caller", "left")
+    given = F.length(F.coalesce("secret", F.lit(""))) > 0
+    outcome = first_match((F.col("_known").isNull(), "unknown"), (F.col("hash").isNull(), "no secret set"), (~given, "none presented"), (secret_hash(F.col("salt"), F.col("secret")) != F.col("hash"), "wrong"), default="ok")
+    return rows.select("id", outcome.alias("outcome"))
+
+
+def listed(callers: DataFrame) -> DataFrame:
+    """Callers as anyone may see them: that there is a secret, and nothing of it."""
+    return callers.select("caller", "can_read", "can_write", F.col("hash").isNotNull().alias("has_secret"))
+
+
+def ledger(calls: DataFrame) -> DataFrame:
+    """calls (id, provider, day, tokens, out, at) with the calls and tokens of their provider and day up to them, and whether credit has run out by then."""
+    w = W.partitionBy("provider", "day").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)
+    return calls.select("id", F.count("*").over(w).alias("calls"), F.sum("tokens").over(w).alias("tokens"), F.max("out").over(w).alias("halted"))
+
+
+def banners(transitions: DataFrame, by: str) -> DataFrame:
+    """The status sentence after the last of each one's transitions (event_id, at, state)."""
+    last = transitions.groupBy(by).agg(F.max_by(F.struct("state", "at"), F.struct("at", "event_id")).alias("x"))
+    since = F.concat(F.lit(" since "), F.date_format("x.at", "yyyy-MM-dd HH:mm"), F.lit("."))
+    return last.select(by, F.when(F.col("x.state") == "paused", F.concat(F.lit("Paused"), since)).when(F.col("x.state") == "incognito", F.concat(F.lit("Off the record"), since)).otherwise("Listening.").alias("banner"))
+
+
+def snapshot(files: DataFrame) -> DataFrame:
+    """files (path, content) as (path, digest)."""
+    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+def changed(then: DataFrame, now: DataFrame) -> DataFrame:
+    """Paths whose digest isn't what it was: edited, deleted or added."""
+    both = then.select("path", F.col("digest").alias("old")).join(now.select("path", F.col("digest").alias("new")), "path", "full_outer")
+    change = first_match((F.col("new").isNull(), "deleted"), (F.col("old").isNull(), "added"), default="edited")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("path", change.alias("change"))
+
+
+def reaped(beats: DataFrame, now: float) -> DataFrame:
+    """Processes (pid, at, event_id, ended) that stay: whose last sign isn't their end and isn't older than SILENT_S."""
+    last = beats.groupBy("pid").agg(F.max("at").alias("last_seen"), F.max_by("ended", F.struct("at", "event_id")).alias("ended"))
+    return last.where(~F.col("ended") & (F.lit(now) - F.col("last_seen") <= SILENT_S)).select("pid", "last_seen")
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """rows (config, digest, held_config, held_digest) with whether what was stamped under the held ones may be used."""
+    state = first_match((~F.col("held_config").eqNullSafe(F.col("config")), "made under other settings"), (~F.col("held_digest").eqNullSafe(F.col("digest")), "content has changed"), default="ok")
+    return rows.withColumn("state", state)

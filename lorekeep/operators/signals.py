@@ -51,16 +51,25 @@ def split_punctuation(token: Column) -> Column:
     return F.when(word == "", F.struct(token.alias("word"), F.lit("").alias("punct"))).otherwise(F.struct(word.alias("word"), tail.alias("punct")))
 
 
-def two_means(values: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Medians of the quiet and the loud half of levels, split midway between them until that settles."""
-    v = values[np.isfinite(values)]
+def _median(values: np.ndarray, counts: np.ndarray) -> float:
+    """The median of sorted values that stand for so many each."""
+    ends = np.cumsum(counts)
+    low, high = np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], side="right")
+    return float(values[low] + values[high]) / 2
+
+
+def two_means(values: np.ndarray, counts: np.ndarray | None = None, rounds: int = 50) -> tuple[float, float]:
+    """Medians of the quiet and the loud half of levels, each standing for its count, split midway between them until that settles."""
+    n = np.ones(len(values), np.int64) if counts is None else counts
+    order = np.argsort(values, kind="stable")
+    order = order[np.isfinite(values[order]) & (n[order] > 0)]
+    v, n = values[order], n[order]
     if not len(v):
         return float("nan"), float("nan")
-    low, high = float(v.min()), float(v.max())
+    low, high = float(v[0]), float(v[-1])
     for _ in range(rounds):
-        middle = (low + high) / 2
-        quiet, loud = v[v <= middle], v[v > middle]
-        new = float(np.median(quiet)) if len(quiet) else low, float(np.median(loud)) if len(loud) else high
+        cut = int(np.searchsorted(v, (low + high) / 2, side="right"))
+        new = _median(v[:cut], n[:cut]) if cut else low, _median(v[cut:], n[cut:]) if cut < len(v) else high
         done = abs(new[0] - low) + abs(new[1] - high) < 1e-6
         low, high = new
         if done:
@@ -73,7 +82,7 @@ def noise_and_speech(frames: DataFrame, by: str, value: str) -> DataFrame:
     steps = frames.where(F.col(value).isNotNull()).groupBy(by, F.round(value, 2).alias("v")).agg(F.count("*").alias("n"))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = two_means(np.repeat(pdf["v"].to_numpy(np.float64), pdf["n"].to_numpy()))
+        low, high = two_means(pdf["v"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64))
         return pd.DataFrame({by: [pdf[by].iloc[0]], "noise": [low], "speech": [high]})
 
     kind = dict(steps.dtypes)[by]

@@ -137,3 +137,12 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str], width: float) ->
     pairs = listed(left, "a", "b").join(listed(right, "c", "d"), [*by, "_k"]).where("b > c and a < d")
     pairs = pairs.where(F.col("_k") == F.floor(F.greatest("a", "c") / width))
     return pairs.withColumn("overlap", F.least("b", "d") - F.greatest("a", "c")).drop("_k")
+
+
+def pending(markers: DataFrame, by: str, today, most: int) -> DataFrame:
+    """(by, day, skipped): days after each marker up to yesterday, the last `most` of them, and how many older ones that leaves out. Without a marker yesterday alone."""
+    last = F.date_sub(F.lit(today), 1)
+    first = F.coalesce(F.date_add("marker", 1), last)
+    rows = markers.select(by, first.alias("first"), last.alias("last")).where("first <= last")
+    rows = rows.withColumn("skipped", F.greatest(F.datediff("last", "first") + 1 - most, F.lit(0)))
+    return rows.select(by, F.explode(F.expr("sequence(date_add(first, skipped), last)")).alias("day"), "skipped")

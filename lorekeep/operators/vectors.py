@@ -14,6 +14,8 @@ QUESTION_PENALTY = 0.15
 MATCH_MAX = 0.70
 CONFIDENT_MAX = 0.40
 MARGIN_MIN = 0.10
+#: Prints of all enrolled people, which are broadcast: 50 MB at 64 dimensions.
+MOST_PRINTS = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,6 +38,20 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id
     return vectors.select(key, F.round(dot(F.col("embedding"), literal(query)), 6).alias("sim")).orderBy(F.desc("sim"), key).limit(k)
 
 
+def top_k_each(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", most_bytes: int = 64 << 20) -> DataFrame:
+    """(caller, vec_id, sim, place) of the k nearest to each vector asked for (caller, embedding), a stated set that is checked to be small and held against all rows.
+
+    Each task keeps the k best of its rows for each caller, so the shuffle moves no more than that from any task.
+    """
+    n = asked.count()
+    if n * 1024 * 8 > most_bytes:
+        raise ValueError(f"{n} vectors are too many to ask for at once")
+    pairs = vectors.select(key, "embedding").crossJoin(F.broadcast(asked.select("caller", F.col("embedding").alias("q"))))
+    scored = pairs.select("caller", key, F.round(dot(F.col("embedding"), F.col("q")), 6).alias("sim"))
+    best = scored.withColumn("_k", F.row_number().over(W.partitionBy("caller", F.spark_partition_id()).orderBy(F.desc("sim"), key))).where(F.col("_k") <= k).drop("_k")
+    return best.withColumn("place", F.row_number().over(W.partitionBy("caller").orderBy(F.desc("sim"), key)).cast("long")).where(F.col("place") <= k)
+
+
 def neighbour_mean(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding): each vector averaged with those before and after it by id, to unit length. Two equi-joins, no global order."""
     near = [vectors.select((F.col("vec_id") + d).alias("vec_id"), F.col("embedding").alias(n)) for d, n in ((1, "_prev"), (-1, "_next"))]
@@ -80,8 +96,10 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 def match_people(probes: DataFrame, prints: DataFrame) -> DataFrame:
     """For each probe (vec_id, embedding) the nearest person of prints (person, embedding): distance, margin to the next person, decision, confidence.
 
-    prints is the enrolled set, a few vectors a person; it is broadcast and every probe is held against all of it.
+    prints is the enrolled set, a few vectors a person, which is checked to be MOST_PRINTS at most; it is broadcast and every probe is held against all of it.
     """
+    if prints.limit(MOST_PRINTS + 1).count() > MOST_PRINTS:
+        raise ValueError(f"more than {MOST_PRINTS} prints are enrolled")
     pairs = probes.crossJoin(F.broadcast(prints.select("person", F.col("embedding").alias("p"))))
     each = pairs.select("vec_id", "person", F.round(1 - dot(F.col("embedding"), F.col("p")), 6).alias("d")).groupBy("vec_id", "person").agg(F.min("d").alias("d"))
     two = each.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "person"))), 1, 2).alias("t"))

@@ -46,10 +46,17 @@ def presence_state(spark, sf_dir):
 _REQ = "[" + ", ".join(f"'{w}'" for w in REQUEST_WORDS) + "]"
 
 
-@query(f"""select conv_id * 100 + turn as id, case when conv_id % 13 = 0 then 'paused' when len(regexp_extract_all(text, '\\S+')) < 4 then 'short'
-  when not (list_contains({_REQ}, lower(regexp_extract(text, '^\\s*([A-Za-z'']+)', 1))) or regexp_matches(text, '\\?\\s*$')) then 'no request' when turn % 2 = 1 then 'unrecognised' else 'ask the model' end as rung from conversations""")
+_SAID = "case turn % 5 when 1 then array_to_string(regexp_extract_all(text, '\\S+')[1:3], ' ') when 2 then 'Show me ' || text when 3 then text || '?' else text end"
+
+
+@query(f"""with said as (select conv_id, turn, {_SAID} as text from conversations) select conv_id * 100 + turn as id, case when conv_id % 13 = 0 then 'paused' when len(regexp_extract_all(text, '\\S+')) < 4 then 'short'
+  when not (list_contains({_REQ}, lower(regexp_extract(text, '^\\s*([A-Za-z'']+)', 1))) or regexp_matches(text, '\\?\\s*$')) then 'no request' when (conv_id + turn) % 2 = 1 then 'unrecognised' else 'ask the model' end as rung from said""")
 def addressed_ladder(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn as id", "text", "conv_id % 13 = 0 as paused", "turn % 2 = 0 as recognised")
+    """Turns as they are, cut to three words, or turned into requests and questions, as few of them ask for anything."""
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(0))
+    k = F.col("turn") % 5
+    said = F.when(k == 1, F.array_join(F.slice(words, 1, 3), " ")).when(k == 2, F.concat(F.lit("Show me "), "text")).when(k == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.expr("conv_id * 100 + turn as id"), said.alias("text"), F.expr("conv_id % 13 = 0 as paused"), F.expr("(conv_id + turn) % 2 = 0 as recognised"))
     return G.addressed(rows)
 
 

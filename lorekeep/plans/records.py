@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beliefs as B
 from ..operators import forget as G
-from ..sources.views import BELIEFS, NOW, OBSERVATIONS, REPLACES, beliefs, epoch, observations, replaces, table
+from ..sources.views import BELIEFS, NEWEST, OBSERVATIONS, REPLACES, beliefs, epoch, newest, observations, replaces, table
 from .catalog import query
 
 
@@ -68,10 +68,11 @@ def rebuild_identity(spark, sf_dir):
     return B.multiset_difference(b, b.where("id % 97 != 0"))
 
 
-@query(f"with {BELIEFS} select id, round(weight * pow(0.5, greatest({NOW} - formed_at, 0) / 86400 / 30.0), 6) as weight_now, weight * pow(0.5, greatest({NOW} - formed_at, 0) / 86400 / 30.0) < 0.05 as faint from beliefs")
+@query(f"with {BELIEFS} select id, round(weight * pow(0.5, greatest({NEWEST} - formed_at, 0) / 86400 / 30.0), 6) as weight_now, weight * pow(0.5, greatest({NEWEST} - formed_at, 0) / 86400 / 30.0) < 0.05 as faint from beliefs")
 def decay_weights(spark, sf_dir):
-    w = B.decayed(F.col("weight"), F.col("formed_at"), F.lit(NOW))
-    return beliefs(spark, sf_dir).select("id", F.round(w, 6).alias("weight_now"), (w < B.FAINT).alias("faint"))
+    b = beliefs(spark, sf_dir)
+    w = B.decayed(F.col("weight"), F.col("formed_at"), F.lit(newest(b)))
+    return b.select("id", F.round(w, 6).alias("weight_now"), (w < B.FAINT).alias("faint"))
 
 
 @query(f"""with recursive {BELIEFS}, o as (select owner, formed_at as tm, row_number() over (partition by owner order by formed_at) as k from beliefs),
@@ -82,11 +83,11 @@ def touch_fold(spark, sf_dir):
     return B.touch_fold(beliefs(spark, sf_dir).select("owner", F.col("formed_at").alias("at")), "owner")
 
 
-@query(f"""with {BELIEFS}, {REPLACES}, w as (select *, weight * pow(0.5, greatest(1125000000 - formed_at, 0) / 86400 / 30.0) as x from beliefs)
+@query(f"""with {BELIEFS}, {REPLACES}, w as (select *, weight * pow(0.5, greatest({NEWEST} - formed_at, 0) / 86400 / 30.0) as x from beliefs)
 select id, certainty, round(x, 6) as weight_now, formed_at from w where certainty >= 0.6 and x >= 0.05 and id not in (select dst_id from replaces) order by formed_at desc, id desc limit 8""")
 def belief_context(spark, sf_dir):
     b = beliefs(spark, sf_dir)
-    return B.shown(b, replaces(b).select(F.col("dst_id").alias("id")), 1125000000.0)
+    return B.shown(b, replaces(b).select(F.col("dst_id").alias("id")), newest(b))
 
 
 _CITES = f"""{OBSERVATIONS}, cites as (select id as src, prev as dst from (select id, kind, session, lag(id) over (partition by session order by started_at, id) as prev from obs) where prev is not null and (kind = 'answer' or session % 2 = 0)),
@@ -144,9 +145,10 @@ def latest_capture_state(spark, sf_dir):
     return rows.select("user_id", "event_id", F.col("event_type").alias("state"), F.round("value", 6).alias("value"))
 
 
-@query("select user_id, event_type as kind, count(*) as n, max(event_id) as last_id from events where event_id % 7 = 0 group by user_id, event_type")
+@query("select user_id, event_type as kind, count(*) as n, max(event_id) as last_id from events group by user_id, event_type")
 def tombstone_latest(spark, sf_dir):
-    gone = table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    """Every event as a deletion: what is left of each kind is a count and the last id."""
+    gone = table(spark, sf_dir, "events")
     return gone.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
@@ -165,17 +167,9 @@ def _prefixes(events):
     return rows.select("event_id", prefix.alias("prefix")).withColumn("decoded", F.conv(F.translate("prefix", own, usual), 32, 10).cast("long"))
 
 
-@query("""with i as (select event_id, cast(round(epoch(ts) * 1000) as bigint) as ms from events where event_id % 50 = 0),
-d as (select event_id, ms, unnest(generate_series(0, 9)) as k from i)
-select event_id, string_agg(substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', cast((ms // cast(pow(32, 9 - k) as bigint)) % 32 as integer) + 1, 1), '' order by k) as prefix, ms as decoded from d group by event_id, ms""")
-def ulid_prefix(spark, sf_dir):
-    """The ten time characters of a sortable id, and their value read back; one event in fifty, as its SQL reads them, ulid_prefix_whole reads all."""
-    return _prefixes(table(spark, sf_dir, "events").where("event_id % 50 = 0"))
-
-
 @query("""with i as (select event_id, cast(round(epoch(ts) * 1000) as bigint) as ms from events),
 d as (select event_id, ms, unnest(generate_series(0, 9)) as k from i)
 select event_id, string_agg(substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', cast((ms // cast(pow(32, 9 - k) as bigint)) % 32 as integer) + 1, 1), '' order by k) as prefix, ms as decoded from d group by event_id, ms""")
-def ulid_prefix_whole(spark, sf_dir):
-    """The same of all events."""
+def ulid_prefix(spark, sf_dir):
+    """The ten time characters of a sortable id, and their value read back."""
     return _prefixes(table(spark, sf_dir, "events"))

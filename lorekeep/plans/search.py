@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beliefs as B
 from ..operators import vectors as V
-from ..sources.views import BELIEFS, NOW, REPLACES, beliefs, replaces, table
+from ..sources.views import BELIEFS, NEWEST, REPLACES, beliefs, newest, replaces, table
 from .catalog import query
 
 _Q = "(select list_transform(embedding, lambda x: cast(x as double)) from embeddings where vec_id = 0)"
@@ -48,7 +48,7 @@ def question_penalty(spark, sf_dir):
 def _belief_sql(post: bool) -> str:
     live = "id not in (select dst_id from replaces)"
     return f"""with {BELIEFS}, {REPLACES},
-b as (select id, weight * pow(0.5, greatest({NOW} - formed_at, 0) / 86400 / 30.0) as w, round(list_dot_product(list_transform(embedding, lambda x: cast(x as double)), {_Q}), 6) as sim from beliefs join embeddings on vec_id = id),
+b as (select id, weight * pow(0.5, greatest({NEWEST} - formed_at, 0) / 86400 / 30.0) as w, round(list_dot_product(list_transform(embedding, lambda x: cast(x as double)), {_Q}), 6) as sim from beliefs join embeddings on vec_id = id),
 c as (select * from b {"" if post else f"where {live}"} order by sim desc, id limit 25)
 select id, sim, round(sim * (0.5 + least(w, 1.0) / 2), 6) as score from c {f"where {live}" if post else ""}"""
 
@@ -56,7 +56,7 @@ select id, sim, round(sim * (0.5 + least(w, 1.0) / 2), 6) as score from c {f"whe
 def _beliefs(spark, sf_dir, post):
     vectors = table(spark, sf_dir, "embeddings")
     b = beliefs(spark, sf_dir)
-    held = b.withColumn("weight_now", B.decayed(F.col("weight"), F.col("formed_at"), F.lit(NOW))).join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    held = b.withColumn("weight_now", B.decayed(F.col("weight"), F.col("formed_at"), F.lit(newest(b)))).join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")
     return V.belief_search(held, replaces(b).select(F.col("dst_id").alias("id")), V.vector_of(vectors, "vec_id", 0), 25, post)
 
 

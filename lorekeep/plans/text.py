@@ -25,13 +25,18 @@ CASES = [
 ]
 
 
-def cases(spark):
-    return spark.createDataFrame(CASES, "name string, line string, answer string, support string, question string")
+def cases(spark, sf_dir):
+    """The cases above and every turn as an answer: to the turn before it as a question, from the latter as the line that grounds it, with its own first 60 characters as support."""
+    before = "coalesce(lag(text) over (partition by conv_id order by turn), '')"
+    turns = table(spark, sf_dir, "conversations").selectExpr("concat('t', conv_id, '-', turn) as name", f"{before} as line", "coalesce(text, '') as answer", "substring(coalesce(text, ''), 1, 60) as support", f"{before} as question")
+    return spark.createDataFrame(CASES, "name string, line string, answer string, support string, question string").unionByName(turns)
 
 
 def _values() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    return "cases(name, line, answer, support, question) as (values " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in CASES) + ")"
+    own = "select * from (values " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in CASES) + ") as own(name, line, answer, support, question)"
+    before = "coalesce(lag(text) over (partition by conv_id order by turn), '')"
+    return f"cases(name, line, answer, support, question) as materialized ({own} union all select 't' || conv_id || '-' || turn, {before}, coalesce(text, ''), substr(coalesce(text, ''), 1, 60), {before} from conversations)"
 
 
 def _list(words) -> str:
@@ -47,13 +52,13 @@ _OVERLAP = lambda a, t: f"(select case when len(c) = 0 then 0.0 else len(list_fi
 
 @query(f"with {_values()} select name, round({_OVERLAP('answer', 'line')}, 6) as overlap from cases")
 def answer_overlap(spark, sf_dir):
-    return cases(spark).select("name", F.round(G.overlap(F.col("answer"), F.col("line")), 6).alias("overlap"))
+    return cases(spark, sf_dir).select("name", F.round(G.overlap(F.col("answer"), F.col("line")), 6).alias("overlap"))
 
 
 @query(f"""with {_values()}, c as (select name, line, unnest(regexp_split_to_array(answer, '{fixed.CLAUSES}')) as part from cases)
 select n.name, o.weakest from (select name from cases) n left join (select name, round(min({_OVERLAP('part', 'line')}), 6) as weakest from c where len({_CONTENT('part')}) >= 2 group by name) o using (name)""")
 def weakest_clause(spark, sf_dir):
-    return cases(spark).select("name", F.round(G.weakest_clause(F.col("answer"), F.col("line")), 6).alias("weakest"))
+    return cases(spark, sf_dir).select("name", F.round(G.weakest_clause(F.col("answer"), F.col("line")), 6).alias("weakest"))
 
 
 _DATES = lambda t: f"list_distinct(list_concat(list_filter(regexp_extract_all(lower({t}), '[a-z]+'), lambda w: list_contains({_MONTHS}, w)), regexp_extract_all(lower({t}), '\\b(?:19|20)[0-9]{{2}}\\b')))"
@@ -61,7 +66,7 @@ _DATES = lambda t: f"list_distinct(list_concat(list_filter(regexp_extract_all(lo
 
 @query(f"with {_values()} select name, array_to_string(list_sort(list_filter({_DATES('answer')}, lambda w: not list_contains({_DATES('line')}, w))), ',') as borrowed from cases")
 def date_guard(spark, sf_dir):
-    return cases(spark).select("name", F.array_join(F.array_sort(G.borrowed_dates(F.col("answer"), F.col("line"))), ",").alias("borrowed"))
+    return cases(spark, sf_dir).select("name", F.array_join(F.array_sort(G.borrowed_dates(F.col("answer"), F.col("line"))), ",").alias("borrowed"))
 
 
 _ALLOWED = _list(dict.fromkeys([*fixed.FRAMING, *fixed.STOPWORDS]))
@@ -71,22 +76,22 @@ _ALLOWED = _list(dict.fromkeys([*fixed.FRAMING, *fixed.STOPWORDS]))
 u as (select name, c, h, list_transform(h, lambda w: substr(w, 1, 5)) as s from t)
 select name, array_to_string(list_sort(list_distinct(list_filter(c, lambda w: not (list_contains(h, w) or list_contains(s, substr(w, 1, 5)))))), ',') as invented from u""")
 def invented_words(spark, sf_dir):
-    return cases(spark).select("name", F.array_join(F.array_sort(G.invented(F.col("answer"), F.col("question"), F.col("line"))), ",").alias("invented"))
+    return cases(spark, sf_dir).select("name", F.array_join(F.array_sort(G.invented(F.col("answer"), F.col("question"), F.col("line"))), ",").alias("invented"))
 
 
-@query("""select item_id, count(*) as lines, min(doc_id) as first_line from benchmark b join documents d on
-  contains(trim(regexp_replace(trim(lower(d.text)), '\\s+', ' ', 'g'), ' .,!?;:"'''), trim(regexp_replace(trim(lower(b.text)), '\\s+', ' ', 'g'), ' .,!?;:"''')) group by item_id""")
+@query("""with d as (select doc_id, trim(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g'), ' .,!?;:"''') as n from documents), b as (select item_id, trim(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g'), ' .,!?;:"''') as s from benchmark)
+select item_id, count(*) as lines, min(doc_id) as first_line from b join d on s <> '' and contains(n, s) group by item_id""")
 def grounded_contains(spark, sf_dir):
-    """Which documents ground each benchmark text by containment. The texts to look for are a small stated set, held against all rows."""
+    """Which documents ground each benchmark text by containment; empty texts ground nothing."""
     b = table(spark, sf_dir, "benchmark").select("item_id", G.normal(F.col("text")).alias("s"))
     d = table(spark, sf_dir, "documents").select("doc_id", G.normal(F.col("text")).alias("n"))
-    return d.join(F.broadcast(b), F.contains("n", F.col("s"))).groupBy("item_id").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first_line"))
+    return G.containing(d, b).groupBy("item_id").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first_line"))
 
 
 @query(None)
 def guard_verdicts(spark, sf_dir):
     """All guards on the cases, the likest line found by similarity where none contains the support."""
-    c = cases(spark)
+    c = cases(spark, sf_dir)
     lines = c.select("name", "support", "line", F.lit(0).alias("at"))
     held = G.grounded(lines).select("name", F.col("line").alias("held"))
     return c.join(held, "name").select("name", G.verdict(F.col("answer"), F.col("held")).alias("verdict"))
@@ -101,7 +106,7 @@ c as (select name, len(p) as np, len(g) as ng, coalesce(list_sum(list_transform(
 select name, case when k = 0 then 0.0 else round(2.0 * k / (np + ng), 6) end as f1, np = ng and k = np as exact from c""")
 def squad_f1(spark, sf_dir):
     k, p, g = G.f1(F.col("answer"), F.col("line"))
-    rows = cases(spark).select("name", k.alias("k"), p.alias("p"), g.alias("g"))
+    rows = cases(spark, sf_dir).select("name", k.alias("k"), p.alias("p"), g.alias("g"))
     return rows.select("name", F.when(F.col("k") == 0, 0.0).otherwise(F.round(2.0 * F.col("k") / (F.col("p") + F.col("g")), 6)).alias("f1"), ((F.col("p") == F.col("g")) & (F.col("k") == F.col("p"))).alias("exact"))
 
 
@@ -109,7 +114,7 @@ def squad_f1(spark, sf_dir):
 select round(least, 2) as least, count(*) filter (v >= least) as emitted, count(*) filter (v >= least and good) as correct from grid, o group by least""")
 def threshold_grid(spark, sf_dir):
     """How many answers pass at each threshold, and how many of them should: one pass over the replies, the thresholds beside each."""
-    rows = cases(spark).select(G.overlap(F.col("answer"), F.col("line")).alias("v"), F.col("name").isin("same", "inflected", "punctuation", "near miss").alias("good"))
+    rows = cases(spark, sf_dir).select(G.overlap(F.col("answer"), F.col("line")).alias("v"), F.col("name").isin("same", "inflected", "punctuation", "near miss").alias("good"))
     rows = rows.select("v", "good", F.explode(F.array(*[F.lit(x) for x in (0.6, 0.5, 0.4, 0.3, 0.2)])).alias("least"))
     return rows.groupBy("least").agg(F.sum((F.col("v") >= F.col("least")).cast("long")).alias("emitted"), F.sum(((F.col("v") >= F.col("least")) & F.col("good")).cast("long")).alias("correct"))
 

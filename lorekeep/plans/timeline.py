@@ -81,14 +81,16 @@ def episode_text_prefix(spark, sf_dir):
     return kept.groupBy("session").agg(F.count("*").alias("n"), F.sum("w").alias("words"), F.array_join(F.transform(lines, lambda r: r["t"]), "\n").alias("text"))
 
 
-@query(f"""with {OBSERVATIONS}, s as (select *, len(regexp_extract_all(text, '\\S+')) as w from obs where kind = 'speech' and started_at between 1000000 and 5000000),
-n as (select * from s order by started_at desc, id desc limit 60), c as (select *, sum(w) over (order by started_at desc, id desc rows unbounded preceding) as c from n)
-select id, session, w as words from c where c <= 400 order by started_at, id""")
+@query(f"""with {OBSERVATIONS}, s as (select *, len(regexp_extract_all(text, '\\S+')) as w, max(started_at) over (partition by session) - 20 * 60 as since from obs where kind = 'speech'),
+n as (select * from s where started_at >= since qualify row_number() over (partition by session order by started_at desc, id desc) <= 60),
+c as (select *, sum(w) over (partition by session order by started_at desc, id desc rows unbounded preceding) as c from n) select id, session, w as words from c where c <= 400""")
 def recent_context_budget(spark, sf_dir):
-    rows = observations(spark, sf_dir).where("kind = 'speech' and started_at between 1000000 and 5000000").withColumn("w", T.word_count("text").cast("long"))
-    newest = rows.orderBy(F.desc("started_at"), F.desc("id")).limit(60)
-    kept = T.prefix_within(newest, [], [F.desc("started_at"), F.desc("id")], F.col("w"), 400)
-    return kept.orderBy("started_at", "id").select("id", "session", F.col("w").alias("words"))
+    """Of each session the speech of its last 20 minutes, its newest 60 lines, of these the newest within 400 words."""
+    rows = observations(spark, sf_dir).where("kind = 'speech'").withColumn("w", T.word_count("text").cast("long"))
+    near = rows.withColumn("since", F.expr("max(started_at) over (partition by session) - 20 * 60")).where("started_at >= since")
+    newest = near.withColumn("k", F.expr("row_number() over (partition by session order by started_at desc, id desc)")).where("k <= 60")
+    kept = T.prefix_within(newest, ["session"], [F.desc("started_at"), F.desc("id")], F.col("w"), 400)
+    return kept.select("id", "session", F.col("w").alias("words"))
 
 
 _RUNS = f"""{WORDS}, f as (select id, speaker, "end" as t, loud < 75 as q from words),
@@ -120,21 +122,11 @@ def _slide(spoken):
     return T.sliding(regions, ["speaker"], 86400.0, 43200.0)
 
 
-@query(f"""with {WORDS}, b as (select speaker, min("end") as s, max("end") as e from words where speaker % 10 = 0 group by speaker), n as (select *, cast(floor((e - s - 86400) / 43200) as bigint) as n from b)
-select speaker, s + k * 43200 as a, s + k * 43200 + 86400 as b from (select *, unnest(generate_series(0, n)) as k from n where n >= 0)
-union all select speaker, e - 86400, e from n where n >= 0 and e - (s + n * 43200 + 86400) > 1e-6
-union all select speaker, s, e from n where n < 0""")
-def sliding_windows(spark, sf_dir):
-    """Windows in the regions of one speaker in ten, as its SQL reads them; sliding_windows_whole has all."""
-    return _slide(words(spark, sf_dir).where("speaker % 10 = 0"))
-
-
 @query(f"""with {WORDS}, b as (select speaker, min("end") as s, max("end") as e from words group by speaker), n as (select *, cast(floor((e - s - 86400) / 43200) as bigint) as n from b)
 select speaker, s + k * 43200 as a, s + k * 43200 + 86400 as b from (select *, unnest(generate_series(0, n)) as k from n where n >= 0)
 union all select speaker, e - 86400, e from n where n >= 0 and e - (s + n * 43200 + 86400) > 1e-6
 union all select speaker, s, e from n where n < 0""")
-def sliding_windows_whole(spark, sf_dir):
-    """The same of all speakers."""
+def sliding_windows(spark, sf_dir):
     return _slide(words(spark, sf_dir))
 
 
@@ -179,10 +171,12 @@ def ewma_levels(spark, sf_dir):
     return P.ewma(words(spark, sf_dir), "speaker")
 
 
-@query("""with recursive d as (select distinct cast(ts as date) as day from events), m as (select max(day) as last from d)
-select cast(last - k as date) as day, 25 as skipped from m, (select cast(unnest(generate_series(1, 5)) as integer) as k) where last - k > last - 31""")
+@query("""with d as (select user_id, max(case when event_type = 'purchase' then cast(ts as date) end) as marker from events group by user_id), t as (select max(cast(ts as date)) as today from events),
+p as (select user_id, marker, cast(today - 1 as date) as last, case when marker is null then cast(today - 1 as date) else cast(marker + 1 as date) end as first from d, t),
+x as (select user_id, greatest(datediff('day', first, last) + 1 - 5, 0) as skipped, first, last from p where first <= last)
+select user_id, cast(unnest(generate_series(cast(first + cast(skipped as integer) as timestamp), cast(last as timestamp), interval 1 day)) as date) as day, cast(skipped as integer) as skipped from x""")
 def pending_days(spark, sf_dir):
-    """Days after a marker 31 days back up to yesterday, the last five, and how many older ones were skipped."""
-    last = table(spark, sf_dir, "events").agg(F.max(F.to_date("ts")).alias("last"))
-    days = last.select(F.explode(F.expr("sequence(date_sub(last, 30), date_sub(last, 1))")).alias("day"))
-    return days.orderBy(F.desc("day")).limit(5).withColumn("skipped", F.lit(25))
+    """For each user the days after its marker (its last purchase) up to the day before the table's last, the last five of them, and how many older ones were skipped; without a marker that one day."""
+    days = table(spark, sf_dir, "events").selectExpr("user_id", "event_type", "to_date(ts) as day")
+    markers = days.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("day"))).alias("marker"))
+    return T.pending(markers, "user_id", days.agg(F.max("day")).first()[0], 5)

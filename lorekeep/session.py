@@ -24,8 +24,20 @@ def session(name: str = "lorekeep", master: str | None = None, **settings: str)
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which a cluster's machines share; only where it is unset on a local master, one of our own."""
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if held:
+        return held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="lorekeep-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """The session, ready for checkpoint(): in the folder of spark.checkpoint.dir, which a cluster's machines share; only where that is unset, in one of our own."""
+    """The session, ready for checkpoint()."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return spark

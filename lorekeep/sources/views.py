@@ -49,15 +49,15 @@ WORDS = """words as (select event_id as id, user_id as speaker, cast(ts as date)
 
 
 def beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as beliefs: a customer's next order replaces the one before."""
+    """Orders as beliefs: a customer's next order replaces the one before. Ten days of orders are one of beliefs, so that decay is seen on all of them."""
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as id", "o_custkey as owner", "o_orderpriority as about", "o_orderstatus as author",
-        "least(1.0D, o_totalprice / 500000) as certainty", "1.0D + o_orderkey % 5 as weight", f"{epoch('o_orderdate')} as formed_at",
+        "least(1.0D, o_totalprice / 500000) as certainty", "1.0D + o_orderkey % 5 as weight", f"{epoch('o_orderdate')} / 10 as formed_at",
     )
 
 
 BELIEFS = """beliefs as (select o_orderkey as id, o_custkey as owner, o_orderpriority as about, o_orderstatus as author,
-  least(cast(1 as double), o_totalprice / 500000) as certainty, 1.0 + o_orderkey % 5 as weight, epoch(o_orderdate) as formed_at from orders)"""
+  least(cast(1 as double), o_totalprice / 500000) as certainty, 1.0 + o_orderkey % 5 as weight, epoch(o_orderdate) / 10 as formed_at from orders)"""
 
 
 def replaces(beliefs: DataFrame) -> DataFrame:
@@ -67,5 +67,11 @@ def replaces(beliefs: DataFrame) -> DataFrame:
 
 REPLACES = """replaces as (select id as src_id, prev as dst_id from (select id, lag(id) over (partition by owner order by formed_at, id) as prev from beliefs) where prev is not null)"""
 
-#: The moment that counts as now in queries: 2024-02-01, an epoch in seconds.
-NOW = 1706745600.0
+
+
+def newest(beliefs: DataFrame) -> float:
+    """The moment that counts as now: when the newest belief was formed."""
+    return beliefs.agg(F.max("formed_at")).first()[0] or 0.0
+
+
+NEWEST = "(select max(formed_at) from beliefs)"

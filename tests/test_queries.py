@@ -55,7 +55,7 @@ def test_plans_prune_and_push_down(spark, small, capsys):
 
 def test_split_punctuation_reads_all_documents(spark, small):
     tokens = {t for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"] is not None for t in r["text"].split(" ")}
-    rows = catalog.QUERIES["split_punctuation_whole"](spark, small).collect()
+    rows = catalog.QUERIES["split_punctuation"](spark, small).collect()
     assert len(rows) == len(tokens) and {r["token"] for r in rows} == tokens
     for r in rows:
         word = r["token"].rstrip(".,!?;:…")
@@ -64,13 +64,13 @@ def test_split_punctuation_reads_all_documents(spark, small):
 
 def test_ids_and_times_of_all_events(spark, small):
     ts = {r["event_id"]: r["ts"] for r in spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts").collect()}
-    ulid, said = (catalog.QUERIES[f"{q}_whole"](spark, small).collect() for q in ("ulid_prefix", "spoken_times"))
+    ulid, said = (catalog.QUERIES[q](spark, small).collect() for q in ("ulid_prefix", "spoken_times"))
     assert len(ulid) == len(said) == len(ts)
     assert {r["event_id"]: r["at"] for r in said} == {k: t.replace(second=0, microsecond=0) for k, t in ts.items()}
     assert all(r["decoded"] == round((ts[r["event_id"]] - datetime(1970, 1, 1)) / timedelta(milliseconds=1)) for r in ulid)
 
 
 def test_windows_slide_for_all_speakers(spark, small):
-    rows = catalog.QUERIES["sliding_windows_whole"](spark, small).collect()
+    rows = catalog.QUERIES["sliding_windows"](spark, small).collect()
     speakers = {r["user_id"] for r in spark.read.parquet(f"{small}/events.parquet").select("user_id").distinct().collect()}
     assert {r["speaker"] for r in rows} == speakers and any(s % 10 for s in speakers)
