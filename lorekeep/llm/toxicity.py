@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_remainder, written
@@ -250,9 +251,12 @@ def toxic_marks(sample: DataFrame) -> list[str]:
 
 def _segments(sample: DataFrame, marks: list[str]) -> pd.DataFrame:
     """Labelled token runs for training: whole texts, by hash, until those of their label have TRAIN_TOKENS words or more. Toxic texts without a mark are left out, as nothing tells which tokens are meant."""
-    words = F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("text"), "text").rowsBetween(W.unboundedPreceding, -1)  # TRAIN_DOCS rows at most
-    sample = sample.withColumn("words", words).withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0))).where(F.col("before") < TRAIN_TOKENS)
+    hashed, words = F.xxhash64("text"), F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
+    sizes = sample.select("toxic", hashed.alias("h"), words.alias("n")).toPandas().sort_values("h")  # numbers of TRAIN_DOCS rows
+    before = sizes.groupby("toxic")["n"].cumsum() - sizes["n"]
+    last = sizes[before < TRAIN_TOKENS].groupby("toxic")["h"].max()
+    drawn = [(F.col("toxic") == int(k)) & (hashed <= int(h)) for k, h in last.items()]
+    sample = sample.where(reduce(operator.or_, drawn, F.lit(False)))
     known = sample.sparkSession.sparkContext.broadcast(frozenset(marks))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
