@@ -21,7 +21,7 @@ from .common import written
 
 #: Tokens in a block, which starts from an empty model, and in a segment (one row of the file table), which ends with a document.
 BLOCK = 4096
-SEGMENT = 4 << 20
+SEGMENT = 8 << 20
 END_ID = 2
 #: Entries of one generation of a worker's memories, the characters of the longest, and words that go to the library together.
 REMEMBERED = 400_000
@@ -370,7 +370,9 @@ class Pieces:
     tokens aren't cut at all. Pieces and words are counted out and ids are joined by array operations over some MB of text at once.
     """
 
-    _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+    # all white space by any of the libraries at hand
+    _BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    _UNSAFE = rf"{_BLANK} (?:{_BLANK}|\z)"
     _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
     _SPACE = re.compile(r"\s")
     _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -459,20 +461,23 @@ class Pieces:
         ids, ends = _joined(*_bank(blobs), code.ravel())
         return ids, np.diff(ends[1::2], prepend=0)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Each text's ids, two bytes each, little-endian."""
-        out, cut = [b""] * len(texts), []
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         self.whole.turn()
-        for k, t in enumerate(texts):
-            if any(a in t for a in self.added):
-                out[k] = self._ids(t).tobytes()
-            elif self._UNSAFE.search(t):
-                out[k] = b"".join(self._whole(p) for p in self._CUT.split(t) if p)
-            else:
-                cut.append(k)
-        if not cut:
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= np.asarray(pc.match_substring(texts, token))
+        unsafe = np.asarray(pc.match_substring_regex(texts, self._UNSAFE)) & ~special
+        out = [b""] * len(texts)
+        for k in np.flatnonzero(special).tolist():
+            out[k] = self._ids(texts[k].as_py()).tobytes()
+        for k in np.flatnonzero(unsafe).tolist():
+            out[k] = b"".join(self._whole(p) for p in self._CUT.split(texts[k].as_py()) if p)
+        cut = np.flatnonzero(~(special | unsafe))
+        if not len(cut):
             return out
-        split = pc.split_pattern(pa.array([texts[k] for k in cut], pa.large_string()), " ")
+        split = pc.split_pattern(texts.take(pa.array(cut)) if len(cut) < len(texts) else texts, " ")
         begin, coded, first = split.offsets.to_numpy(), split.values.dictionary_encode(), {}
         ids, size = self._pieces_after_space(coded.dictionary)
         code = coded.indices.to_numpy().astype(np.int64)
@@ -480,7 +485,7 @@ class Pieces:
         first_ids, first_size = _bank(list(map(self._whole, first)))
         ids, ends = _joined(np.concatenate([ids, first_ids]), np.concatenate([size, first_size]), code)
         ends = np.concatenate([[0], ends]).take(begin).tolist()
-        for k, b, e in zip(cut, ends, ends[1:], strict=False):
+        for k, b, e in zip(cut.tolist(), ends, ends[1:], strict=False):
             out[k] = ids[b:e].tobytes()
         return out
 
@@ -511,8 +516,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Texts that are cut into pieces at once, in characters.
-_SLICE = 4 << 20
+#: Texts that are cut into pieces at once, in bytes; the more, the fewer pieces come again.
+_SLICE = 12 << 20
 
 
 def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -537,13 +542,11 @@ def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_docs", "n_tokens", "segment"])
 
         for b in batches:
-            texts, own = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+            texts, own = b.column("text"), b.column("doc_id").to_pylist()
+            reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
             i = 0
-            while i < len(texts):
-                j, room = i, _SLICE
-                while j < len(texts) and (j == i or room > 0):
-                    room -= len(texts[j])
-                    j += 1
+            while i < len(own):
+                j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + _SLICE, side="right")))
                 for d, x in zip(own[i:j], pieces.encode(texts[i:j]), strict=True):
                     ids.append(x + end)
                     doc_ids.append(d)
