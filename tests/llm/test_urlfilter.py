@@ -1,3 +1,8 @@
+import random
+
+import duckdb
+from pyspark.sql import functions as F
+
 from lorekeep.llm import urlfilter as U
 
 LINK = '<html><link href="{}" rel="canonical" ><a href="http://no.example.org/es/">x</a></html>'
@@ -58,5 +63,33 @@ def test_all_tags_and_relative_targets(spark):
     assert {r["page_id"]: r["verdict"] for r in U.url_table(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
+def test_planted_links_against_sql(spark, small, tmp_path):
+    """The pages of the small table with links of one kind each, absolute or from the root, as the SQL follows them."""
+    pages = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()]
+    rng, planted = random.Random(8), []
+    for k, (i, url, html) in enumerate(pages):
+        to = rng.choice(pages)[1] if k % 3 else "http://q.com/de/%d" % k if k % 2 else "/other/%d" % k
+        tag = (f'<link href="{to}" rel="canonical">', f'<meta http-equiv="refresh" content="0; url={to}">', "", "")[rng.randrange(4)]
+        planted.append((i, url, tag + (html or "")))
+    planted += [(9000, "http://free.net/" + "x" * 50_000, "y" * 200_000), (9001, None, '<link rel="canonical" href="http://q.com/de/">'), (9002, "http://q.com/de/", None)] * 2
+    frame = spark.createDataFrame(planted, "page_id long, url string, html string")
+    frame.write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    result = con.sql(U.URL_ORACLE)
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted((tuple(r[result.columns.index(c)] for c in names) for r in result.fetchall()), key=str)
+    got = sorted((tuple(r[c] for c in names) for r in U.url_table(frame).collect()), key=str)
+    assert got == want
+    assert sum(r[3] is None and r[4] == "block" for r in got) > 3  # blocked by an alias alone
+
+
+def test_ties_of_rules(spark):
+    rules = [U.Rule("block", "a.com", "/x"), U.Rule("allow", "a.com", "/x"), U.Rule("block", "com", "/xyzab")]
+    frame = spark.createDataFrame([("b.a.com", "/xyzabc"), ("b.a.com", "/x1"), ("ba.com", "/x1")], "host string, path string")
+    got = [(r["r"] and tuple(r["r"])) for r in frame.select(U.rule_of(F.col("host"), F.col("path"), rules).alias("r")).collect()]
+    assert got == [("com/xyzab", "block"), ("a.com/x", "allow"), None]  # the longest, of equal ones the one that allows
+
+
 def test_empty(spark):
     assert U.url_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
