@@ -134,3 +134,10 @@ def stamped(rows: DataFrame) -> DataFrame:
     """rows (config, digest, held_config, held_digest) with whether what was stamped under the held ones may be used."""
     state = first_match((~F.col("held_config").eqNullSafe(F.col("config")), "made under other settings"), (~F.col("held_digest").eqNullSafe(F.col("digest")), "content has changed"), default="ok")
     return rows.withColumn("state", state)
+
+
+def replies(rows: DataFrame) -> DataFrame:
+    """rows (reply) by the schema of a judge's answer: its state, malformed, no answer or ok, and the numbers to keep."""
+    read = F.from_json("reply", "keep array<long>, why string, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    state = first_match((F.col("_r").isNull() | F.col("_r.broken").isNotNull(), "malformed"), (F.col("_r.keep").isNull(), "no answer"), default="ok")
+    return rows.withColumn("_r", read).withColumn("state", state).withColumn("keep", F.when(F.col("state") == "ok", F.col("_r.keep"))).drop("_r")
