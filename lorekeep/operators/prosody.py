@@ -160,10 +160,14 @@ def suspect_reasons(words: DataFrame) -> DataFrame:
 
 
 def ewma(rows: DataFrame, by: str, alpha: float = EWMA) -> DataFrame:
-    """Per key the exponentially weighted level after all its values (end, value, id) in order, from the first."""
-    e = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("end", "id", "value"))).alias("e"))
-    fold = F.aggregate(F.slice("e", 2, F.greatest(F.size("e") - 1, F.lit(0))), F.col("e")[0]["value"], lambda s, x: s + alpha * (x["value"] - s))
-    return e.select(by, F.size("e").cast("long").alias("n"), F.round(fold, 6).alias("level"))
+    """Per key the exponentially weighted level after all its values (end, value, id) in order, from the first.
+
+    A value counts by its place from the end, the first one for all before it too, so a key is a sorted sum that spills and no array.
+    """
+    w = W.partitionBy(by).orderBy(F.desc("end"), F.desc("id"))
+    placed = rows.select(by, "value", (F.row_number().over(w) - 1).alias("_k"), F.count("*").over(W.partitionBy(by)).alias("_n"))
+    share = F.pow(F.lit(1 - alpha), F.col("_k")) * F.when(F.col("_k") == F.col("_n") - 1, 1.0).otherwise(alpha)
+    return placed.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(share * F.col("value")), 6).alias("level"))
 
 
 def derived_levels(weights: DataFrame, by: str, step: float = 0.001) -> DataFrame:
