@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import beliefs, forget, governance, guards, nightly, people, sessions, signals, speakers, store, timeline, vectors
+from lorekeep.operators import beliefs, capture, forget, governance, guards, nightly, people, recordings, sessions, signals, speakers, store, timeline, vectors
 from lorekeep.operators.store import Store
 from lorekeep.plans import text
 from lorekeep.streaming import gate
@@ -215,3 +215,34 @@ def test_nothing_comes_of_empty_tables(spark):
     assert governance.reaped(empty("pid long, at double, event_id long, ended boolean"), 0.0).isEmpty()
     assert store.standing(empty("caller long, tool string, action string, at double, minutes long"), F.lit(0.0)).isEmpty()
     assert vectors.top_k_each(empty("vec_id long, embedding array<float>"), empty("caller long, embedding array<float>"), 3).isEmpty()
+
+
+def test_recordings_and_their_oddities(spark, tmp_path):
+    assert recordings.decoded(None) is None and recordings.decoded(b"RIFF") is None and recordings.decoded(b"") is None
+    for channels in (1, 3):
+        back = recordings.decoded(recordings.encoded(np.array([0.0, 0.5, -2.0, 2.0]), channels))
+        assert np.allclose(back, [0, 16383 / 32767, -1, 1])
+    assert len(recordings.decoded(recordings.encoded(np.zeros(800), 1, 8000))) == 1600 and len(recordings.decoded(recordings.encoded(np.zeros(0)))) == 0
+    rows = spark.createDataFrame([("a", [0.25, -0.25]), ("b", []), ("c", None)], "path string, samples array<double>")
+    files = recordings.save(rows, f"{tmp_path}/wav")
+    got = {r["path"]: r["samples"] for r in recordings.load(files.union(spark.createDataFrame([("d", bytearray(b"no")), ("e", None)], "path string, content binary"))).collect()}
+    assert {k: v if v is None else len(v) for k, v in got.items()} == {"a": 2, "b": 0, "c": 0, "d": None, "e": None}
+
+
+def test_capture_oddities(spark, tmp_path):
+    stats = spark.createDataFrame([(1, 5, 2.0, 0.5), (None, None, None, None)], "speaker long, n long, mean double, sd double")
+    capture.save_baselines(stats, f"{tmp_path}/baselines", {"v": "1"})
+    assert capture.load_baselines(spark, f"{tmp_path}/baselines", {"v": "1"}).count() == 2
+    with pytest.raises(ValueError, match="other settings"):
+        capture.load_baselines(spark, f"{tmp_path}/baselines", {"v": "2"})
+    speakers_ = spark.createDataFrame([(1,), (2,)], "speaker long")
+    assert {r["speaker"]: (r["n"], r["empty"]) for r in capture.or_empty(speakers_, stats).collect()} == {1: (5, False), 2: (0, True)}
+    moves = spark.createDataFrame([(1, 5.0, 10, "paused"), (1, 9.0, 12, "capturing")], "who long, at double, event_id long, state string")
+    heard = spark.createDataFrame([(1, 1.0, 1, True), (1, 5.0, 11, True), (1, 9.0, 11, False), (1, 9.5, 13, False), (2, 7.0, 14, True)], "who long, at double, event_id long, speech boolean")
+    got = sorted((r["event_id"], r["kept"]) for r in capture.handled(heard, moves, "who").collect())
+    assert got == [(1, True), (11, False), (11, False), (13, True), (14, True)]
+    texts = spark.createDataFrame([(1, "a a b"), (2, None), (3, "")], "id long, text string")
+    rows = {r["id"]: r for r in capture.embedded(texts, "id", "query:").collect()}
+    assert sum(rows[1]["dims"].values()) == 4 and rows[2]["dims"] == rows[3]["dims"] and rows[2]["norm"] == 1.0
+    replies = spark.createDataFrame([(1, '{"keep": [2]}'), (2, None), (3, "x"), (4, '{"why": "no"}')], "id long, reply string")
+    assert {r["id"]: r["state"] for r in governance.replies(replies).collect()} == {1: "ok", 2: "malformed", 3: "malformed", 4: "no answer"}
