@@ -14,42 +14,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by law `key`. A null text has size 1, null doc_ids share a shard, repeated rows have slots of their own, an empty table gives no rows, further columns aren't read."""
     return sharding.shard_table(_table(spark, sf_dir, "documents"))
 
 
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents. Null and empty texts have the lowest score, repeats equal ones; without labels of both kinds all have the prior; an empty table gives no rows, further columns aren't read."""
     return toxicity.toxicity_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents by their sources' rates. A null source is one of its own, rows of one doc_id (null too) have equal counts, an empty table gives no rows, further columns aren't read."""
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
 def op4_context_mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written and read back. A null text is empty, null doc_ids come first, equal doc_ids in an order of their texts; an empty table gives no rows, further columns aren't read."""
     return token_codec.token_table(_table(spark, sf_dir, "documents"))
 
 
 def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents. Null and letterless texts are `und`, ties go to the first language by name, repeats have equal results; an empty table gives no rows, further columns aren't read."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of all documents. A null text is empty, repeated rows and doc_ids stand for themselves, an empty table gives no rows, further columns aren't read."""
     return pii.pii_table(_table(spark, sf_dir, "documents"))
 
 
 def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents. Null and empty texts have no words, repeated items count once by item_id, an empty benchmark hits nothing, empty documents give no rows, further columns aren't read."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents. Null and wordless texts have fingerprint 0, repeats are one node, a component without doc_ids has no id; an empty table gives no rows, further columns aren't read."""
     return simhash.simhash_table(_table(spark, sf_dir, "documents"))
 
 
 def op9_redirect_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages. Null and malformed urls have empty host and path, null html no links, ties of rules go to allow, repeats are judged alike; an empty table gives no rows, further columns aren't read."""
     return urlfilter.url_table(_table(spark, sf_dir, "pages"))
 
 
 def op10_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents. A null text is the empty one, of rows that share the largest doc_id (or have none) one stays; an empty table gives no rows, further columns aren't read."""
     return exactdedup.dedup_table(_table(spark, sf_dir, "documents"))
 
 
