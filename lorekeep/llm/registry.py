@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exactdedup, langid, mixing, pii, sharding, simhash, token_codec, toxicity, urlfilter
+from . import alignment, decontaminate, exactdedup, filteraudit, htmltext, langid, mixing, pii, sharding, simhash, token_codec, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,21 @@ def op10_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup_table(_table(spark, sf_dir, "documents"))
 
 
+def op11_density_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages. Null and empty html have none, repeats equal ones, ties go to the outer node; an empty table gives no rows, further columns aren't read."""
+    return htmltext.extract_table(_table(spark, sf_dir, "pages"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of all documents. Null and empty texts have zeros, repeats count as documents of their own, ties of best pairs all count; an empty table gives no rows, further columns aren't read."""
+    return alignment.alignment_table(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of five filters over all documents. A null text is empty, a null lang the part '', repeats of one doc_id are no earlier texts; an empty table gives no rows, further columns aren't read."""
+    return filteraudit.audit_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_anchor_simhash,
         op9_redirect_urls,
         op10_fuse_exact_dedup,
+        op11_density_html_text,
+        op12_tokenizer_alignment,
+        op13_filter_audit,
     )
 }
 
@@ -84,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op7_wu_manber_decontamination": decontaminate.DECONTAMINATE_ORACLE,
     "op9_redirect_urls": urlfilter.URL_ORACLE,
     "op10_fuse_exact_dedup": exactdedup.DEDUP_ORACLE,
+    "op13_filter_audit": filteraudit.AUDIT_ORACLE,
 }
