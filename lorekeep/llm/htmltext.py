@@ -204,16 +204,17 @@ def measure(nodes: list[Node], forms: bool = False) -> Node:
 
 
 def chosen(nodes: list[Node], body: Node) -> set[Node]:
-    """The subtrees that are taken: in every node at least as dense as the threshold, the one of the largest sum.
+    """The subtrees that are taken: in every block at least as dense as the threshold, the block of the largest sum.
 
-    The threshold is the least density on the path from the page's largest sum up to the body. Of equal sums the outer node is taken.
+    The threshold is the least density on the path from the page's largest sum up to the body. Of equal sums the outer block is taken.
     """
     seen = [n for n in nodes if not n.aside]
-    best = {n: n for n in seen}
+    best: dict[Node, Node | None] = {}
     for node in reversed(seen):
+        best[node] = None if node.name in INLINE else node
         for x in node.items:
-            if isinstance(x, Node) and not x.aside and best[x].sum > best[node].sum:
-                best[node] = best[x]
+            if isinstance(x, Node) and (y := best.get(x)) is not None and (best[node] is None or y.sum > best[node].sum):
+                best[node] = y
     node, threshold = best[body], body.density
     while node is not body:
         threshold = min(threshold, node.density)
@@ -222,7 +223,7 @@ def chosen(nodes: list[Node], body: Node) -> set[Node]:
     for node in seen:
         if node is body or node.parent in inside:
             inside.add(node)
-            if node.density >= threshold and node.chars:
+            if node.name not in INLINE and node.chars and node.density >= threshold:
                 out.add(best[node])
     return out
 

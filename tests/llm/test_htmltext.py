@@ -82,7 +82,7 @@ def brute(page):
         total[id(node)] = sum(of[id(x)][0] for x in node[2] if not isinstance(x, str) and id(x) in of) + (d * own / c if own else 0)
 
     def largest(top):
-        inside = [n for n, path in every if n is top or any(p is top for p in path)]
+        inside = [n for n, path in every if (n is top or any(p is top for p in path)) and n[0] not in H.INLINE]
         return next(n for n in inside if total[id(n)] >= max(total[id(m)] for m in inside) * (1 - 1e-12))
 
     best = largest(body)
@@ -90,7 +90,7 @@ def brute(page):
     threshold = min(of[id(n)][0] for n in [*path, best] if n is body or any(b is body for b in path[: [*map(id, path), id(best)].index(id(n))]))
     taken = {id(best)}
     for node, p in every:
-        if (node is body or any(x is body for x in p)) and of[id(node)][0] >= threshold * (1 - 1e-12) and of[id(node)][1]:
+        if node[0] not in H.INLINE and (node is body or any(x is body for x in p)) and of[id(node)][0] >= threshold * (1 - 1e-12) and of[id(node)][1]:
             taken.add(id(largest(node)))
     pieces = []
 
