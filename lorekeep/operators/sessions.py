@@ -65,17 +65,6 @@ def offset(slope: Column, value: Column, median: Column) -> Column:
     return slope * (value - median)
 
 
-def steps_usable(steps: DataFrame) -> DataFrame:
-    """Readings (proxy, distance, level) at growing distances: whether a proxy falls or rises all the way, the smallest of its steps
-    over the largest, its line of level by value, and whether it may be used: monotonic, with steps no smaller than a quarter of the largest."""
-    d = steps.selectExpr("*", "level - lag(level) over (partition by proxy order by distance) as step")
-    each = d.groupBy("proxy").agg(
-        (F.min(F.signum("step")) == F.max(F.signum("step"))).alias("monotonic"), (F.min(F.abs("step")) / F.max(F.abs("step"))).alias("ratio"),
-        F.regr_slope("level", "distance").alias("slope"), F.regr_intercept("level", "distance").alias("start"),
-    )
-    return each.withColumn("usable", F.col("monotonic") & (F.col("ratio") >= 0.25))
-
-
 def dynamic_range(frames: DataFrame, by: str, value: str) -> DataFrame:
     """The 90th less the 10th percentile of the levels: the nearer the mouth, the wider."""
     q = lambda p: F.percentile(value, F.lit(p))

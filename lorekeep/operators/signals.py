@@ -59,21 +59,22 @@ def _median(values: np.ndarray, counts: np.ndarray) -> float:
 
 
 def two_means(values: np.ndarray, counts: np.ndarray | None = None, rounds: int = 50) -> tuple[float, float]:
-    """Medians of the quiet and the loud half of levels, each standing for its count, split midway between them until that settles."""
+    """Medians of the quiet and the loud half of levels, each standing for its count: cut at their mean, then midway between both medians until that settles. Where one half is empty, both are the median of all."""
     n = np.ones(len(values), np.int64) if counts is None else counts
     order = np.argsort(values, kind="stable")
     order = order[np.isfinite(values[order]) & (n[order] > 0)]
     v, n = values[order], n[order]
     if not len(v):
         return float("nan"), float("nan")
-    low, high = float(v[0]), float(v[-1])
-    for _ in range(rounds):
-        cut = int(np.searchsorted(v, (low + high) / 2, side="right"))
-        new = _median(v[:cut], n[:cut]) if cut else low, _median(v[cut:], n[cut:]) if cut < len(v) else high
-        done = abs(new[0] - low) + abs(new[1] - high) < 1e-6
-        low, high = new
-        if done:
+    at = float((v * n).sum() / n.sum())
+    for left in range(rounds, -1, -1):
+        cut = int(np.searchsorted(v, at, side="right"))
+        if cut in (0, len(v)):
+            return (_median(v, n),) * 2
+        low, high = _median(v[:cut], n[:cut]), _median(v[cut:], n[cut:])
+        if not left or abs((low + high) / 2 - at) < 1e-6:
             break
+        at = (low + high) / 2
     return low, high
 
 

@@ -70,16 +70,6 @@ def distance_offsets(spark, sf_dir):
     return w.join(m, "speaker").select("id", X.level_reference(F.col("n")).alias("held_against"), F.round(X.offset(F.lit(-0.5), F.col("value"), F.col("median")), 6).alias("off"))
 
 
-@query("""with s as (select user_id as proxy, cast(ts as date) as day, avg(value) as level from events group by 1, 2), r as (select *, row_number() over (partition by proxy order by day) as distance from s),
-d as (select *, level - lag(level) over (partition by proxy order by distance) as step from r where distance <= 1 + proxy % 4)
-select proxy, min(sign(step)) = max(sign(step)) as monotonic, round(min(abs(step)) / max(abs(step)), 6) as ratio, case when count(*) > 1 then round(regr_slope(level, distance), 6) end as slope, min(sign(step)) = max(sign(step)) and min(abs(step)) / max(abs(step)) >= 0.25 as usable from d group by proxy""")
-def proxies_calibrated(spark, sf_dir):
-    """Daily means as readings at growing distances, one to four for each user: which proxies may be used."""
-    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("proxy"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("level"))
-    steps = s.selectExpr("proxy", "level", "row_number() over (partition by proxy order by day) as distance").where("distance <= 1 + proxy % 4")
-    return X.steps_usable(steps).select("proxy", "monotonic", F.round("ratio", 6).alias("ratio"), F.round("slope", 6).alias("slope"), "usable")
-
-
 @query(f"with {WORDS} select speaker, round(quantile_cont(loud, 0.9) - quantile_cont(loud, 0.1), 6) as range, count(loud) as n from words group by speaker")
 def dynamic_ranges(spark, sf_dir):
     return X.dynamic_range(words(spark, sf_dir), "speaker", "loud")
