@@ -46,7 +46,7 @@ def test_short_and_still_tracks(spark):
     tracks = {"one": [50.0], "two": [50.0, 60.0], "few": [50.0, 60.0, 40.0] * 4, "still": [50.0] * 400}
     got = {r["track"]: r for r in X.distance_proxies(frames(spark, tracks), "track").collect()}
     assert {k: r["n"] for k, r in got.items()} == {k: len(v) for k, v in tracks.items()}
-    assert all(r["mod_ratio"] is None for r in got.values()) and got["still"]["dyn_range"] == 0 and got["still"]["level"] == 50
+    assert all(r["mod_ratio"] is None for r in got.values()) and got["still"]["dyn_range"] is None and got["still"]["level"] == 50
     assert X.distance_proxies(frames(spark, {"x": [1.0]}).limit(0), "track").count() == 0
 
 
