@@ -12,7 +12,7 @@ from ..operators import timeline as T
 from ..operators import vectors as V
 from ..operators.governance import first_match
 from ..sources.views import OBSERVATIONS, WORDS, epoch, observations, table, words
-from ..streaming import gate
+from ..streaming import gate, live
 from .catalog import query
 from .timeline import _RUNS, _runs
 
@@ -157,14 +157,10 @@ def streamed(spark, rows, operator, mode: str = "append"):
 
 @query("select date_trunc('hour', ts) as start, event_type as key, count(*) as n, round(avg(value), 6) as level from events group by 1, 2")
 def level_windows_stream(spark, sf_dir):
-    """The hours of a stream of events that ends with one of a far later time, by which all hours before it become final."""
-    rows = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("key"), "value")
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    base = f"{store.shared_folder(spark)}/hours-{uuid.uuid4().hex}"
-    rows.repartition(1).write.parquet(f"{base}/in")
-    rows.limit(1).select((F.col("ts") + F.expr("interval 400 days")).alias("ts"), F.lit("end").alias("key"), F.lit(0.0).alias("value")).write.mode("append").parquet(f"{base}/in")
-    q = gate.level_windows(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{base}/in"), "60 days").writeStream.format("parquet")
-    q.option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    """The hours of a stream of events that comes in three parts, late by an hour at most, and ends with one of a far later time, by which all hours before it become final."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "value").withColumn("at", F.unix_millis("ts"))
+    end = rows.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).where("ts is not null").selectExpr("ts", "'end' as key", "0.0D as value", "unix_millis(ts) as at")
+    base = live.fed([*live.slices(rows, "at", 3), end], lambda stream, base: gate.level_windows(stream, "1 hour").writeStream.format("parquet").option("path", f"{base}/out"))
     return spark.read.parquet(f"{base}/out").where("key != 'end'").select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("level", 6).alias("level"))
 
 
@@ -172,11 +168,11 @@ def level_windows_stream(spark, sf_dir):
 select o.session, id, count(*) as heard from o join s on o.session = s.session and b > c - interval 300 milliseconds and a < d + interval 600 milliseconds and c between a - interval 1 hour and a + interval 1 hour group by 1, 2""")
 def self_heard_stream(spark, sf_dir):
     """Utterances of twenty minutes that overlap own speech, found by joining both as streams."""
-    e = table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as id", "event_type", "cast(ts as timestamp) as a")
+    e = table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as id", "event_type", "cast(ts as timestamp) as a").withColumn("at", F.unix_millis("a"))
 
-    def joined(stream):
+    def start(stream, base):
         said = stream.where("event_type != 'error'").selectExpr("session", "id", "a", "a + interval 20 minutes as b")
         own = stream.where("event_type = 'error'").selectExpr("session", "a as c", "a + interval 10 minutes as d")
-        return gate.self_heard_stream(said, own, delay="60 days")
+        return gate.self_heard_stream(said, own, delay="1 hour").writeStream.format("parquet").option("path", f"{base}/out")
 
-    return streamed(spark, e, joined).groupBy("session", "id").agg(F.count("*").alias("heard"))
+    return spark.read.parquet(f"{live.fed(live.slices(e, 'at', 3), start)}/out").groupBy("session", "id").agg(F.count("*").alias("heard"))
