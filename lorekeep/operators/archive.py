@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Samples of a frame, and of a second.
+from .versions import Files
+
+#: Folders of the archive. Samples of a frame, and of a second.
+FANS = 256
 FRAME = 512
 RATE = 16_000
 
@@ -32,14 +34,13 @@ def new_blobs(blobs: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def append(blobs: DataFrame, folder: str) -> None:
-    """Appends blobs that aren't stored yet to a table partitioned by the first two characters of the digest, each of its folders written by one task."""
+    """Appends blobs that aren't stored yet to a table partitioned by the first two characters of the digest; each of its folders is written by as many tasks as there are for one in FANS. The digest table of a Store says what is
+    stored where more than one appends: two that miss each other's blob here leave it twice, with equal content."""
     spark = blobs.sparkSession
-    try:
-        stored = spark.read.parquet(folder)
-    except AnalysisException:
-        stored = blobs.limit(0)
+    stored = spark.read.parquet(folder) if Files(spark).names(folder) else blobs.limit(0)
     rows = new_blobs(blobs, stored).withColumn("fan", F.substring("digest", 1, 2))
-    rows.repartition("fan").write.mode("append").partitionBy("fan").parquet(folder)
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FANS)
+    rows.repartition("fan", F.pmod(F.xxhash64("digest"), F.lit(salts))).write.mode("append").partitionBy("fan").parquet(folder)
 
 
 def usage(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,20 +10,19 @@ from ..session import with_checkpoints
 GRACE_S = 3600.0
 
 
-def closure(seed: DataFrame, cites: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def closure(seed: DataFrame, cites: DataFrame) -> DataFrame:
     """(id) of the seed and of all that cite any of it (src cites dst), directly or through others.
 
-    Only the newest ids are joined in a round, cycles end by themselves, and each round's set is a checkpoint.
+    Only the newest ids are joined in a round, and only they are written: the set is the union of the rounds' checkpoints. It ends when a round finds
+    nothing, so cycles end by themselves and chains may be of any length.
     """
     with_checkpoints(seed.sparkSession)
     edges = cites.select("src", F.col("dst").alias("id")).where("src is not null")
     everything = fresh = seed.select("id").distinct().checkpoint()
-    for _ in range(most_rounds):
+    while not fresh.isEmpty():
         fresh = edges.join(fresh, "id", "left_semi").select(F.col("src").alias("id")).distinct().join(everything, "id", "left_anti").checkpoint()
-        if fresh.isEmpty():
-            return everything
-        everything = everything.union(fresh).checkpoint()
-    raise RuntimeError("the closure did not settle")
+        everything = everything.union(fresh)
+    return everything
 
 
 def exclusive_blobs(uses: DataFrame, gone: DataFrame) -> DataFrame:

@@ -1,47 +1,41 @@
-"""The record store: observations, beliefs and edges as Parquet tables that are only appended to, written beside each other in one folder."""
+"""The record store: observations, beliefs, edges and what else a memory holds, as tables whose changes are versions."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import settings_digest
-from ..session import shared_folder
+from ..session import shared_folder, with_checkpoints
 from .beliefs import FAINT, current_versions, decayed
 from .guards import question_shaped
+from .versions import Change, Versions
 
 SCHEMAS = {
     "observations": "id string, kind string, session long, started_at double, ended_at double, person string, text string, is_question boolean",
     "beliefs": "id long, owner long, statement string, about string, author string, certainty double, weight double, formed_at double",
     "edges": "src string, dst string, type string, at double",
     "meta": "key string, value string, at double",
+    "uses": "id string, digest string",
+    "blobs": "digest string, bytes long, at double",
+    "log": "id string, caller string, returned array<string>, at double",
+    "windows": "id string, session long, text string",
+    "tombstones": "id string, kind string, reason string, at double",
 }
 
 
-class Store:
-    """A store in a folder that all machines share. Readers see what was written before they were made; every append adds files and
-    changes none, so a failed job leaves nothing half-written that a reader would see."""
+class Store(Versions):
+    """A store in a folder that all machines share. A reader sees one version of all tables; what one call writes becomes visible at once, or not at all."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-
-    def read(self, name: str) -> DataFrame:
-        """A table of the store; empty before its first append. Columns other than those of SCHEMAS raise ValueError."""
-        try:
-            found = self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        want = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        if [(f.name, f.dataType) for f in found.schema] != [(f.name, f.dataType) for f in want]:
-            raise ValueError(f"{name} has other columns than this version writes")
-        return found
+        super().__init__(spark, path or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", SCHEMAS)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        want = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in want]).write.mode("append").parquet(f"{self.path}/{name}")
+        with self.change() as c:
+            c.append(name, rows)
 
     def open(self, settings: dict[str, str]) -> None:
         """Checks the tables' columns and that the settings are those the store was made with; the first to open it sets them."""
@@ -59,25 +53,34 @@ class Store:
         self.append("observations", rows.withColumn("is_question", question_shaped(F.col("text"))))
 
     def add_answers(self, rows: DataFrame, at: float) -> DataFrame:
-        """rows (like observations, and cites: ids): those that cite anything, and only what is known, become observations and edges. The others come back, with the reason."""
-        judged = cited(rows, self.read("observations"))
+        """rows (like observations, and cites: ids): those that cite anything, and only what is known, become observations and edges, together. The others come back, with the reason."""
+        judged = self._once(cited(rows, self.read("observations")))
         good = judged.where("reason = 'ok'")
-        self.append("observations", good.withColumn("is_question", F.lit(False)))
-        self.link(good.select(F.col("id").alias("src"), F.explode(F.array_distinct("cites")).alias("dst")), "cites", at)
+        with self.change() as c:
+            c.append("observations", good.withColumn("is_question", F.lit(False)))
+            c.append("edges", linked(good.select(F.col("id").alias("src"), F.explode(F.array_distinct("cites")).alias("dst")), "cites", at))
         return judged.where("reason != 'ok'")
 
-    def add_beliefs(self, rows: DataFrame, at: float) -> DataFrame:
-        """rows (like beliefs, and sources: ids, replaces: an id or null): those with sources and a subject become beliefs and edges. The others come back, with the reason."""
-        judged = proposed(rows)
+    def add_beliefs(self, rows: DataFrame, at: float, then: Callable[[Change], None] | None = None) -> DataFrame:
+        """rows (like beliefs, and sources: ids, replaces: an id or null): those with sources and a subject become beliefs and edges, together with what `then` adds to the change. The others come back, with the reason."""
+        judged = self._once(proposed(rows))
         good = judged.where("reason = 'ok'")
-        self.append("beliefs", good)
         src = F.col("id").cast("string").alias("src")
-        self.link(good.select(src, F.explode(F.array_distinct(F.col("sources").cast("array<string>"))).alias("dst")), "came-from", at)
-        self.link(good.where("replaces is not null").select(src, F.col("replaces").cast("string").alias("dst")), "replaces", at)
+        with self.change() as c:
+            c.append("beliefs", good)
+            came = good.select(src, F.explode(F.array_distinct(F.col("sources").cast("array<string>"))).alias("dst"))
+            c.append("edges", linked(came, "came-from", at).union(linked(good.where("replaces is not null").select(src, F.col("replaces").cast("string").alias("dst")), "replaces", at)))
+            if then:
+                then(c)
         return judged.where("reason != 'ok'")
 
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """rows, computed and kept once for all that reads them."""
+        with_checkpoints(self.spark)
+        return rows.checkpoint()
+
     def link(self, pairs: DataFrame, type: str, at: float) -> None:
-        self.append("edges", pairs.select("src", "dst", F.lit(type).alias("type"), F.lit(at).alias("at")))
+        self.append("edges", linked(pairs, type, at))
 
     def edge_types(self) -> DataFrame:
         """The census of edges: type, n, first_seen, last_seen."""
@@ -85,25 +88,17 @@ class Store:
 
     def drop_beliefs(self) -> tuple[int, int]:
         """Empties beliefs and their edges; how many of each there were."""
-        beliefs, edges = self.read("beliefs"), self.read("edges")
-        gone = edges.where("type in ('came-from', 'replaces')")
-        counts = beliefs.count(), gone.count()
-        self.replace("edges", edges.where("type not in ('came-from', 'replaces')"))
-        self.replace("beliefs", self.spark.createDataFrame([], SCHEMAS["beliefs"]))
-        return counts
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """A table's rows by others, which may be read from it: they are written beside it first and moved into its place."""
-        new, old = (f"{self.path}/{name}-{uuid.uuid4().hex}" for _ in range(2))
-        want = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in want]).write.parquet(new)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path(f"{self.path}/{name}")):
-            fs.rename(path(f"{self.path}/{name}"), path(old))
-        fs.rename(path(new), path(f"{self.path}/{name}"))
-        fs.delete(path(old), True)
+        with self.change() as c:
+            beliefs = c.read("beliefs").count()
+            layer = F.col("type").isin("came-from", "replaces")
+            edges = c.rewrite("edges", lambda rows: rows.where(layer), lambda rows: rows.where(~layer))
+            c.replace("beliefs", self.spark.createDataFrame([], SCHEMAS["beliefs"]))
+        return beliefs, edges
+
+
+def linked(pairs: DataFrame, type: str, at: float) -> DataFrame:
+    """pairs (src, dst) as edges of a type."""
+    return pairs.select("src", "dst", F.lit(type).alias("type"), F.lit(at).alias("at"))
 
 
 def cited(rows: DataFrame, known: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def store_rebuild(spark, sf_dir):
     """The belief layer dropped and built anew under other ids: its replacements afterwards."""
     s = Store(spark)
     s.add_beliefs(_proposals(spark, sf_dir), 1.0)
-    kept = s.read("beliefs").select("id", F.col("id").cast("string").alias("key")).checkpoint() if spark.sparkContext.getCheckpointDir() else s.read("beliefs").select("id", F.col("id").cast("string").alias("key"))
+    kept = s.read("beliefs").select("id", F.col("id").cast("string").alias("key"))  # of this version, whatever comes later
     old = s.read("edges").where("type = 'replaces'").select("src", "dst")
     ids = kept.select(F.col("key").alias("old_id"), (F.col("id") + 1000000).cast("string").alias("new_id"))
     new = Store(spark)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import beliefs, capture, forget, governance, guards, nightly, people, recordings, sessions, signals, speakers, store, timeline, vectors
 from lorekeep.operators.store import Store
+from lorekeep.operators.versions import Versions
 from lorekeep.plans import text
 from lorekeep.streaming import gate
 
@@ -171,8 +172,9 @@ def test_store_refuses_what_does_not_fit(spark, tmp_path):
     assert {r["id"]: r["reason"] for r in s.add_beliefs(beliefs, 6.0).collect()} == {3: "no sources", 4: "no subject", 5: "no sources"}
     assert s.drop_beliefs() == (2, 3)
     assert s.read("beliefs").isEmpty() and [r["type"] for r in s.edge_types().collect()] == ["cites"]
-    spark.range(1).write.parquet(f"{tmp_path}/store/meta2")
-    spark.range(1).write.mode("append").parquet(f"{tmp_path}/other/observations")
+    other = Versions(spark, f"{tmp_path}/other", {"observations": "id long"})
+    with other.change() as c:
+        c.append("observations", spark.range(1))
     with pytest.raises(ValueError, match="other columns"):
         Store(spark, f"{tmp_path}/other").open({})
 
