@@ -38,7 +38,7 @@ def answered(rows: DataFrame) -> DataFrame:
         (F.length(F.coalesce("line", F.lit(""))) == 0, "nothing heard"), (overlap(F.col("answer"), F.col("line")) < MIN_OVERLAP, "overlap"), (weakest < MIN_CLAUSE, "clause"),
         (F.size(borrowed_dates(F.col("answer"), F.col("line"))) > 0, "date"), default="ok",
     )
-    return rows.select("id", verdict.alias("verdict"), F.when(verdict == "ok", F.col("line_id")).alias("source"))
+    return rows.select("id", "line_id", verdict.alias("verdict")).select("id", "verdict", F.when(F.col("verdict") == "ok", F.col("line_id")).alias("source"))
 
 
 def outward(fields: list[str]) -> Column:
