@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
 from .governance import first_match
-from .guards import MIN_CLAUSE, MIN_OVERLAP, borrowed_dates, overlap, weakest_clause
+from .guards import MIN_CLAUSE, MIN_OVERLAP, MIN_SUPPORT, borrowed_dates, contained, normal, overlap, similarity, weakest_clause
+from .similar import containing
+from .store import Store, linked
 
+#: The fewest words of an episode, the least share of a statement's words that were said, days that one run makes up for, the marker's key.
 USABLE_WORDS = 25
+STATEMENT_MIN = 0.25
+BACKFILL_DAYS = 5
+MARKER = "consolidated_through"
+#: The share of an old belief's words by which the judge here takes a new one to replace it.
+SUPERSEDES_MIN = 0.5
 JUDGED_WITHIN_S = 60.0
 
 
@@ -18,17 +30,114 @@ def certainty(n: Column, recognised: Column) -> Column:
     return F.round(F.greatest(F.least(raw, F.lit(0.75)), F.lit(0.35)), 3)
 
 
-def considered(episodes: DataFrame) -> DataFrame:
-    """episodes (words, statement, said) with the reason why nothing is concluded, or 'ok'."""
-    few = F.concat(F.lit("only "), F.col("words").cast("string"), F.lit(" words"))
-    none = F.length(F.btrim(F.coalesce("statement", F.lit("")))) == 0
-    held = overlap(F.col("statement"), F.col("said")) >= MIN_OVERLAP
-    return episodes.withColumn("reason", F.when(F.col("words") < USABLE_WORDS, few).when(none, "nothing proposed").when(~held, "not grounded").otherwise("ok"))
+def subject(about: Column) -> Column:
+    """One subject in lower case: of several, parted by commas or such signs or by `and`, the first."""
+    return F.btrim(F.get(F.split(F.lower(F.btrim(F.coalesce(about, F.lit("")))), r"[,;/]| and "), F.lit(0)))
+
 
+def supported(rows: DataFrame) -> DataFrame:
+    """rows (id, support, lines: texts) with `grounded`: whether any line holds the support or is held by it, or else is like it by MIN_SUPPORT. Only supports that none holds reach Python."""
+    held = rows.withColumn("grounded", F.exists(F.coalesce("lines", F.array().cast("array<string>")), lambda x: contained(F.col("support"), x)))
+    open_ = held.where(~F.col("grounded") & (normal(F.col("support")) != "")).select("id", "support", F.explode("lines").alias("line"))
+    like = open_.where(similarity(normal(F.col("support")), normal(F.col("line"))) >= MIN_SUPPORT).select("id").distinct().withColumn("_like", F.lit(True))
+    return held.join(like, "id", "left").withColumn("grounded", F.col("grounded") | F.coalesce("_like", F.lit(False))).drop("_like")
 
-def superseding(accepted: DataFrame) -> DataFrame:
-    """accepted (id, about, day) with what each replaces: the newest before it about the same, by day and id."""
-    return accepted.selectExpr("*", "lag(id) over (partition by about order by day, id) as replaces")
+
+def considered(episodes: DataFrame) -> DataFrame:
+    """episodes (id, words, lines, and what was proposed from them: worth, statement, about, support) with the subject, the share of the statement's words that were said, and the first reason why nothing is concluded, or 'ok'."""
+    few = F.concat(F.lit("only "), F.col("words").cast("string"), F.lit(" words"))
+    nothing = F.length(F.btrim(F.coalesce("statement", F.lit("")))) == 0
+    rows = supported(episodes).withColumn("about", subject(F.col("about"))).withColumn("overlap", overlap(F.col("statement"), F.array_join("lines", "\n")))
+    reason = first_match(
+        (F.col("words") < USABLE_WORDS, few), (~F.coalesce("worth", F.lit(False)), "nothing worth concluding"), (nothing, "said worth but wrote nothing"), (F.col("about") == "", "no subject"),
+        (~F.col("grounded"), "not grounded"), (F.col("overlap") < STATEMENT_MIN, "words never said"), default="ok",
+    )
+    return rows.withColumn("reason", reason)
+
+
+def supersedes(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(about, new, new_at, old, old_at): which old beliefs each new one (id, about, statement, at) makes void, before any of them is replaced.
+
+    The judge that stands in for a hosted model says so where the new statement has SUPERSEDES_MIN of the old one's words, on the same subject and not formed before it.
+    Pairs come from a containment join, so only those that can reach it are judged.
+    """
+    text = lambda rows: rows.select("id", F.col("statement").alias("text"))
+    met = containing(text(old), text(new), SUPERSEDES_MIN).select(F.col("line").alias("new"), F.col("quote").alias("old"))
+    side = lambda rows, name: rows.select(F.col("id").alias(name), F.col("about").alias(f"{name}_about"), F.col("at").alias(f"{name}_at"))
+    judged = met.join(side(new, "new"), "new").join(side(old, "old"), "old")
+    return judged.where("new_about = old_about and (old_at < new_at or old_at = new_at and old < new)").select(F.col("new_about").alias("about"), "new", "new_at", "old", "old_at")
+
+
+def replaced_in_order(pairs: DataFrame) -> DataFrame:
+    """(id, replaces) by a fold over pairs (about, new, new_at, old, old_at) of each subject: new beliefs in order of (at, id), each takes the newest of its old ones that none has taken yet out of the candidates of the next.
+
+    A subject's pairs pass one task in order, of which only the ids taken so far are kept; subjects are independent.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(parts, "about").sortWithinPartitions("about", "new_at", "new", F.desc("old_at"), F.desc("old"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        about, served, taken = None, None, set()
+        for pdf in batches:
+            out = []
+            for a, new, old in zip(pdf["about"], pdf["new"], pdf["old"], strict=True):
+                if a != about:
+                    about, served, taken = a, None, set()
+                if new != served and old not in taken:
+                    served = new
+                    taken.add(old)
+                    out.append((new, old))
+            yield pd.DataFrame(out, columns=["id", "replaces"])
+
+    kind = dict(pairs.dtypes)["new"]
+    return dealt.select("about", "new", "old").mapInPandas(fold, f"id {kind}, replaces {kind}")
+
+
+def pending(marker: int | None, today: int, most: int = BACKFILL_DAYS) -> tuple[list[int], int]:
+    """Days after the marker up to yesterday, the last `most` of them, and how many older ones are skipped; without a marker yesterday alone."""
+    if marker is None:
+        return [today - 1], 0
+    days = list(range(marker + 1, today))
+    return days[-most:], max(0, len(days) - most)
+
+
+def marked(store: Store) -> int | None:
+    """The last day that was consolidated."""
+    value = store.read("meta").where(F.col("key") == MARKER).agg(F.max_by("value", F.struct("at", F.col("value").cast("long")))).first()[0]
+    return None if value is None else int(value)
+
+
+def run_day(store: Store, episodes: DataFrame, day: int, mark: bool = True) -> dict[str, int]:
+    """Consolidates the episodes (day, id, n, recognised, at, sources, and what considered() takes) of one day: how many were written and rejected.
+
+    What is concluded, with its sources, what it replaces and the marker of the day, is one change: a run that dies leaves the day to be done again. A belief that is replaced isn't a
+    candidate any more, neither later the same day nor later.
+    """
+    with_checkpoints(store.spark)
+    judged = considered(episodes.where(F.col("day") == day)).withColumn("certainty", certainty(F.col("n"), F.col("recognised"))).checkpoint()
+    new = judged.where("reason = 'ok'")
+    with store.change(alone=True) as c:
+        void = c.read("edges").where("type = 'replaces'").select(F.col("dst").cast("long").alias("id"))
+        mine = new.select("id", "about", "statement", "at")
+        held = c.read("beliefs").select("id", "about", "statement", F.col("formed_at").alias("at")).join(void, "id", "left_anti")
+        current = held.join(mine.select("about").distinct(), "about", "left_semi").select(mine.columns)
+        pairs = replaced_in_order(supersedes(mine, current.union(mine))).checkpoint()
+        at = float(day)
+        c.append("beliefs", new.select("id", F.lit(None).cast("long").alias("owner"), "statement", "about", F.lit("consolidation").alias("author"), "certainty", F.lit(1.0).alias("weight"), F.col("at").alias("formed_at")))
+        came = linked(new.select(F.col("id").cast("string").alias("src"), F.explode("sources").alias("dst")), "came-from", at)
+        c.append("edges", came.union(linked(pairs.select(F.col("id").cast("string").alias("src"), F.col("replaces").cast("string").alias("dst")), "replaces", at)))
+        if mark:
+            c.append("meta", store.spark.createDataFrame([(MARKER, str(day), at)], "key string, value string, at double"))
+    n = {bool(r["ok"]): r["count"] for r in judged.groupBy((F.col("reason") == "ok").alias("ok")).count().collect()}
+    return {"day": day, "written": n.get(True, 0), "rejected": n.get(False, 0)}
+
+
+def nightly(store: Store, episodes: DataFrame, today: int, ready: bool = True) -> dict:
+    """Consolidates every pending day, oldest first. Where the judge isn't ready nothing is done and the marker stays, so the days are taken up by the next run; a second run of a night finds none."""
+    days, skipped = pending(marked(store), today)
+    if not ready:
+        return {"deferred": True, "pending": len(days), "skipped": skipped, "runs": []}
+    return {"deferred": False, "pending": 0, "skipped": skipped, "runs": [run_day(store, episodes, day) for day in days]}
 
 
 def answered(rows: DataFrame) -> DataFrame:

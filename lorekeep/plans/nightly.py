@@ -15,56 +15,93 @@ from ..sources.views import OBSERVATIONS, observations, table
 from .catalog import query
 from .text import _CONTENT, _DATES, _OVERLAP
 
-_EPISODES = f"""{OBSERVATIONS}, e as (select session, count(*) as n, cast(sum(len(regexp_extract_all(text, '\\S+'))) as bigint) as words, avg(case when person = 'user' then 1.0 else 0.0 end) > 0.5 as recognised,
-  coalesce(substr(min_by(text, (started_at, id)) filter (kind = 'answer'), 1, 120), '') as statement, coalesce(string_agg(text, chr(10) order by started_at, id) filter (kind <> 'answer'), '') as said, cast(floor(min(started_at) / 86400) as bigint) as day from obs group by session),
-c as (select *, 'topic ' || (session % 10) as about, round(greatest(least(0.45 + 0.05 * least(n - 1, 6) + case when recognised then 0.10 else 0.0 end, 0.75), 0.35), 3)::double as certainty,
-  case when words < 25 then 'only ' || words || ' words' when trim(statement) = '' then 'nothing proposed' when {_OVERLAP('statement', 'said')} < {MIN_OVERLAP} then 'not grounded' else 'ok' end as reason from e)"""
+_NORMAL = lambda t: f"trim(regexp_replace(trim(lower({t})), '\\s+', ' ', 'g'), ' .,!?;:\"''')"
+_EPISODES = f"""{OBSERVATIONS}, cut as (select *, coalesce(started_at - lag(ended_at) over (partition by session order by started_at, id) > 8, true)::int as fresh from obs),
+part as (select *, sum(fresh) over (partition by session order by started_at, id) as part from cut),
+ep as (select cast(session * 100 + part as bigint) as id, session, part, session // 20 as day, count(*) as n, cast(sum(len(regexp_extract_all(text, '\\S+'))) as bigint) as words, avg(case when person = 'user' then 1.0 else 0.0 end) > 0.5 as recognised, min(started_at) as "at",
+  list(text order by started_at, id) as lines, list(id order by started_at, id) as sources, coalesce(max_by(text, (started_at, id)) filter (kind = 'answer'), '') as last_answer from part group by session, part),
+said as (select *, session % 11 <> 0 as worth, case when session % 7 = 1 then '' when session % 7 = 2 then 'Nobody ever mentioned purple zeppelins over Samarkand' when session % 7 = 3 then last_answer else lines[1] end as statement,
+  case when session % 13 = 0 then ' ' else 'Topic ' || (session % 5) || case session % 3 when 0 then ', other' when 1 then ' and more' else '' end end as topic,
+  case when session % 7 = 4 then 'purple zeppelins over Samarkand, I am told' else string_split(lines[1], '. ')[-1] end as support from ep),
+c as (select *, trim(regexp_split_to_array(lower(trim(topic)), '[,;/]| and ')[1]) as about, round(greatest(least(0.45 + 0.05 * least(n - 1, 6) + case when recognised then 0.10 else 0.0 end, 0.75), 0.35), 3)::double as certainty,
+  len(list_filter(lines, lambda x: {_NORMAL('support')} <> '' and {_NORMAL('x')} <> '' and (contains({_NORMAL('x')}, {_NORMAL('support')}) or contains({_NORMAL('support')}, {_NORMAL('x')})))) > 0 as grounded,
+  {_OVERLAP('statement', "array_to_string(lines, chr(10))")} as overlap from said),
+r as (select *, case when words < 25 then 'only ' || words || ' words' when not worth then 'nothing worth concluding' when trim(statement) = '' then 'said worth but wrote nothing' when about = '' then 'no subject' when not grounded then 'not grounded' when overlap < 0.25 then 'words never said' else 'ok' end as reason from c)"""
+
+
+def _episodes(spark, sf_dir):
+    """Runs of a session's turns without a silence of more than eight seconds, of twenty sessions to a day, with what a judge would propose: the first line's own words, or in some sessions nothing, an answer, or what was never said."""
+    obs = observations(spark, sf_dir).withColumn("w", T.word_count("text").cast("long"))
+    order = "partition by session order by started_at, id"
+    parts = obs.selectExpr("*", f"int(coalesce(started_at - lag(ended_at) over ({order}) > 8, true)) as fresh").selectExpr("*", f"sum(fresh) over ({order}) as part")
+    rows = F.array_sort(F.collect_list(F.struct("started_at", "id", "kind", "text")))
+    e = parts.groupBy("session", "part").agg(F.count("*").alias("n"), F.sum("w").alias("words"), (F.avg((F.col("person") == "user").cast("double")) > 0.5).alias("recognised"), F.min("started_at").alias("at"), rows.alias("rows"))
+    e = e.selectExpr("session * 100 + part as id", "session", "session div 20 as day", "n", "words", "recognised", "at", "transform(rows, x -> x.text) as lines", "transform(rows, x -> x.id) as sources", "coalesce(get(reverse(filter(rows, x -> x.kind = 'answer')), 0).text, '') as last_answer")
+    return e.selectExpr(
+        "*", "session % 11 != 0 as worth",
+        "case when session % 7 = 1 then '' when session % 7 = 2 then 'Nobody ever mentioned purple zeppelins over Samarkand' when session % 7 = 3 then last_answer else lines[0] end as statement",
+        "case when session % 13 = 0 then ' ' else concat('Topic ', session % 5, case session % 3 when 0 then ', other' when 1 then ' and more' else '' end) end as about",
+        "case when session % 7 = 4 then 'purple zeppelins over Samarkand, I am told' else element_at(split(lines[0], '[.] '), -1) end as support",
+    )
 
 
 def _considered(spark, sf_dir):
-    obs = observations(spark, sf_dir).withColumn("w", T.word_count("text").cast("long"))
-    when = F.struct("started_at", "id")
-    first = F.min_by(F.when(F.col("kind") == "answer", F.col("text")), F.when(F.col("kind") == "answer", when))
-    heard = F.array_sort(F.collect_list(F.when(F.col("kind") != "answer", F.struct("started_at", "id", "text"))))
-    e = obs.groupBy("session").agg(
-        F.count("*").alias("n"), F.sum("w").alias("words"), (F.avg((F.col("person") == "user").cast("double")) > 0.5).alias("recognised"),
-        F.coalesce(F.substring(first, 1, 120), F.lit("")).alias("statement"), F.array_join(F.transform(heard, lambda x: x["text"]), "\n").alias("said"), F.floor(F.min("started_at") / 86400).alias("day"),
-    )
-    e = e.withColumns({"about": F.concat(F.lit("topic "), (F.col("session") % 10).cast("string")), "certainty": N.certainty(F.col("n"), F.col("recognised"))})
-    return N.considered(e)
+    return N.considered(_episodes(spark, sf_dir)).withColumn("certainty", N.certainty(F.col("n"), F.col("recognised")))
 
 
-@query(f"with {_EPISODES} select session, day, n, words, certainty, reason from c")
+@query(f"with {_EPISODES} select id, day, n, words, certainty, reason from r")
 def episodes_considered(spark, sf_dir):
-    """Every session as an episode: how certain a belief from it would be, and why there is none."""
-    return _considered(spark, sf_dir).select("session", "day", "n", "words", "certainty", "reason")
+    """Every episode: how certain a belief from it would be, and why there is none."""
+    return _considered(spark, sf_dir).select("id", "day", "n", "words", "certainty", "reason")
 
 
-@query(f"with {_EPISODES} select session as id, about, day, certainty, lag(session) over (partition by about order by day, session) as replaces from c where reason in ('ok', 'not grounded')")
+@query(f"with {_EPISODES} select id, about, day, certainty, round(overlap, 6) as overlap, statement from r where reason = 'ok'")
 def beliefs_of_days(spark, sf_dir):
-    """What the days' episodes conclude and which earlier conclusion about the same each replaces; ungrounded ones count here, as few are grounded in these tables."""
-    good = _considered(spark, sf_dir).where("reason in ('ok', 'not grounded')").withColumnRenamed("session", "id")
-    return N.superseding(good).select("id", "about", "day", "certainty", "replaces")
+    """What the days' episodes conclude, with the share of its words that were said."""
+    return _considered(spark, sf_dir).where("reason = 'ok'").select("id", "about", "day", "certainty", F.round("overlap", 6).alias("overlap"), "statement")
 
 
-@query(f"with {_EPISODES} select day, count(*) filter (reason = 'ok') as written, count(*) filter (reason <> 'ok') as rejected from c group by day")
+@query(f"with {_EPISODES} select day, count(*) filter (reason = 'ok') as written, count(*) filter (reason <> 'ok') as rejected from r group by day")
 def nightly_report(spark, sf_dir):
     ok = (F.col("reason") == "ok").cast("long")
     return _considered(spark, sf_dir).groupBy("day").agg(F.sum(ok).alias("written"), F.sum(1 - ok).alias("rejected"))
 
 
-@query(f"""with {OBSERVATIONS}, a as (select id, kind, substr(text, 1, 200) as answer, lag(text) over o as line, lag(id) over o as line_id from obs window o as (partition by session order by started_at, id)),
-p as (select id, answer, coalesce(line, '') as line, line_id from a where kind <> 'system' union all select id || '+', substr(line, 1, 80), line, line_id from a where line is not null),
+@query(None)
+def nights_consolidated(spark, sf_dir):
+    """All days consolidated into a store, the last five by the nightly run and those before by hand, and the nightly run again, which writes nothing: what the store then holds, and what the runs counted."""
+    s = store.Store(spark)
+    e = store.with_checkpoints(spark) and _episodes(spark, sf_dir).withColumn("day", F.least(F.col("day"), F.lit(7))).checkpoint()
+    days = [r["day"] for r in e.select("day").distinct().orderBy("day").collect()]  # eight at most
+    runs = [("by hand", N.run_day(s, e, day)) for day in days[:-5] or days[:1]]
+    today = days[-1] + 1 if days else 1
+    for step in ("night", "again"):
+        runs += [(step, r) for r in N.nightly(s, e, today)["runs"]]
+    edge = s.read("edges")
+    replaces = edge.where("type = 'replaces'").select(F.col("src").cast("long").alias("id"), F.col("dst").cast("long").alias("replaces"))
+    sources = edge.where("type = 'came-from'").groupBy(F.col("src").cast("long").alias("id")).agg(F.count("*").alias("sources"))
+    held = s.read("beliefs").join(replaces, "id", "left").join(sources, "id", "left").select(F.lit("belief").alias("what"), "id", "about", "certainty", "replaces", "sources")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    marks = s.read("meta").select(F.lit("marker").alias("what"), F.col("value").cast("long").alias("id"), none("string", "about"), none("double", "certainty"), none("long", "replaces"), none("long", "sources"))
+    told = spark.createDataFrame([(step, r["day"], None, None, r["written"], r["rejected"]) for step, r in runs], "what string, id long, about string, certainty double, replaces long, sources long")
+    return held.union(marks).union(told)
+
+
+@query(f"""with {OBSERVATIONS}, a as (select id, kind, text as answer, lag(text) over o as line, lag(id) over o as line_id from obs window o as (partition by session order by started_at, id)),
+p as (select id, answer, coalesce(line, '') as line, line_id from a where kind <> 'system' union all select id || '+', string_split(line, '. ')[1], line, line_id from a where line is not null
+  union all select id || '&', line || '. ' || string_split(answer, '. ')[1], line, line_id from a where line is not null union all select id || '@', line || ' in March 2031', line, line_id from a where line is not null),
 w as (select p.id, min({_OVERLAP('part', 'line')}) as weakest from (select id, line, unnest(regexp_split_to_array(answer, '{fixed.CLAUSES}')) as part from p) p where len({_CONTENT('part')}) >= 2 group by p.id),
 v as (select p.id, line_id, case when line = '' then 'nothing heard' when {_OVERLAP('answer', 'line')} < {MIN_OVERLAP} then 'overlap' when weakest < {MIN_CLAUSE} then 'clause' when len(list_filter({_DATES('answer')}, lambda x: not list_contains({_DATES('line')}, x))) > 0 then 'date' else 'ok' end as verdict from p left join w using (id))
 select id, verdict, case when verdict = 'ok' then line_id end as source from v""")
 def answers_tried(spark, sf_dir):
-    """Every turn as an answer from the line before it, and that line's own beginning as another: the guards' verdicts, and the source of those that pass."""
+    """Every whole turn as an answer from the line before it, and as others that line's first sentence, that line with the turn's first sentence bolted on, and that line with a date: the guards' verdicts, and the source of those that pass."""
     order = "partition by session order by started_at, id"
-    a = observations(spark, sf_dir).selectExpr("id", "kind", "substring(text, 1, 200) as answer", f"lag(text) over ({order}) as line", f"lag(id) over ({order}) as line_id")
+    a = observations(spark, sf_dir).selectExpr("id", "kind", "text as answer", f"lag(text) over ({order}) as line", f"lag(id) over ({order}) as line_id")
     own = a.where("kind != 'system'").selectExpr("id", "answer", "coalesce(line, '') as line", "line_id")
-    echo = a.where("line is not null").selectExpr("concat(id, '+') as id", "substring(line, 1, 80) as answer", "line", "line_id")
-    return N.answered(own.union(echo))
+    made = {"+": "split(line, '[.] ')[0]", "&": "concat(line, '. ', split(answer, '[.] ')[0])", "@": "concat(line, ' in March 2031')"}
+    for sign, answer in made.items():
+        own = own.union(a.where("line is not null").selectExpr(f"concat(id, '{sign}') as id", f"{answer} as answer", "line", "line_id"))
+    return N.answered(own)
 
 
 @query("select doc_id, md5(array_to_string(list_filter([trim(coalesce(lang, '')), trim(coalesce(source, '')), trim(coalesce(text, ''))], lambda x: x <> ''), chr(10))) as leaves from documents")
