@@ -42,3 +42,10 @@ TOPIC_WORDS, SPARE_WORDS = 6, 5
 NOTHING_BUT = "Nothing about {topic} -- though you did mention {fact}."
 NOTHING_IN = "Nothing about {topic} in what's been said."
 NOTHING_HERE = "Nothing about {topic} has been said here."
+
+# What in the detail of a refused call says that credit has run out, and in a judge's error that the machinery failed.
+OUT_OF_CREDIT = ("credit", "billing", "prepayment", "quota exceeded", "exceeded your current quota", "plan and billing")
+INFRASTRUCTURE = ("foundationmodels", "modelmanager", "sensitivecontent", "languagemodelerror", "bad json", "timed out", "unavailable", "the bridge", "inference")
+# What a line ends with that didn't sound finished; the peak level in decibels below which a device delivers silence.
+UNFINISHED = "—"
+SILENT_DB = -70.0

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..session import with_checkpoints
 from .governance import first_match
 from .guards import MIN_CLAUSE, MIN_OVERLAP, MIN_SUPPORT, borrowed_dates, contained, normal, overlap, similarity, weakest_clause
@@ -168,18 +169,30 @@ def available(outcomes: DataFrame, by: str, now: Column, ttl: float = JUDGED_WIT
     return last.select(by, first_match((now - F.col("at") > ttl, "probe"), (F.col("ok"), "available"), default="down").alias("health"))
 
 
-#: Fixed by this engine: what in a provider's message tells of its kind, in order.
-FAILURES = ((r"(?i)credit|billing|quota", "out of credit"), (r"(?i)rate|too many|slow down", "rate limited"), (r"(?i)timed? ?out|unreachable|connection", "infrastructure"))
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
 
 
-def failure(message: Column) -> Column:
-    return first_match(*[(message.rlike(p), kind) for p, kind in FAILURES], default="other")
+def refused(detail: Column) -> Column:
+    """Of a call refused for too many: whether waiting helps or the credit is gone."""
+    return F.when(_any(detail, fixed.OUT_OF_CREDIT), "out of credit").otherwise("rate limited")
 
 
-def terminal(text: Column, asks: Column, finished: Column) -> Column:
-    """A text with the sign its sound asks for: a question mark in place of full stops, or a dash where it broke off."""
-    bare = F.regexp_replace(text, r"[.!?\s]+$", "")
-    return F.when(asks, F.concat(bare, F.lit("?"))).when(~finished & ~text.rlike(r"[.!?]\s*$"), F.concat(bare, F.lit(" —"))).otherwise(text)
+def broke(unavailable: Column, error: Column, ok: Column) -> Column:
+    """Did a judge's machinery fail: it says it is unavailable, its error names such a part, or it says it couldn't do the work; an unset ok says nothing."""
+    return F.coalesce(unavailable, F.lit(False)) | _any(error, fixed.INFRASTRUCTURE) | F.coalesce(~ok, F.lit(False))
+
+
+def terminal(text: Column, rose: Column, asked: Column, finished: Column, fell: Column) -> Column:
+    """A text with the sign that its sound asks for and its writing lacks.
+
+    A question that only the pitch heard gets a question mark, in place of one full stop, comma or ellipsis at the end. What neither a mark, nor such a question, nor a
+    fall ends gets a dash, in place of a comma.
+    """
+    cut = lambda signs: F.regexp_replace(text, f"[{signs}]$", "")
+    question = rose & ~asked
+    return F.when(question, F.concat(cut(".,…"), F.lit("?"))).when(~(finished | fell), F.concat(cut(","), F.lit(fixed.UNFINISHED))).otherwise(text)
 
 
 def gold(questions: DataFrame, turns: DataFrame) -> DataFrame:

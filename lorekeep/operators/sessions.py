@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from .governance import first_match
 from .timeline import overlaps
 
@@ -44,9 +45,13 @@ def level_decline(words: DataFrame, cue: str, by: list[str]) -> DataFrame:
     return words.withColumn("rest", F.col(cue) - (mean + F.col("slope") * (F.col("place") - centre)))
 
 
-def stages_seen(counters: DataFrame, stages: list[str]) -> DataFrame:
-    """The first stage of a pipeline that saw nothing, or 'ok'."""
-    return counters.select("session", first_match(*[(F.coalesce(F.col(s), F.lit(0)) == 0, s) for s in stages], default="ok").alias("first_silent"))
+def diagnosed(counters: DataFrame) -> DataFrame:
+    """counters (session, frames, level_max, speech, opens, closes, with_words) with the first stage that saw nothing, null if all saw something: no frames, silence, no speech, speech never in a row, segments never closed, no words."""
+    stage = first_match(
+        (F.col("frames") == 0, "frames"), (F.col("level_max") < fixed.SILENT_DB, "silence"), (F.col("speech") == 0, "speech"), (F.col("opens") == 0, "in a row"), (F.col("closes") == 0, "closed"), (F.col("with_words") == 0, "words"),
+        default=None,
+    )
+    return counters.select("session", stage.alias("first_silent"))
 
 
 def with_context(words: DataFrame, by: str, starts: DataFrame, horizon: float = HORIZON_S) -> DataFrame:

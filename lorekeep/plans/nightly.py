@@ -126,19 +126,24 @@ def judges_available(spark, sf_dir):
     return N.available(e, "user_id", F.lit(e.agg(F.max("at")).first()[0]))
 
 
-_MESSAGES = "['Your credit balance is too low', 'Rate limit reached, slow down', 'Request timed out', 'quota exceeded', 'no such model', 'connection reset'][cast(event_id % 6 + 1 as integer)]"
+_DETAILS = "['Your credit balance is too low', 'Rate limit reached, slow down', 'PREPAYMENT credits are depleted', 'quota', 'Quota exceeded for today', 'cannot generate or operate now', 'see plan and billing', 'the bridge closed', 'Bad JSON', '']"
 
 
-@query(f"with m as (select event_id, {_MESSAGES} || ' ' || props as m from events) select event_id, case when regexp_matches(m, '(?i)credit|billing|quota') then 'out of credit' when regexp_matches(m, '(?i)rate|too many|slow down') then 'rate limited' when regexp_matches(m, '(?i)timed? ?out|unreachable|connection') then 'infrastructure' else 'other' end as kind from m")
+@query(f"""with {OBSERVATIONS}, m as (select id, text || ' ' || {_DETAILS}[cast((session + turn) % 10 + 1 as integer)] as m, turn % 5 = 4 as gone, case when turn % 4 = 1 then session % 2 = 0 end as ok from obs)
+select id, case when {" or ".join(f"contains(lower(m), '{w}')" for w in fixed.OUT_OF_CREDIT)} then 'out of credit' else 'rate limited' end as refused, gone or {" or ".join(f"contains(lower(m), '{w}')" for w in fixed.INFRASTRUCTURE)} or coalesce(not ok, false) as broke from m""")
 def failures_classified(spark, sf_dir):
-    m = F.expr("concat(element_at(array('Your credit balance is too low', 'Rate limit reached, slow down', 'Request timed out', 'quota exceeded', 'no such model', 'connection reset'), cast(event_id % 6 as int) + 1), ' ', props)")
-    return table(spark, sf_dir, "events").select("event_id", N.failure(m).alias("kind"))
+    """Every turn followed by a detail, read as why a call was refused and as a judge's error."""
+    rows = observations(spark, sf_dir).selectExpr("id", f"concat(text, ' ', element_at(array({_DETAILS[1:-1]}), cast((session + turn) % 10 as int) + 1)) as m", "turn % 5 = 4 as gone", "if(turn % 4 = 1, session % 2 = 0, null) as ok")
+    return rows.select("id", N.refused(F.col("m")).alias("refused"), N.broke(F.col("gone"), F.col("m"), F.col("ok")).alias("broke"))
 
 
-@query(f"""with {OBSERVATIONS} select id, case when turn % 3 = 0 then regexp_replace(text, '[.!?\\s]+$', '') || '?' when turn % 3 = 1 and not regexp_matches(text, '[.!?]\\s*$') then regexp_replace(text, '[.!?\\s]+$', '') || ' —' else text end as line from obs""")
+@query(f"""with {OBSERVATIONS}, t as (select id, turn, case turn % 4 when 1 then regexp_replace(text, '[.!?]+$', ',') when 2 then regexp_replace(text, '[.!?]+$', '') when 3 then regexp_replace(text, '[.!?]+$', '…') else text end as t from obs)
+select id, case when turn % 3 = 0 and not t like '%?' then regexp_replace(t, '[.,…]$', '') || '?' when not (regexp_matches(t, '[.!?…]$') or turn % 3 = 1) then regexp_replace(t, ',$', '') || '—' else t end as line from t""")
 def terminal_signs(spark, sf_dir):
-    """Every turn with the sign that its sound asks for; a third of the turns ask, another third breaks off."""
-    return observations(spark, sf_dir).select("id", N.terminal(F.col("text"), F.expr("turn % 3 = 0"), F.expr("turn % 3 != 1")).alias("line"))
+    """Every turn, with its last mark made a comma, none or an ellipsis in three of four, with the sign that its sound asks for; a third rise, another third fall."""
+    rows = observations(spark, sf_dir).selectExpr("id", "turn", "case turn % 4 when 1 then regexp_replace(text, '[.!?]+$', ',') when 2 then regexp_replace(text, '[.!?]+$', '') when 3 then regexp_replace(text, '[.!?]+$', '…') else text end as t")
+    t = F.col("t")
+    return rows.select("id", N.terminal(t, F.expr("turn % 3 = 0"), t.endswith("?"), t.rlike("[.!?…]$"), F.expr("turn % 3 = 1")).alias("line"))
 
 
 @query("select conv_id, 'D' || conv_id || ':' || turn as id, row_number() over (partition by conv_id order by turn) - 1 as place, role as speaker, text from conversations")

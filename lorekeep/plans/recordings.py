@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import merging as M
 from ..operators import signals as S
 from ..operators import speakers as K
 from ..sources.views import WORDS, table, words
@@ -65,6 +66,13 @@ def diarize_windows(spark, sf_dir):
     return K.diarized(v, 0.85)
 
 
+@query(None)
+def clusters_merged(spark, sf_dir):
+    """Clusters of every file, a third of a label's vectors each, merged by their centroids, with the trace of the merges."""
+    v = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 100 as file", "label * 3L + vec_id % 3 as label", "embedding")
+    return M.merge_centroids(v, 0.9)
+
+
 @query(None)
 def learned_prints(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").selectExpr("label as person", "embedding", "0.2D + (vec_id % 10) / 10 as strength")

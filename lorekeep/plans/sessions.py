@@ -45,12 +45,19 @@ def declines_removed(spark, sf_dir):
     return rows.select("id", F.round(stored, 4).alias("stored"), F.round("rest", 4).alias("levelled"))
 
 
-@query("""with c as (select user_id as session, count(*) as frames, count(*) filter (event_type <> 'error') as speech, count(*) filter (value > 200) as segments, count(*) filter (value > 320) as words from events group by user_id)
-select session, case when frames = 0 then 'frames' when speech = 0 then 'speech' when segments = 0 then 'segments' when words = 0 then 'words' else 'ok' end as first_silent from c""")
+@query(f"""with e as (select user_id as session, ts, event_id, case when user_id % 17 = 3 then -90 else 20 * log10(value / 400 + 0.001) end as level, case when user_id % 19 = 4 then 0 else value end as value from events),
+l as (select *, coalesce(value >= 80, false) as loud, coalesce(lag(value >= 80) over w, false) as p1, coalesce(lag(value >= 80, 2) over w, false) as p2, row_number() over w as k from e window w as (partition by session order by ts, event_id)),
+o as (select *, sum((loud and p1)::int) over (partition by session order by ts, event_id) as opened from l),
+c as (select session, count(*) as frames, max(level) as level_max, count(*) filter (loud) as speech, max(opened) as opens, count(*) filter (opened > 0 and not loud and not p1 and not p2 and k > 2) as closes, count(*) filter (value > 230) as with_words from o group by session)
+select session, case when frames = 0 then 'frames' when level_max < -70 then 'silence' when speech = 0 then 'speech' when opens = 0 then 'in a row' when closes = 0 then 'closed' when with_words = 0 then 'words' end as first_silent from c""")
 def stages_seen(spark, sf_dir):
-    n = lambda c: F.count(F.when(F.expr(c), 1))
-    c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("frames"), n("event_type <> 'error'").alias("speech"), n("value > 200").alias("segments"), n("value > 320").alias("words"))
-    return X.stages_seen(c, ["frames", "speech", "segments", "words"])
+    """What each user's session saw: some devices deliver silence, some voices aren't heard, some are heard but never twice in a row, or never fall silent for three frames, or say nothing."""
+    w = "over (partition by session order by ts, event_id)"
+    e = table(spark, sf_dir, "events").selectExpr("user_id as session", "ts", "event_id", "if(user_id % 17 = 3, -90D, 20 * log10(value / 400 + 0.001)) as level", "if(user_id % 19 = 4, 0D, value) as value")
+    frames = e.selectExpr("*", "value >= 80 as loud", f"coalesce(lag(value >= 80) {w}, false) as p1", f"coalesce(lag(value >= 80, 2) {w}, false) as p2", f"row_number() {w} as k").selectExpr("*", f"sum(int(loud and p1)) {w} as opened")
+    n = lambda c: F.count_if(F.expr(c))
+    c = frames.groupBy("session").agg(F.count("*").alias("frames"), F.max("level").alias("level_max"), n("loud").alias("speech"), F.max("opened").alias("opens"), n("opened > 0 and not loud and not p1 and not p2 and k > 2").alias("closes"), n("value > 230").alias("with_words"))
+    return X.diagnosed(c)
 
 
 @query(f"""with {WORDS}, s as (select speaker, sentence as segment, min("end") as start, max("end") + 1 as stop from words group by 1, 2)
