@@ -84,3 +84,18 @@ def people_learned(spark, sf_dir):
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("person").agg(F.max("seen").alias("seen"))
     return out.join(last, ["person", "seen"]).where("place is not null").select("person", "place", "seen", "confident", "borderline", "consolidations", F.round("strength", 6).alias("strength"), "matches", F.round(F.col("vector")[0], 6).alias("head"))
+
+
+@query(f"""with e as (select user_id as device, epoch(ts) as "at", event_id as id, case when event_type = 'view' then null else cast(floor(value * 997) as bigint) + 1 end as samples from events),
+k as (select *, sum(samples) over w as cum, count(samples) over w as n, count(*) filter (samples is null) over w as part from e window w as (partition by device order by "at", id rows between unbounded preceding and current row)),
+b as (select *, "at" - first_value("at") over w as y, (cum - first_value(cum) over w) / 16000.0 as x from k where samples is not null window w as (partition by device order by "at", id)),
+q as (select device, part, max(cum) // 512 as ends from k where cum is not null group by device, part),
+d as (select device, sum(greatest(0, ends - begins - {L.QUEUE_MAX})) as dropped from (select *, coalesce(lag(ends) over (partition by device order by part), 0) as begins from q) group by device)
+select device, count(*) as blocks, cast(max(cum) as bigint) as samples, cast(max(cum) // 512 as bigint) as frames, cast(max(cum) % 512 as bigint) as carry, cast(any_value(dropped) as bigint) as dropped,
+  round(arg_max(y - x, n), 4) as drift, round(arg_max(y - x, (abs(y - x), -n)), 4) as drift_max, round(case when max(x) > min(x) then regr_slope(y, x) end, 4) as rate from b join d using (device) group by device""")
+def clocks_followed(spark, sf_dir):
+    """Events as blocks of their users' devices, views as reads that empty the queue: what each device's clock and queue came to, in three parts."""
+    rows = table(spark, sf_dir, "events").selectExpr("cast(user_id as string) as device", f"{epoch('ts')} as at", "event_id as id", "if(event_type = 'view', null, cast(floor(value * 997) as bigint) + 1) as samples")
+    out = spark.read.parquet(f"{L.fed(L.slices(rows, 'at', 3), L.clocked)}/out")
+    last = out.groupBy("device").agg(F.max_by(F.struct(*out.columns[1:]), "blocks").alias("x")).select(F.col("device").cast("long").alias("device"), "x.*").where("blocks > 0")
+    return last.withColumns({c: F.round(c, 4) for c in ("drift", "drift_max", "rate")})

@@ -24,6 +24,8 @@ APPROVAL_S, STALL_S = 45.0, 6.0
 CONFIDENT_MAX, MARGIN_MIN, MATCH_MAX = 0.40, 0.10, 0.70
 MATCH_BONUS = 1.0
 CONSOLIDATE_EVERY = 16
+#: Samples of a frame and of a second, frames that wait for a reader.
+FRAME, RATE, QUEUE_MAX = 512, 16_000, 200
 #: Quiet frames that part two utterances of a segment.
 PAUSE_FRAMES = 3
 
@@ -357,3 +359,51 @@ def learning(rows: DataFrame, base: str):
     """For fed(): rows through the learning processor, into a table of files."""
     out = rows.groupBy("person").transformWithStateInPandas(Learning(), Learning.OUT, "Append", "None")
     return out.writeStream.format("parquet").option("path", f"{base}/out")
+
+
+class Clock(StatefulProcessor):
+    """How a device's clock runs against the wall's, and its blocks cut anew into frames (device, at, id, samples; a row with samples null empties the queue).
+
+    Elapsed against heard seconds since the first block go into running sums, so the line through all blocks needs none of them. Blocks of any size become frames of
+    FRAME samples, the rest is carried on; frames wait in a queue of QUEUE_MAX, of which the oldest are dropped when it is full. After each batch the device's
+    numbers are given with how many blocks made them.
+    """
+
+    OUT = "device string, blocks long, samples long, frames long, carry long, dropped long, drift double, drift_max double, rate double"
+    FIELDS = ("blocks", "samples", "frames", "queued", "dropped", "first_samples", "first_at", "drift", "drift_max", "sx", "sy", "sxx", "sxy")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", ", ".join(f"{f} {'long' if k < 6 else 'double'}" for k, f in enumerate(self.FIELDS)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s = dict(zip(self.FIELDS, self.now.get() if self.now.exists() else [0] * 6 + [0.0] * 7, strict=True))
+        for r in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples():
+            if r.samples is None or r.samples != r.samples:
+                s["queued"] = 0
+                continue
+            s["blocks"] += 1
+            s["samples"] += int(r.samples)
+            if s["blocks"] == 1:
+                s["first_samples"], s["first_at"] = s["samples"], float(r.at)
+            x, y = (s["samples"] - s["first_samples"]) / RATE, float(r.at) - s["first_at"]
+            s["drift"] = y - x
+            s["drift_max"] = s["drift"] if abs(s["drift"]) > abs(s["drift_max"]) else s["drift_max"]
+            s["sx"], s["sy"], s["sxx"], s["sxy"] = s["sx"] + x, s["sy"] + y, s["sxx"] + x * x, s["sxy"] + x * y
+            new = s["samples"] // FRAME - s["frames"]
+            s["frames"] += new
+            over = max(0, s["queued"] + new - QUEUE_MAX)
+            s["dropped"], s["queued"] = s["dropped"] + over, s["queued"] + new - over
+        self.now.update(tuple(int(s[f]) if k < 6 else float(s[f]) for k, f in enumerate(self.FIELDS)))
+        spread = s["blocks"] * s["sxx"] - s["sx"] * s["sx"]
+        rate = (s["blocks"] * s["sxy"] - s["sx"] * s["sy"]) / spread if s["blocks"] > 1 and spread > 0 else None
+        row = (key[0], s["blocks"], s["samples"], s["frames"], s["samples"] % FRAME, s["dropped"], s["drift"], s["drift_max"], rate)
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in self.OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def clocked(rows: DataFrame, base: str):
+    """For fed(): blocks through the clock processor, into a table of files."""
+    out = rows.groupBy("device").transformWithStateInPandas(Clock(), Clock.OUT, "Append", "None")
+    return out.writeStream.format("parquet").option("path", f"{base}/out")

@@ -160,3 +160,19 @@ def test_prints_equal_a_fold_over_all_vectors(spark, small):
         want.update({(name, j): (p["s"], p["m"], p["v"][0], seen, sure, doubtful, rounds) for j, p in enumerate(prints)})
     assert got.keys() == want.keys() and sum(w[1] > 1 for w in want.values()) > 5 and any(w[6] for w in want.values()) and any(w[5] for w in want.values())
     assert [(k, got[k], w) for k, w in want.items() if got[k] != pytest.approx(w, abs=1e-5)] == []
+
+
+def test_clock_equals_the_line_through_all_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    samples = rng.integers(1, 3000, 120)
+    heard = np.cumsum(samples) / L.RATE
+    at = 5.0 + heard * 1.03 + rng.normal(0, 0.01, 120)
+    at.sort()
+    rows = [("a", float(t), k, int(n)) for k, (t, n) in enumerate(zip(at, samples, strict=True))] + [("b", 1.0, 1, 700), ("b", 2.0, 2, None)]
+    base = L.fed(L.slices(spark.createDataFrame(rows, "device string, at double, id long, samples long"), "at", 3), L.clocked)
+    got = {r["device"]: r for r in sorted(spark.read.parquet(f"{base}/out").collect(), key=lambda r: r["blocks"])}
+    x, y = heard - heard[0], at - at[0]
+    assert got["a"]["rate"] == pytest.approx(np.polyfit(x, y, 1)[0]) and got["a"]["drift"] == pytest.approx((y - x)[-1])
+    total = int(samples.sum())
+    assert (got["a"]["samples"], got["a"]["frames"], got["a"]["carry"], got["a"]["dropped"]) == (total, total // 512, total % 512, max(0, total // 512 - L.QUEUE_MAX))
+    assert (got["b"]["frames"], got["b"]["carry"], got["b"]["rate"]) == (1, 188, None)
