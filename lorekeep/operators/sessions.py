@@ -55,8 +55,13 @@ def diagnosed(counters: DataFrame) -> DataFrame:
 
 
 def with_context(words: DataFrame, by: str, starts: DataFrame, horizon: float = HORIZON_S) -> DataFrame:
-    """The words that scoring a segment (by, segment, start) looks at: those within the horizon before its start and its own, which carry its number. A bound on time, so it reaches the scan of a table by time."""
-    near = words.alias("w").join(starts.alias("s"), [by]).where((F.col("end") >= F.col("start") - horizon) & (F.col("end") < F.col("stop")))
+    """The words that scoring a segment (by, segment, start, stop) looks at: those within the horizon before its start and its own, which carry its number.
+
+    An equi-join on the speaker and a stretch of time as long as the horizon: a word is in one, a segment in those that it and its horizon touch.
+    """
+    stretch = lambda x: F.floor(x / horizon)
+    listed = starts.withColumn("_k", F.explode(F.sequence(stretch(F.col("start") - horizon), stretch(F.col("stop")))))
+    near = words.withColumn("_k", stretch(F.col("end"))).join(listed, [by, "_k"]).where((F.col("end") >= F.col("start") - horizon) & (F.col("end") < F.col("stop")))
     return near.select(by, "segment", "id", (F.col("end") >= F.col("start")).alias("new"))
 
 
