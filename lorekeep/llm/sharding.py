@@ -28,6 +28,12 @@ def topology(shards: int) -> list[Leaf]:
     return [Leaf(s // 4, s // 2, s) for s in range(shards)]
 
 
+def one_more(leaves: list[Leaf]) -> list[Leaf]:
+    """The tree with one more shard in a rack and a region of its own: no other weight changes, so rows move into the new shard only, whatever tree it was."""
+    new = Leaf(*[max((getattr(x, part) for x in leaves), default=-1) + 1 for part in ("region", "rack", "shard")])
+    return [*leaves, new]
+
+
 def _levels(leaves: list[Leaf]) -> list[dict[int, dict[int, float]]]:
     """For each level, parent -> child -> weight; a node weighs what its leaves weigh, and weightless nodes get no rows."""
     top: dict = {0: defaultdict(float)}
@@ -83,13 +89,13 @@ def with_slots(rows: DataFrame, shard: str = "shard", slot: str = "slot") -> Dat
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, leaves: list[Leaf] | None = None, grown: list[Leaf] | None = None, seed: int = SEED) -> DataFrame:
-    """docs with shard and grown_shard (where the row lies once the tree has become `grown`; by default one more shard).
+    """docs with shard and grown_shard (where the row lies once the tree has become `grown`; by default one more shard in a region of its own, into which alone rows then move).
 
     Law `key`: doc_id and the tree decide. Null doc_ids all have one shard, repeated rows share theirs, an empty table stays
     empty, further columns pass through (a column of docs named shard or grown_shard is replaced).
     """
     leaves = topology(shards) if leaves is None else leaves
-    grown = topology(shards + 1) if grown is None else grown
+    grown = one_more(leaves) if grown is None else grown
     key = F.col("doc_id")
     return docs.withColumns({"shard": shard_of(key, leaves, seed), "grown_shard": shard_of(key, grown, seed)})
 

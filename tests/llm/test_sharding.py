@@ -73,3 +73,13 @@ def test_weights_move_rows_only_in_their_subtree(spark):
                     assert b == 5
     share = sum(r["grown_shard"] == 5 for r in rows) / len(rows)
     assert abs(share - 3 / 18) < 0.01
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    keys = spark.range(5000).withColumnRenamed("id", "doc_id")
+    assert S.one_more(S.topology(16)) == S.topology(17)
+    for n in (1, 14, 15, 16, 17, 18):
+        rows = S.assign(keys, n).select("shard", "grown_shard").collect()
+        moved = [r for r in rows if r["shard"] != r["grown_shard"]]
+        assert {r["grown_shard"] for r in moved} == {n} and all(r["shard"] < n for r in rows)
+        assert abs(len(moved) / len(rows) - 1 / (n + 1)) < 0.03
