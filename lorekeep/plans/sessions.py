@@ -113,20 +113,20 @@ def utterance_speakers(spark, sf_dir):
     return V.match_people(mean, prints).select(F.col("vec_id").alias("id"), "distance")
 
 
-@query(f"""with {OBSERVATIONS}, c as (select c_custkey as caller, c_mktsegment <> 'BUILDING' as can_read, c_acctbal > 0 as outward from customer where c_custkey < 50),
+@query(f"""with {OBSERVATIONS}, c as (select c_custkey as caller, c_mktsegment <> 'BUILDING' as can_read, c_acctbal > 0 as outward from customer where c_custkey % 50 = 0),
 v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), o as (select *, session * 8 + turn as vec_id from obs),
-s as (select q.vec_id as caller, v.vec_id, round(list_dot_product(v.e, q.e), 6) as sim from v, (select * from v where vec_id < 50) q),
+s as (select q.vec_id as caller, v.vec_id, round(list_dot_product(v.e, q.e), 6) as sim from v, (select * from v where vec_id % 50 = 0) q),
 r as (select *, row_number() over (partition by caller order by sim desc, vec_id) as place from s qualify place <= 10)
-select c.caller, case when not can_read then 'may not read' when not outward then 'held back' else 'released' end as decision, case when can_read and outward then place end as place, case when can_read and outward then o.id end as id, case when can_read and outward then person || ': ' || substr(text, 1, 40) end as line
+select c.caller, case when not can_read then 'may not read' when not outward then 'held back' else 'released' end as decision, case when can_read and outward then place end as place, case when can_read and outward then o.id end as id, case when can_read and outward then person || ': ' || text end as line
 from c left join r on r.caller = c.caller and can_read and outward left join o on o.vec_id = r.vec_id""")
 def memory_searched(spark, sf_dir):
-    """Fifty callers ask, each with a vector of its own: those who may read and to whom things may go get the ten nearest observations as lines, the others the reason. The queries are a stated set of fifty, held against all rows."""
+    """Every fiftieth caller asks, with the vector of its number: those who may read and to whom things may go get the ten nearest observations as lines, the others the reason. Held against all rows."""
     obs, v = observations(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    callers = table(spark, sf_dir, "customer").where("c_custkey < 50").selectExpr("c_custkey as caller", "c_mktsegment != 'BUILDING' as can_read", "c_acctbal > 0 as outward")
+    callers = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey as caller", "c_mktsegment != 'BUILDING' as can_read", "c_acctbal > 0 as outward")
     decided = callers.withColumn("decision", first_match((~F.col("can_read"), "may not read"), (~F.col("outward"), "held back"), default="released"))
-    asked = v.where("vec_id < 50").select(F.col("vec_id").alias("caller"), "embedding")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("caller"), "embedding")
     hits = V.top_k_each(v, asked, 10)
-    lines = obs.select("id", F.expr("session * 8 + turn as vec_id"), F.concat("person", F.lit(": "), F.substring("text", 1, 40)).alias("line"))
+    lines = obs.select("id", F.expr("session * 8 + turn as vec_id"), F.concat("person", F.lit(": "), "text").alias("line"))
     shown = hits.join(lines, "vec_id", "left").select("caller", "place", "id", "line")
     out = decided.where("decision = 'released'").join(shown, "caller", "left").select("caller", "decision", "place", "id", "line")
     return out.unionByName(decided.where("decision != 'released'").select("caller", "decision"), allowMissingColumns=True)
