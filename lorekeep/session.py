@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,3 +42,19 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return spark
+
+
+#: Folders of the shared one that only a query's run needs. Stores, archives, baselines and people are kept unless they are named.
+PASSING = ("lorekeep", "stream", "live", "conversations", "recordings")
+
+
+def cleared(spark: SparkSession, kinds: tuple[str, ...] = PASSING) -> int:
+    """Removes what finished queries have left in the shared folder, once their results are written elsewhere; how many folders. No query may be running."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs, gone = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), 0
+    for status in fs.listStatus(top) if fs.exists(top) else []:
+        name = status.getPath().getName()
+        if name == "lorekeep" and name in kinds or re.fullmatch(rf"(?:{'|'.join(kinds)})-[0-9a-f]{{32}}", name):
+            gone += fs.delete(status.getPath(), True)
+    return gone
