@@ -212,7 +212,7 @@ def test_nothing_comes_of_empty_tables(spark):
     empty = lambda schema: spark.createDataFrame([], schema)
     words = empty("id long, speaker long, end double, loud double, suspect boolean")
     assert sessions.recent_medians(words, "speaker").isEmpty() and sessions.dynamic_range(words, "speaker", "loud").isEmpty()
-    assert nightly.considered(empty("words long, statement string, said string")).isEmpty()
+    assert nightly.considered(empty("id long, words long, lines array<string>, worth boolean, statement string, about string, support string")).isEmpty()
     assert nightly.gold(empty("question long, evidence array<string>"), empty("id string, text string")).isEmpty()
     assert governance.reaped(empty("pid long, at double, event_id long, ended boolean"), 0.0).isEmpty()
     assert store.standing(empty("caller long, tool string, action string, at double, minutes long"), F.lit(0.0)).isEmpty()
