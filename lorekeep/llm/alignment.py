@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +30,7 @@ _B_BITS = 32
 _SPACE = re.compile(r"\s")
 # No token of either tokenizer holds a space behind a sign that isn't white space, so all texts may be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\s*\S)")
+_ODD = rf"(?:^|{Pieces._BLANK}) | {Pieces._BLANK}*\z"
 
 
 def default_pieces() -> str:
@@ -96,31 +96,39 @@ class Aligner:
         of = lambda k: bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
         return [b"" if self.b.is_control(k) or self.b.is_unknown(k) else of(k) for k in range(self.b.get_piece_size())]
 
-    def _ids_b(self, words: list[str]) -> list[list[int]]:
-        """Ids of words behind a space, many in one text where no word has white space of its own; the tokenizer adds the first space."""
-        out, together = [None] * len(words), []
+    def _ids_b(self, words: list[str]) -> list[bytes]:
+        """Ids, two bytes each, of words behind a space, many in one text where no word has white space of its own; the tokenizer adds the first space."""
+        out, together = [b""] * len(words), []
         for k, w in enumerate(words):
             if w and len(self.feed) == 1 and not _SPACE.search(w):
                 together.append(k)
-            else:
-                out[k] = self.b.encode(w) if w else []
+            elif w:
+                out[k] = np.array(self.b.encode(w), "<u2").tobytes()
         for i in range(0, len(together), _TOGETHER):
             some = together[i : i + _TOGETHER]
-            ids = np.array(self.b.encode("\n ".join(words[k] for k in some)))
-            ends = np.flatnonzero(ids == self.feed[0]).tolist()
-            ids = ids.tolist()
-            for k, s, e in zip(some, [-1, *ends], [*ends, len(ids)], strict=True):
-                out[k] = ids[s + 1 : e]
+            ids = np.array(self.b.encode("\n ".join([words[k] for k in some])), "<u2")
+            ends, raw = (2 * np.flatnonzero(ids == self.feed[0])).tolist(), ids.tobytes()
+            for k, s, e in zip(some, [-2, *ends], [*ends, len(raw)], strict=True):
+                out[k] = raw[s + 2 : e]
         return out
 
-    def _learnt(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+    def _learnt(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids of both tokenizers for words behind a space; none where not both give back the word's bytes."""
-        learnt, bytes_a, bytes_b, out = self.a._learn_words(words), self.bytes_a, self.bytes_b, {}
-        for w, y in zip(words, self._ids_b(words), strict=True):
-            raw, x = b" " + w.encode(), learnt[w]
-            same = b"".join([bytes_b[i] for i in y]) == raw and b"".join([bytes_a[i] for i in memoryview(x).cast("H")]) == raw
-            out[w] = (x, array("H", y).tobytes()) if same else (b"", b"")
-        return out
+        learnt = self.a._learn_words(words)
+        ids_a, ids_b, raw = [learnt[w] for w in words], self._ids_b(words), [b" " + w.encode() for w in words]
+        sizes = list(map(len, raw))
+        if all(self._given_back(ids, of, size, raw, sizes) for ids, of, size in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b))):
+            return list(zip(ids_a, ids_b, strict=True))
+        back = lambda ids, of: b"".join([of[i] for i in memoryview(ids).cast("H")])
+        return [(x, y) if back(x, self.bytes_a) == r == back(y, self.bytes_b) else (b"", b"") for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
+
+    @staticmethod
+    def _given_back(ids: list[bytes], of: list[bytes], size: np.ndarray, raw: list[bytes], sizes: list[int]) -> bool:
+        """Whether all words' ids stand for their bytes: the bytes of all together are the same, and each word's are as many as it has."""
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        total = np.concatenate([[0], np.cumsum(size.take(flat))])
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 2)
+        return np.diff(total[ends], prepend=0).tolist() == sizes and b"".join(map(of.__getitem__, flat.tolist())) == b"".join(raw)
 
     def _ids(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         self.memory.turn()
@@ -133,10 +141,10 @@ class Aligner:
                 new.append(k)
             else:
                 known[words[k]] = out[k] = x
-        learnt = self._learnt([words[k] for k in new])
-        for k in new:
-            out[k] = learnt[words[k]]
-        known.update((w, x) for w, x in learnt.items() if len(w) <= LONGEST)
+        for k, x in zip(new, self._learnt([words[k] for k in new]), strict=True):
+            out[k] = x
+            if len(words[k]) <= LONGEST:
+                known[words[k]] = x
         return out
 
     def words(self, words: list[str]) -> dict:
@@ -170,13 +178,28 @@ class Aligner:
             "whole": whole,
         }
 
-    def documents(self, texts: list[str | None]) -> Iterator[tuple]:
-        """Of each text: n_a, n_b, n_groups, n_links, groups_sha256, its distinct pairs and how often each is linked. Texts without tokens give zeros."""
-        split = [_CUT.split(t) if t else [] for t in texts]
+    @staticmethod
+    def _cut(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+        """Distinct words of some texts, and each text's words by their numbers. Only texts with white space beside a space, or a space at an end, need more than a plain split at spaces."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+        full = np.asarray(pc.binary_length(texts)) > 0
+        codes = [np.zeros(0, np.int64)] * len(texts)
+        plain = np.flatnonzero(full & ~odd)
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        coded = split.values.dictionary_encode()
+        words, flat, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().tolist()
+        for k, b, e in zip(plain.tolist(), ends, ends[1:], strict=False):
+            codes[k] = flat[b:e]
         place: dict[str, int] = {}
-        codes = [np.array([place.setdefault(w, len(place)) for w in words], np.int64) for words in split]
-        del split
-        found = self.words(list(place))
+        for k in np.flatnonzero(odd).tolist():
+            codes[k] = len(words) + np.array([place.setdefault(w, len(place)) for w in _CUT.split(texts[k].as_py())], np.int64)
+        return words + list(place), codes
+
+    def documents(self, texts: list[str | None] | pa.Array) -> Iterator[tuple]:
+        """Of each text: n_a, n_b, n_groups, n_links, groups_sha256, its distinct pairs and how often each is linked. Texts without tokens give zeros."""
+        words, codes = self._cut(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        found = self.words(words)
         pairs, local = np.unique(found["pairs"], return_inverse=True)
         local, lines, sizes = local.astype(np.int32), found["groups"], found["n_links"]
         starts = np.cumsum(sizes) - sizes
@@ -237,7 +260,7 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
             i = 0
             while i < len(ids):
                 j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + SLICE, side="right")))
-                rows = list(aligner.documents(texts[i:j].to_pylist()))
+                rows = list(aligner.documents(texts[i:j]))
                 columns = list(zip(*rows, strict=True))
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int64())) for c in columns[5:]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), *[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
