@@ -23,6 +23,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """A vector at unit length. The norm is bound once a row; in the lambda it would be computed for every element."""
+    held = F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n")))
+    return F.get(F.transform(held, lambda s: F.transform(s["v"], lambda x: x / s["n"])), F.lit(0))
+
+
 def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
@@ -59,7 +65,7 @@ def neighbour_mean(vectors: DataFrame) -> DataFrame:
     add = lambda a, b: F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
     total = add(add(F.transform("embedding", lambda x: x.cast("double")), F.col("_prev")), F.col("_next"))
     v = v.select("vec_id", total.alias("t"))
-    return v.select("vec_id", F.transform("t", lambda x: x / F.sqrt(dot(F.col("t"), F.col("t")))).alias("embedding"))
+    return v.select("vec_id", unit(F.col("t")).alias("embedding"))
 
 
 def hybrid(windows: DataFrame, own: DataFrame, questions: DataFrame, query: Sequence[float], limit: int, asked: bool) -> DataFrame:
@@ -90,7 +96,7 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     """The unit mean vector of each label; averages are combined by dimension before the shuffle."""
     mean = vectors.select(label, F.posexplode("embedding")).groupBy(label, "pos").agg(F.avg(F.col("col").cast("double")).alias("m"))
     v = mean.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p")).select(label, F.col("p.m").alias("v"))
-    return v.select(label, F.transform("v", lambda x: F.round(x / F.sqrt(dot(F.col("v"), F.col("v"))), 6)).alias("centroid"))
+    return v.select(label, F.transform(unit(F.col("v")), lambda x: F.round(x, 6)).alias("centroid"))
 
 
 def match_people(probes: DataFrame, prints: DataFrame) -> DataFrame:
