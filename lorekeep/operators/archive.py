@@ -79,13 +79,18 @@ def published(events: DataFrame, most: int) -> DataFrame:
     return events.select("doc_id", size.cast("long").alias("bytes"), (size > most).alias("stub"), F.when(size > most, stub).otherwise(F.col("body")).alias("sent"))
 
 
+def decibels(square: Column) -> Column:
+    """Of a mean square; silence has minus infinity, where log10 alone gives null."""
+    return F.when(square == 0, F.lit(float("-inf"))).otherwise(F.round(10 * F.log10(square), 6))
+
+
 def block_levels(samples: DataFrame, by: str, size: int) -> DataFrame:
     """samples (by, n, value) in blocks of `size` by their number: root mean square in decibels; nulls don't count."""
     rows = samples.groupBy(by, F.floor(F.col("n") / size).alias("block"))
-    return rows.agg(F.round(10 * F.log10(F.avg(F.col("value") * F.col("value"))), 6).alias("db"), F.count("value").alias("n"))
+    return rows.agg(decibels(F.avg(F.col("value") * F.col("value"))).alias("db"), F.count("value").alias("n"))
 
 
 def envelope(samples: DataFrame, by: str, half: int) -> DataFrame:
     """The level around each sample, `half` samples on either side."""
     w = W.partitionBy(by).orderBy("n").rowsBetween(-half, half)
-    return samples.select(by, "n", F.round(10 * F.log10(F.avg(F.col("value") * F.col("value")).over(w)), 6).alias("db"))
+    return samples.select(by, "n", decibels(F.avg(F.col("value") * F.col("value")).over(w)).alias("db"))
