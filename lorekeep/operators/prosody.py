@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,23 +37,71 @@ def mean_sd(n: Column, s: Column, q: Column) -> tuple[Column, Column]:
     return s / F.nullif(n, F.lit(0)), F.when(n >= 2, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
 
 
+def _whole(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Floats as whole numbers of any size over one power of two, and that power: what is reckoned from them is exact."""
+    m, e = np.frexp(x)
+    e = np.where(m == 0, 0, e) - 53
+    least = int(e.min(initial=0))
+    return (m * 2.0**53).astype(np.int64).astype(object) * np.array([1 << k for k in range(int(e.max(initial=least)) - least + 1)], object)[e - least], -least
+
+
+def _others(end: np.ndarray, x: np.ndarray, span: float, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and deviation of the other finite values whose end is in the last `span` seconds, for rows from `begin` of one speaker, in order of end. Sums are exact."""
+    own = np.isfinite(x)
+    v, power = _whole(np.where(own, x, 0.0))
+    sums = [np.concatenate([[0], np.cumsum(w)]) for w in (own.astype(np.int64), v, v * v)]
+    at = slice(begin, None)
+    lo, hi = np.searchsorted(end, end[at] - span, "left"), np.searchsorted(end, end[at], "right")
+    n, s, q = (c[hi] - c[lo] - w[at] for c, w in zip(sums, (own, v, v * v), strict=True))
+    n = n.astype(np.int64)
+    mean, sd = np.full(len(n), np.nan), np.full(len(n), np.nan)
+    one, two = n > 0, n > 1
+    k = n.astype(object)
+    mean[one] = (s[one] / (k[one] * (1 << power))).astype(np.float64)
+    sd[two] = np.sqrt(((q[two] * k[two] - s[two] * s[two]) / (k[two] * (k[two] - 1) * (1 << 2 * power))).astype(np.float64))
+    return n, mean, sd
+
+
 def rolling_z(words: DataFrame, cue: str, span: float = SHORT_TERM_S) -> DataFrame:
-    """For each word the mean and deviation of its speaker's other unsuspect words in the last `span` seconds, and its z.
+    """For each word the mean and deviation of its speaker's other unsuspect words in the last `span` seconds, and its z. Words of the same end are among them.
 
-    A range frame and the word's own value taken off again, in values centred on the speaker's mean, where the difference of
-    sums loses nothing. Words of the same end are in the frame.
+    A speaker's words pass one task in order, of which those of the last `span` seconds are kept. Sums are whole numbers and lose nothing when a word's own value is taken off them,
+    so words that differ little, or not at all, have the deviation that they have. Words without an end have each other.
     """
-    speaker = W.partitionBy("speaker")
-    rows = words.withColumn("_c", F.when(~F.col("suspect"), F.col(cue) - F.avg(F.when(~F.col("suspect"), F.col(cue))).over(speaker)))
-    frame = speaker.orderBy("end").rangeBetween(-int(span), 0)
-    own, x = F.col("_c").isNotNull(), F.coalesce("_c", F.lit(0.0))
-    n = F.count("_c").over(frame) - own.cast("long")
-    s, q = F.coalesce(F.sum("_c").over(frame), F.lit(0.0)) - x, F.coalesce(F.sum(F.col("_c") * F.col("_c")).over(frame), F.lit(0.0)) - x * x
-    rows = rows.withColumns({"st_n": n, "_s": s, "_q": q})
-    mean, sd = mean_sd(F.col("st_n"), F.col("_s"), F.col("_q"))
-    rows = rows.withColumns({"_m": mean, "_sd": F.when(sd > 1e-9, sd)})
-    centre = F.col(cue) - F.col("_c")
-    return rows.select("id", "speaker", "st_n", F.round(F.col("_m") + centre, 9).alias("st_mean"), F.round((F.col("_c") - F.col("_m")) / F.col("_sd"), 6).alias("st_z"))
+    kinds = dict(words.dtypes)
+    out = f"id {kinds['id']}, speaker {kinds['speaker']}, st_n long, m double, sd double, x double"
+    rows = words.select("id", "speaker", F.col("end").isNull().alias("none"), F.coalesce(F.col("end").cast("double"), F.lit(0.0)).alias("end"), F.when(~F.col("suspect"), F.col(cue)).cast("double").alias("x"))
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "speaker").sortWithinPartitions("speaker", "none", "end")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, old = None, 0  # rows still needed, of which the first `old` have been given
+        for pdf in chain(batches, [None]):
+            now = pdf if held is None else held if pdf is None else pd.concat([held, pdf], ignore_index=True)
+            if now is None or not len(now):
+                continue
+            who, none, end = now["speaker"].ne(now["speaker"].shift()).to_numpy() & (now["speaker"].notna() | now["speaker"].shift().notna()).to_numpy(), now["none"].to_numpy(bool), now["end"].to_numpy(np.float64)
+            who[0] = True
+            fresh = who | (none != np.roll(none, 1))
+            first = np.flatnonzero(fresh)
+            last = first[-1]
+            # words of the last end may have others of it in the next batch
+            ready = len(now) if pdf is None else last + int(np.searchsorted(end[last:], end[-1], "left"))
+            x, got = now["x"].to_numpy(np.float64), []
+            for a, b in zip(first, [*first[1:], len(now)], strict=True):
+                stop = min(b, ready)
+                if stop > max(a, old):
+                    got.append(_others(end[a:stop], x[a:stop], span, max(0, old - a)))
+            if got:
+                n, m, sd = (np.concatenate(c) for c in zip(*got, strict=True))
+                given = now.iloc[old:ready]
+                yield pd.DataFrame({"id": given["id"], "speaker": given["speaker"], "st_n": n, "m": pd.array(m, "Float64"), "sd": pd.array(sd, "Float64"), "x": pd.array(x[old:ready], "Float64")})
+            keep = last + int(np.searchsorted(end[last:], end[-1] - span, "left"))
+            held, old = now.iloc[keep:].reset_index(drop=True), max(ready, keep) - keep
+
+    t = dealt.mapInPandas(walk, out).select("id", "speaker", "st_n", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("m", "sd", "x")])
+    mean, sd = F.col("m"), F.when(F.col("sd") > 1e-9, F.col("sd"))
+    return t.select("id", "speaker", "st_n", F.round(F.when(F.col("x").isNotNull(), mean), 9).alias("st_mean"), F.round((F.col("x") - mean) / sd, 6).alias("st_z"))
 
 
 def declination(words: DataFrame, cue: str, least: int = 4) -> DataFrame:

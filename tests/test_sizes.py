@@ -1,6 +1,6 @@
 """Cases that only larger or odder tables than the test tables hold."""
 
-from lorekeep.operators import archive
+from lorekeep.operators import archive, prosody
 
 
 def test_silence_has_a_level_of_minus_infinity(spark):
@@ -8,3 +8,16 @@ def test_silence_has_a_level_of_minus_infinity(spark):
     got = {(r["track"], r["block"]): (r["db"], r["n"]) for r in archive.block_levels(samples, "track", 2).collect()}
     assert got == {("a", 0): (float("-inf"), 2), ("a", 1): (20.0, 2), ("b", 0): (None, 0)}
     assert [r["db"] for r in archive.envelope(samples.where("track = 'a'"), "track", 0).orderBy("n").collect()] == [float("-inf")] * 2 + [20.0] * 2
+
+
+def test_deviation_of_others_that_are_alike(spark):
+    """Copies differ by nothing and near values by little, however far off the word itself is; across batches, speakers, equal ends and words without an end."""
+    rows = [(k, "a", 5.0, 0.3, False) for k in range(3)] + [(3, "a", 6.0, 0.06046, False), (4, "a", 4.0, 0.9, True), (5, "a", 400.0, 0.06048, False), (6, "a", 401.0, 0.06046, False), (7, "a", 402.0, 0.9, False), (8, "b", 402.0, 0.5, False), (9, "b", None, 0.25, False), (10, "b", None, 0.75, False)]
+    words = spark.createDataFrame(rows, "id long, speaker string, end double, dur double, suspect boolean")
+    want = {0: (2, 0.3, None), 1: (2, 0.3, None), 2: (2, 0.3, None), 3: (3, 0.3, None), 4: (0, None, None), 5: (0, None, None), 6: (1, 0.06048, None), 7: (2, 0.06047, 59363.735601), 8: (0, None, None), 9: (1, 0.75, None), 10: (1, 0.25, None)}
+    for size in (10_000, 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert {r["id"]: (r["st_n"], r["st_mean"], r["st_z"]) for r in prosody.rolling_z(words, "dur").collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
