@@ -24,15 +24,15 @@ def _quotes(spark, sf_dir):
     return obs.select("id", F.element_at(F.split("text", "[.] "), -1).alias("text")), obs.select("id", "text")
 
 
-def _pairs(spark, sf_dir):
+def _supported(spark, sf_dir):
     quotes, lines = _quotes(spark, sf_dir)
-    return X.containing(quotes, lines).where("quote != line")
+    return X.supported(quotes, lines)
 
 
 @query(f"with {_PAIRS} select quote, count(*) as n, arg_min(line, (-overlap, line)) as line, round(max(overlap), 6) as overlap from pairs group by quote")
 def supports_found(spark, sf_dir):
     """The last sentence of every turn held against all other turns: how many have four fifths of its words, and the one that has most."""
-    return X.best_support(_pairs(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))
+    return _supported(spark, sf_dir).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"""with {_PAIRS}, b as (select quote as id, any_value(said) as answer, arg_min(line, (-overlap, line)) as line_id, arg_min(text, (-overlap, line)) as line from pairs group by quote),
@@ -42,7 +42,7 @@ select o.id, coalesce(verdict, 'nothing heard') as verdict, case when verdict =
 def answers_composed(spark, sf_dir):
     """The last sentence of every turn as an answer from the other turn that supports it best: the guards' verdict, and its source. Without any support nothing was heard."""
     quotes, lines = _quotes(spark, sf_dir)
-    best = X.best_support(_pairs(spark, sf_dir)).select(F.col("quote").alias("id"), F.col("line").alias("line_id"))
+    best = _supported(spark, sf_dir).select(F.col("quote").alias("id"), F.col("line").alias("line_id"))
     texts = best.join(lines.select(F.col("id").alias("line_id"), F.col("text").alias("line")), "line_id")  # one text for each quote that has any
     return N.answered(quotes.withColumnRenamed("text", "answer").join(texts, "id", "left"))
 

@@ -1,6 +1,8 @@
 """Cases that only larger or odder tables than the test tables hold."""
 
-from lorekeep.operators import archive, prosody
+import random
+
+from lorekeep.operators import archive, prosody, similar
 
 
 def test_silence_has_a_level_of_minus_infinity(spark):
@@ -21,3 +23,17 @@ def test_deviation_of_others_that_are_alike(spark):
             assert {r["id"]: (r["st_n"], r["st_mean"], r["st_z"]) for r in prosody.rolling_z(words, "dur").collect()} == want
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_support_without_pairs_is_that_of_all_pairs(spark, monkeypatch):
+    """The same as by a join of pairs, in one block and in many, with copies, repeated words and ids of lines only."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in "ba ce di fo gu harb kitch morn it's".split() for b in "la me ni ro tu ours".split()]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(0, 30))) for _ in range(90)]
+    lines = spark.createDataFrame([(f"l{k:03}", t) for k, t in enumerate([*texts, *texts[:20], None, ""])], "id string, text string")
+    quotes = spark.createDataFrame([(f"l{k:03}", " ".join(t.split()[-rng.randint(1, 9) :])) for k, t in enumerate(texts)] + [("x", "bala " * 300), ("y", "it was"), ("z", None)], "id string, text string")
+    want = sorted(tuple(r) for r in similar.best_support(similar.containing(quotes, lines).where("quote != line")).collect())
+    for a, b in ((1 << 16, 1 << 18), (16, 64)):
+        monkeypatch.setattr(similar, "LINE_BLOCK", a), monkeypatch.setattr(similar, "QUOTE_BLOCK", b)
+        assert sorted(tuple(r) for r in similar.supported(quotes, lines).collect()) == want and len(want) > 50
