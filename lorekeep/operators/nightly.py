@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..session import with_checkpoints
 from .governance import first_match
-from .guards import MIN_CLAUSE, MIN_OVERLAP, MIN_SUPPORT, borrowed_dates, contained, normal, overlap, similarity, weakest_clause
-from .similar import containing
+from .guards import MIN_CLAUSE, MIN_OVERLAP, MIN_SUPPORT, borrowed_dates, contained, content, normal, overlap, similarity, tokens, weakest_clause
+from .similar import codes, containing
 from .store import Store, linked
 
 #: The fewest words of an episode, the least share of a statement's words that were said, days that one run makes up for, the marker's key.
@@ -94,6 +95,82 @@ def replaced_in_order(pairs: DataFrame) -> DataFrame:
     return dealt.select("about", "new", "old").mapInPandas(fold, f"id {kind}, replaces {kind}")
 
 
+class _Olds:
+    """Beliefs of one subject that may still be replaced, the newest last: their words as numbers, one array for all."""
+
+    def __init__(self):
+        self.name, self.word, self.start, self.ids, self.live = {}, np.zeros(1024, np.int32), [0], [], []
+
+    def numbers(self, codes) -> np.ndarray:
+        return np.fromiter((self.name.setdefault(c, len(self.name)) for c in codes), np.int32)
+
+    def add(self, i, codes) -> None:
+        words = self.numbers(codes)
+        stop = self.start[-1] + len(words)
+        while stop > len(self.word):
+            self.word = np.concatenate([self.word, np.zeros_like(self.word)])
+        self.word[self.start[-1] : stop] = words
+        self.start.append(stop)
+        self.ids.append(i)
+        self.live.append(True)
+
+    def take(self, codes, least: float):
+        """The newest that has `least` of its words among these, which is one no more; None if there is none. Looks at few, then at twice as many as before."""
+        words = self.numbers(codes)
+        there = np.zeros(len(self.name), bool)
+        there[words] = True
+        end, size = len(self.ids), 32
+        while end:
+            begin = max(0, end - size)
+            at = np.array(self.start[begin : end + 1])
+            hit = np.add.reduceat(there[self.word[at[0] : at[-1]]].astype(np.int64), at[:-1] - at[0])
+            good = np.flatnonzero((hit / np.diff(at) >= least) & np.array(self.live[begin:end]))
+            if len(good):
+                k = begin + int(good[-1])
+                self.live[k] = False
+                found = self.ids[k]
+                if len(self.live) > 64 and sum(self.live) * 2 < len(self.live):
+                    self._pack()
+                return found
+            end, size = begin, size * 2
+        return None
+
+    def _pack(self) -> None:
+        kept = [k for k, x in enumerate(self.live) if x]
+        words = [self.word[self.start[k] : self.start[k + 1]] for k in kept]
+        self.word = np.concatenate([*words, np.zeros(1024, np.int32)])
+        self.start, self.ids, self.live = [0, *np.cumsum([len(w) for w in words]).tolist()], [self.ids[k] for k in kept], [True] * len(kept)
+
+
+def replacing(new: DataFrame, old: DataFrame, least: float = SUPERSEDES_MIN) -> DataFrame:
+    """replaced_in_order() of supersedes(new, old with new), without their pairs: (id, replaces) for beliefs (id, about, statement, at) of which none is in both.
+
+    A subject's beliefs pass one task in order of (at, id). Each new one looks for what it replaces among those before it that none has taken yet, the newest
+    first, and seldom far. What is kept is a number for each of their content words.
+    """
+    side = lambda rows, fresh: rows.select("about", "at", "id", F.lit(fresh).alias("fresh"), codes(content(F.col("statement"))).alias("own"), F.array_distinct(codes(tokens(F.col("statement")))).alias("said"))
+    rows = side(old, False).union(side(new, True)).where("about is not null and at is not null")
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "about").sortWithinPartitions("about", "at", "id")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        about, olds = None, _Olds()
+        for pdf in batches:
+            out = []
+            for a, i, fresh, own, said in zip(pdf["about"], pdf["id"], pdf["fresh"], pdf["own"], pdf["said"], strict=True):
+                if a != about:
+                    about, olds = a, _Olds()
+                taken = olds.take(said.tolist(), least) if fresh else None
+                if taken is not None:
+                    out.append((i, taken))
+                if len(own):
+                    olds.add(i, own.tolist())
+            yield pd.DataFrame(out, columns=["id", "replaces"])
+
+    kind = dict(new.dtypes)["id"]
+    return dealt.select("about", "id", "fresh", "own", "said").mapInPandas(fold, f"id {kind}, replaces {kind}")
+
+
 def pending(marker: int | None, today: int, most: int = BACKFILL_DAYS) -> tuple[list[int], int]:
     """Days after the marker up to yesterday, the last `most` of them, and how many older ones are skipped; without a marker yesterday alone."""
     if marker is None:
@@ -122,7 +199,7 @@ def run_day(store: Store, episodes: DataFrame, day: int, mark: bool = True) -> d
         mine = new.select("id", "about", "statement", "at")
         held = c.read("beliefs").select("id", "about", "statement", F.col("formed_at").alias("at")).join(void, "id", "left_anti")
         current = held.join(mine.select("about").distinct(), "about", "left_semi").select(mine.columns)
-        pairs = replaced_in_order(supersedes(mine, current.union(mine))).checkpoint()
+        pairs = replacing(mine, current).checkpoint()
         at = float(day)
         c.append("beliefs", new.select("id", F.lit(None).cast("long").alias("owner"), "statement", "about", F.lit("consolidation").alias("author"), "certainty", F.lit(1.0).alias("weight"), F.col("at").alias("formed_at")))
         came = linked(new.select(F.col("id").cast("string").alias("src"), F.explode("sources").alias("dst")), "came-from", at)

@@ -2,7 +2,7 @@
 
 import random
 
-from lorekeep.operators import archive, prosody, similar
+from lorekeep.operators import archive, nightly, prosody, similar
 
 
 def test_silence_has_a_level_of_minus_infinity(spark):
@@ -37,3 +37,13 @@ def test_support_without_pairs_is_that_of_all_pairs(spark, monkeypatch):
     for a, b in ((1 << 16, 1 << 18), (16, 64)):
         monkeypatch.setattr(similar, "LINE_BLOCK", a), monkeypatch.setattr(similar, "QUOTE_BLOCK", b)
         assert sorted(tuple(r) for r in similar.supported(quotes, lines).collect()) == want and len(want) > 50
+
+
+def test_replacing_is_the_fold_over_all_pairs(spark):
+    rng = random.Random(5)
+    words = "harbour kitchen morning garden window ladder bottle candle marble saddle".split()
+    said = [(k, f"s{k % 3}", " ".join(rng.choices(words, k=rng.randint(0, 6))) or None, float(k // 2 % 60)) for k in range(400)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, about string, statement string, at double")
+    old, new = frame(said[:150]), frame(said[150:])
+    want = sorted(tuple(r) for r in nightly.replaced_in_order(nightly.supersedes(new, old.union(new))).collect())
+    assert sorted(tuple(r) for r in nightly.replacing(new, old).collect()) == want and len(want) > 100
