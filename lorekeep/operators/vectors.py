@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 WINDOW_WEIGHT = 0.75
 OVERSAMPLE = 3
 QUESTION_PENALTY = 0.15
@@ -44,18 +49,47 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id
     return vectors.select(key, F.round(dot(F.col("embedding"), literal(query)), 6).alias("sim")).orderBy(F.desc("sim"), key).limit(k)
 
 
-def top_k_each(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", most_bytes: int = 64 << 20) -> DataFrame:
-    """(caller, vec_id, sim, place) of the k nearest to each vector asked for (caller, embedding), a stated set that is checked to be small and held against all rows.
-
-    Each task keeps the k best of its rows for each caller, so the shuffle moves no more than that from any task.
+#: Vectors that are held in a task against all that are asked for, and similarities that it has at once.
+SEARCH_BLOCK, AT_ONCE = 1 << 14, 1 << 22
+
+
+def _nearest(rows: pd.DataFrame, asked: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
+    """(caller, key, sim) of all rows that can be among the k nearest of these, sim summed in the arrays' order as dot() does."""
+    if not len(rows) or not len(asked):  # a side without rows has no columns either
+        return pd.DataFrame({"caller": [], key: [], "sim": []})
+    (v, n), (q, m) = _matrix(rows["embedding"]), _matrix(asked["q"])
+    width = max(v.shape[1], q.shape[1])
+    v, q = (np.pad(w, ((0, 0), (0, width - w.shape[1]))) for w in (v, q))
+    at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in range(0, len(q), max(1, AT_ONCE // max(len(v), 1))):
+        part = slice(b, b + max(1, AT_ONCE // max(len(v), 1)))
+        s = q[part] @ v.T
+        s[(m[part, None] != n) | np.isnan(s)] = -np.inf
+        least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(s), -np.inf)
+        # similarities count to six places, so what is less by no more may come first
+        w, r = np.nonzero(np.isfinite(s) & (s >= least[:, None] - 2e-6))
+        at.append(r)
+        who.append(w + b)
+    at, who = np.concatenate(at), np.concatenate(who)
+    sim = np.zeros(len(at))
+    for d in range(width):
+        sim = sim + v[at, d] * q[who, d]
+    return pd.DataFrame({"caller": asked["caller"].to_numpy()[who], key: rows[key].to_numpy()[at], "sim": sim})
+
+
+def top_k_each(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """(caller, vec_id, sim, place) of the k nearest to each vector asked for (caller, embedding), held against all rows.
+
+    Blocks of rows meet all that is asked for, by matrix products; each gives the k best of its rows for each caller, and those that rounding may put among
+    them, so the shuffle moves no more than that from any task. Vectors that are null or of another length are near to none.
     """
-    n = asked.count()
-    if n * 1024 * 8 > most_bytes:
-        raise ValueError(f"{n} vectors are too many to ask for at once")
-    pairs = vectors.select(key, "embedding").crossJoin(F.broadcast(asked.select("caller", F.col("embedding").alias("q"))))
-    scored = pairs.select("caller", key, F.round(dot(F.col("embedding"), F.col("q")), 6).alias("sim"))
-    best = scored.withColumn("_k", F.row_number().over(W.partitionBy("caller", F.spark_partition_id()).orderBy(F.desc("sim"), key))).where(F.col("_k") <= k).drop("_k")
-    return best.withColumn("place", F.row_number().over(W.partitionBy("caller").orderBy(F.desc("sim"), key)).cast("long")).where(F.col("place") <= k)
+    blocks = max(1, -(-vectors.count() // SEARCH_BLOCK))
+    rows = vectors.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    each = asked.select("caller", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    schema = f"caller {dict(asked.dtypes)['caller']}, {key} {dict(vectors.dtypes)[key]}, sim double"
+    near = rows.groupBy("block").cogroup(each.groupBy("block")).applyInPandas(lambda a, b: _nearest(a, b, k, key), schema)
+    scored = near.withColumn("sim", F.round("sim", 6))
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("caller").orderBy(F.desc("sim"), key)).cast("long")).where(F.col("place") <= k)
 
 
 def neighbour_mean(vectors: DataFrame) -> DataFrame:
@@ -119,12 +153,90 @@ def match_people(probes: DataFrame, prints: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.col("decision") == "unknown", 0.0).otherwise(F.round(near * apart, 6)))
 
 
+#: Vectors of a label in a block, of which every two meet in a task; steps of distance that are counted before single distances are fetched, to one.
+PAIR_BLOCK, STEPS = 4096, 16_384
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+def _matrix(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in double with their lengths, shorter ones filled up; null ones and null elements are not numbers."""
+    rows = [np.full(1, np.nan) if x is None else np.array(x, np.float64) for x in arrays]
+    size = np.array([len(x) for x in rows], np.int64)
+    out = np.zeros((len(rows), size.max(initial=0)))
+    for k, x in enumerate(rows):
+        out[k, : len(x)] = x
+    return out, size
+
+
+def _distances(pdf: pd.DataFrame, a: int, b: int) -> Iterator[np.ndarray]:
+    """The distances of all pairs of one row of block a and one of block b, in strips; not numbers where there is none."""
+    x, y = pdf[pdf["block"] == a], pdf[pdf["block"] == b]
+    (u, n), (v, m) = _matrix(x["embedding"]), _matrix(y["embedding"])
+    width = max(u.shape[1], v.shape[1])
+    u, v = (np.pad(w, ((0, 0), (0, width - w.shape[1]))) for w in (u, v))
+    i, j = x["id"].to_numpy(), y["id"].to_numpy()
+    for k in range(0, len(u), 256):
+        at = slice(k, k + 256)
+        pairs = i[at, None] < j if a == b else np.broadcast_to(True, (len(i[at]), len(j)))
+        d = 1 - u[at] @ v.T
+        d[n[at, None] != m] = np.nan
+        yield d[pairs]
+
+
 def pair_distances(vectors: DataFrame) -> DataFrame:
-    """Percentiles of the distances of all pairs within a label: a triangular equi-join."""
-    a, b = vectors.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x")), vectors.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    d = a.join(b, "label").where("i < j").select("label", (1 - dot(F.col("x"), F.col("y"))).alias("d"))
-    q = lambda p: F.round(F.percentile("d", F.lit(p)), 6)
-    return d.groupBy("label").agg(F.count("*").alias("pairs"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), F.round(F.avg((F.col("d") > 0.9).cast("double")), 6).alias("far_share"))
+    """Percentiles of the distances of all pairs within a label, exact: every two blocks of its vectors meet in a task.
+
+    Tasks first count distances in STEPS steps to one, which tells in which steps the percentiles lie, then give the distances of those steps alone, equal ones once with their
+    number. So no pair is ever a row, though every one is measured, twice.
+    """
+    rows = vectors.where("label is not null").select("label", F.col("vec_id").alias("id"), "embedding")
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    blocks = rows.join(sizes, "label").select("label", "id", "embedding", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = blocks.withColumn("other", other).select("label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "embedding")
+    kind = dict(rows.dtypes)["label"]
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        label, a, b = key
+        steps, pairs, far, known = Counter(), 0, 0, 0
+        for d in _distances(pdf, a, b):
+            pairs += len(d)
+            d = d[~np.isnan(d)]
+            known, far = known + len(d), far + int((d > 0.9).sum())
+            steps.update(dict(zip(*(x.tolist() for x in np.unique(np.floor(d * STEPS).astype(np.int64), return_counts=True)), strict=True)))
+        out = [(label, s, n, 0, 0, 0) for s, n in steps.items()] + [(label, None, 0, pairs, far, known)]
+        return pd.DataFrame(out, columns=["label", "step", "n", "pairs", "far", "known"]).astype({"step": "Int64"})
+
+    counted = cells.groupBy("label", "a", "b").applyInPandas(count, f"label {kind}, step long, n long, pairs long, far long, known long")
+    with_checkpoints(vectors.sparkSession)
+    counted = counted.groupBy("label", "step").agg(*[F.sum(c).alias(c) for c in ("n", "pairs", "far", "known")]).checkpoint()
+    total = counted.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("pairs", "far", "known")]).where("pairs > 0")
+    place = lambda p: p * (F.col("known") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in QUANTILES])))
+    wanted = total.where("known > 0").select("label", F.explode(ranks).alias("rank"))
+    before = lambda *by: F.coalesce(F.sum("n").over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = counted.where("step is not null").select("label", "step", "n", before("label", "step").alias("before"))  # a label's steps, three times STEPS at most for unit vectors
+    there = wanted.join(steps, "label").where("rank >= before and rank < before + n").select("label", "rank", "step", "before")
+    sought = there.groupBy("label").agg(F.collect_set("step").alias("steps"))  # six at most
+
+    def fetch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        label, a, b = key
+        steps = np.array(pdf["steps"].iloc[0])
+        got = [np.unique(d[np.isin(np.floor(d * STEPS), steps)], return_counts=True) for d in _distances(pdf, a, b)]
+        d, n = (np.concatenate(c) for c in zip(*got, strict=True))
+        return pd.DataFrame({"label": [label] * len(d), "step": np.floor(d * STEPS).astype(np.int64), "d": d, "n": n})
+
+    fetched = cells.join(F.broadcast(sought), "label").groupBy("label", "a", "b").applyInPandas(fetch, f"label {kind}, step long, d double, n long")
+    single = fetched.groupBy("label", "step", "d").agg(F.sum("n").alias("n")).select("label", "step", "d", "n", before("label", "step", "d").alias("within"))
+    exact = there.join(single, ["label", "step"]).where("rank >= before + within and rank < before + within + n").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("rank", "d"))).alias("at"))
+
+    def q(p: float) -> Column:
+        lo, hi = F.floor(place(p)), F.ceil(place(p))
+        low, high = F.element_at("at", lo), F.element_at("at", hi)
+        return F.round(low + (place(p) - lo) * (high - low), 6)
+
+    t = total.join(exact, "label", "left")
+    return t.select("label", "pairs", *[q(p).alias(f"p{int(p * 100)}") for p in QUANTILES], F.round(F.col("far") / F.nullif("known", F.lit(0)), 6).alias("far_share"))
 
 
 def same_label_smoothed(labels: DataFrame, order: str = "pos", by: str = "run") -> DataFrame:

@@ -124,11 +124,12 @@ def memory_searched(spark, sf_dir):
     obs, v = observations(spark, sf_dir), table(spark, sf_dir, "embeddings")
     callers = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey as caller", "c_mktsegment != 'BUILDING' as can_read", "c_acctbal > 0 as outward")
     decided = callers.withColumn("decision", first_match((~F.col("can_read"), "may not read"), (~F.col("outward"), "held back"), default="released"))
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("caller"), "embedding")
+    released = decided.where("decision = 'released'")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("caller"), "embedding").join(released.select("caller"), "caller", "left_semi")
     hits = V.top_k_each(v, asked, 10)
     lines = obs.select("id", F.expr("session * 8 + turn as vec_id"), F.concat("person", F.lit(": "), "text").alias("line"))
     shown = hits.join(lines, "vec_id", "left").select("caller", "place", "id", "line")
-    out = decided.where("decision = 'released'").join(shown, "caller", "left").select("caller", "decision", "place", "id", "line")
+    out = released.join(shown, "caller", "left").select("caller", "decision", "place", "id", "line")
     return out.unionByName(decided.where("decision != 'released'").select("caller", "decision"), allowMissingColumns=True)
 
 

@@ -2,7 +2,10 @@
 
 import random
 
-from lorekeep.operators import archive, nightly, prosody, similar
+import numpy as np
+import pytest
+
+from lorekeep.operators import archive, nightly, prosody, similar, speakers, vectors
 
 
 def test_silence_has_a_level_of_minus_infinity(spark):
@@ -47,3 +50,48 @@ def test_replacing_is_the_fold_over_all_pairs(spark):
     old, new = frame(said[:150]), frame(said[150:])
     want = sorted(tuple(r) for r in nightly.replaced_in_order(nightly.supersedes(new, old.union(new))).collect())
     assert sorted(tuple(r) for r in nightly.replacing(new, old).collect()) == want and len(want) > 100
+
+
+def test_percentiles_of_pairs_without_pairs(spark, monkeypatch):
+    """Blocks, copies, labels of one vector, null vectors and vectors of another length against all pairs."""
+    monkeypatch.setattr(vectors, "PAIR_BLOCK", 8)
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(60, 5))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = [(k, k % 3 if k < 59 else 9, unit[k % 40].tolist()) for k in range(60)] + [(60, 1, None), (61, 1, [1.0])]
+    got = {r["label"]: r for r in vectors.pair_distances(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    for label in range(3):
+        own = [np.array(v) for _, x, v in rows if x == label and v is not None and len(v) == 5]
+        d = [1 - a @ b for k, a in enumerate(own) for b in own[k + 1 :]]
+        n = len([1 for _, x, _ in rows if x == label])
+        r = got[label]
+        assert r["pairs"] == n * (n - 1) // 2
+        assert [r["p10"], r["p50"], r["p90"], r["far_share"]] == pytest.approx([*np.quantile(d, [0.1, 0.5, 0.9]), np.mean(np.array(d) > 0.9)], abs=2e-6)
+    assert set(got) == {0, 1, 2}
+
+
+def test_prints_merge_as_by_measuring_all_each_time():
+    rng = np.random.default_rng(4)
+    prints = [(v, float(s)) for v, s in zip(rng.normal(size=(1500, 6)), rng.uniform(0.2, 2, 1500), strict=True)]
+    held = [(v / np.linalg.norm(v), s * speakers.DECAY) for v, s in prints if s * speakers.DECAY >= speakers.MIN_STRENGTH]
+    v, s = np.stack([x for x, _ in held]), np.array([x for _, x in held])
+    while len(v) > 24:
+        near = v @ v.T
+        np.fill_diagonal(near, -np.inf)
+        i, j = sorted(np.unravel_index(np.argmax(near), near.shape))
+        new = v[i] * s[i] + v[j] * s[j]
+        v, s = np.concatenate([np.delete(v, [i, j], 0), [new / np.linalg.norm(new)]]), np.append(np.delete(s, [i, j]), s[i] + s[j])
+    got = speakers.consolidated(prints)
+    assert [x for _, x in got] == pytest.approx(s.tolist()) and np.allclose([x for x, _ in got], v)
+
+
+def test_search_in_blocks_is_that_of_all(spark, monkeypatch):
+    """Ties after rounding go by id, whatever block they lie in; any number of vectors may be asked for."""
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    rows, asked = [(k, x.tolist()) for k, x in enumerate(v)] + [(300, None)], [(k, v[k].tolist()) for k in range(0, 300, 7)]
+    sets = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(asked, "caller long, embedding array<double>")
+    want = sorted((c, k, p + 1) for c, q in asked for p, (_, k) in enumerate(sorted((-round(float(np.dot(q, x)), 6), k) for k, x in rows if x)[:5]))
+    for block, once in ((1 << 14, 1 << 22), (16, 64)):
+        monkeypatch.setattr(vectors, "SEARCH_BLOCK", block), monkeypatch.setattr(vectors, "AT_ONCE", once)
+        assert sorted((r["caller"], r["vec_id"], r["place"]) for r in vectors.top_k_each(*sets, 5).collect()) == want
