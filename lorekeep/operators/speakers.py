@@ -12,6 +12,8 @@ MIN_SHARE = 0.06
 DECAY = 0.92
 MIN_STRENGTH = 0.25
 MOST_PRINTS = 24
+#: Prints that are held against all others at once.
+STRIP = 512
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -75,17 +77,51 @@ def diarized(windows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def consolidated(prints: list[tuple[np.ndarray, float]], most: int = MOST_PRINTS) -> list[tuple[np.ndarray, float]]:
-    """A person's learned prints (vector, strength) after decay: weak ones go, then the nearest two are merged, weighted by strength, until `most` are left."""
+    """A person's learned prints (vector, strength) after decay: weak ones go, then the nearest two are merged, weighted by strength, until `most` are left. Each print knows its nearest, so a merge measures the new print only, and memory grows with the prints."""
     held = [(v, s * DECAY) for v, s in prints]
     held = [(_unit(np.asarray(v, np.float64)), s) for v, s in held if s >= MIN_STRENGTH]
-    while len(held) > most:
-        v = np.stack([x for x, _ in held])
-        near = v @ v.T
-        np.fill_diagonal(near, -np.inf)
-        i, j = sorted(np.unravel_index(np.argmax(near), near.shape))
-        (a, s), (b, t) = held[i], held[j]
-        held = [x for k, x in enumerate(held) if k not in (i, j)] + [(_unit((a * s + b * t) / (s + t)), s + t)]
-    return held
+    n = len(held)
+    if n <= most:
+        return held
+    # slots in the list's order, merged ones at its end; best holds no less than each slot's nearness to another live one, and exactly that where `sure`
+    slots, strength, live = np.zeros((2 * n - most, len(held[0][0]))), np.zeros(2 * n - most), np.zeros(2 * n - most, bool)
+    slots[:n], strength[:n], live[:n] = [v for v, _ in held], [s for _, s in held], True
+    best, near, sure = np.full(len(live), -np.inf), np.zeros(len(live), np.int64), np.zeros(len(live), bool)
+    for k in range(0, n, STRIP):
+        rows = slots[k : min(k + STRIP, n)] @ slots[:n].T
+        rows[np.arange(len(rows)), np.arange(k, k + len(rows))] = -np.inf
+        near[k : k + len(rows)] = rows.argmax(1)
+        best[k : k + len(rows)] = rows.max(1)
+    sure[:n] = True
+    end, left = n, n
+    while left > most:
+        i = int(np.argmax(best[:end]))
+        if not (sure[i] and live[near[i]]):
+            row = np.where(live[:end], slots[:end] @ slots[i], -np.inf)
+            row[i] = -np.inf
+            near[i], best[i], sure[i] = int(np.argmax(row)), row.max(), True
+            continue
+        i, j = sorted((i, int(near[i])))
+        new = _unit((slots[i] * strength[i] + slots[j] * strength[j]) / (strength[i] + strength[j]))
+        live[[i, j]], best[[i, j]] = False, -np.inf
+        slots[end], strength[end], live[end] = new, strength[i] + strength[j], True
+        row = np.where(live[:end], slots[:end] @ new, -np.inf)
+        nearer = row > best[:end]
+        best[:end][nearer], near[:end][nearer], sure[:end][nearer] = row[nearer], end, True
+        near[end], best[end], sure[end] = int(np.argmax(row)), row.max(), True
+        end, left = end + 1, left - 1
+        if end > 1024 and left * 2 < end:
+            # closes the gaps that merged slots left; a neighbour that is gone is none
+            kept = np.flatnonzero(live[:end])
+            place = np.full(end, -1, np.int64)
+            place[kept] = np.arange(left)
+            room = 2 * left - most
+            sure[kept] &= place[near[kept]] >= 0
+            near = np.concatenate([np.maximum(place[near[kept]], 0), np.zeros(room - left, np.int64)])
+            best, sure = (np.concatenate([x[kept], np.full(room - left, fill, x.dtype)]) for x, fill in ((best, -np.inf), (sure, False)))
+            slots, strength = np.concatenate([slots[kept], np.zeros((room - left, slots.shape[1]))]), np.concatenate([strength[kept], np.zeros(room - left)])
+            live, end = np.arange(room) < left, left
+    return [(slots[k], float(strength[k])) for k in np.flatnonzero(live[:end])]
 
 
 def learned(prints: DataFrame) -> DataFrame:
