@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .lanes import Logic, laned
+
 FRAME_S = 0.032
 THRESHOLD = 0.5
 OPEN_FRAMES = 2
@@ -92,29 +93,27 @@ def gated(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session").applyInPandas(whole, RUN)
 
 
-class Attention(StatefulProcessor):
+class Attention(Logic):
     """Decides by session whether an utterance (session, at, named, request) is addressed: the name opens attention, every addressed utterance in it holds it for ATTENTION_S more."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.until = handle.getValueState("until", "until double")
+    OUT = "session string, at double, addressed boolean"
+    NAMES = ["session", "at", "addressed"]
+    STATE = "until double"
+    ROWS, ORDER = ("at", "named", "request"), ("at",)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.until.get()[0] if self.until.exists() else 0.0
+    def step(self, key, state, rows):
+        until = state[0] if state else 0.0
         out = []
-        for r in pd.concat(list(rows)).sort_values("at").itertuples():
-            addressed = bool(r.named) or (r.at < until and bool(r.request))
-            until = r.at + ATTENTION_S if addressed else until
-            out.append((key[0], r.at, addressed))
-        self.until.update((until,))
-        yield pd.DataFrame(out, columns=["session", "at", "addressed"])
-
-    def close(self) -> None:
-        pass
+        for at, named, request in rows:
+            addressed = bool(named) or (at < until and bool(request))
+            until = at + ATTENTION_S if addressed else until
+            out.append((key, at, addressed))
+        return (until,), out
 
 
 def attended_stream(utterances: DataFrame) -> DataFrame:
     """Utterances of a stream with whether they are addressed. Needs the RocksDB state store."""
-    return utterances.groupBy("session").transformWithStateInPandas(Attention(), "session string, at double, addressed boolean", "Append", "None")
+    return laned(utterances, "session", Attention())
 
 
 def self_heard_stream(utterances: DataFrame, own: DataFrame, lead: float = 0.3, tail: float = 0.6, delay: str = "10 minutes") -> DataFrame:
