@@ -183,4 +183,4 @@ def self_heard_stream(spark, sf_dir):
         own = stream.where("event_type = 'error'").selectExpr("session", "a as c", "a + interval 10 minutes as d")
         return gate.self_heard_stream(said, own, delay="1 hour").writeStream.format("parquet").option("path", f"{base}/out")
 
-    return spark.read.parquet(f"{live.fed(live.slices(e, 'at', 3), start)}/out").groupBy("session", "id").agg(F.count("*").alias("heard"))
+    return spark.read.parquet(f"{live.fed(live.slices(e, 'at', 3), start, settings=live.JOINED)}/out").groupBy("session", "id").agg(F.count("*").alias("heard"))

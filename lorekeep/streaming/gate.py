@@ -20,6 +20,8 @@ PREROLL_FRAMES = 7
 MAX_SEGMENT_S = 12.0
 MIN_SEGMENT_S = 0.2
 ATTENTION_S = 45.0
+#: Hours of the spans within which streams of utterances are joined.
+SPAN_H = 12
 
 
 class Gate:
@@ -117,10 +119,15 @@ def attended_stream(utterances: DataFrame) -> DataFrame:
 
 
 def self_heard_stream(utterances: DataFrame, own: DataFrame, lead: float = 0.3, tail: float = 0.6, delay: str = "10 minutes") -> DataFrame:
-    """Pairs of utterances (session, id, a, b: timestamps) and own speech (session, c, d) that overlap, own speech widened: an interval join of two streams with watermarks, so state is bounded."""
-    u = utterances.withWatermark("a", delay)
-    o = own.select("session", "c", "d").withWatermark("c", delay)
-    widened = F.expr(f"u.session = o.session and b > c - interval {lead} seconds and a < d + interval {tail} seconds and c >= a - interval 1 hour and c <= a + interval 1 hour")
+    """Pairs of utterances (session, id, a, b: timestamps) and own speech (session, c, d) that overlap, own speech widened: an interval join of two streams with watermarks, so state is bounded.
+
+    Both sides are joined within spans of SPAN_H hours, so a row meets its neighbours and not all that its session holds; own speech within an hour of the next span is in both.
+    """
+    hour = 3_600_000_000
+    span = lambda t, by=0: f"(unix_micros({t}) + {by}) div {SPAN_H * hour}"  # noqa: E731  never falls as t grows, which is all that is needed
+    u = utterances.withWatermark("a", delay).withColumn("span", F.expr(span("a")))
+    o = own.select("session", "c", "d").withWatermark("c", delay).withColumn("span", F.explode(F.expr(f"sequence({span('c', -hour)}, {span('c', hour)})")))
+    widened = F.expr(f"u.session = o.session and u.span = o.span and b > c - interval {lead} seconds and a < d + interval {tail} seconds and c >= a - interval 1 hour and c <= a + interval 1 hour")
     return u.alias("u").join(o.alias("o"), widened).select("u.session", "id", "a", "b", "c", "d")
 
 

@@ -1,7 +1,11 @@
+from datetime import datetime, timedelta, timezone
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lorekeep.streaming import gate
 from lorekeep.streaming import live as L
 from lorekeep.streaming.lanes import Lanes, laned
 
@@ -49,6 +53,30 @@ def test_lanes_change_nothing_and_one_timer_does_for_all(spark, lanes):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_streams_joined_within_spans_lose_no_pair(spark):
+    """Around the edges of spans, against all pairs; each part is one batch."""
+    rng = np.random.default_rng(4)
+    edges = [datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(hours=gate.SPAN_H * k) for k in (1, 2, 3, 4, 30)]  # rows before 1970 count as late
+    at = lambda: edges[rng.integers(len(edges))] + timedelta(seconds=int(rng.integers(-4200, 4200)))
+    rows = [(int(rng.integers(2)), k, bool(rng.integers(2)), at()) for k in range(400)]
+    rows.sort(key=lambda r: r[3])
+    e = spark.createDataFrame(rows, "session long, id long, own boolean, a timestamp").withColumn("at", F.unix_millis("a"))
+
+    def start(stream, base):
+        said = stream.where("not own").selectExpr("session", "id", "a", "a + interval 20 minutes as b")
+        own = stream.where("own").selectExpr("session", "a as c", "a + interval 10 minutes as d")
+        return gate.self_heard_stream(said, own, delay="1000 days").writeStream.format("parquet").option("path", f"{base}/out")
+
+    base = L.fed(L.slices(e, "at", 3), start, settings=L.JOINED)
+    out = spark.read.parquet(f"{base}/out")
+    got = sorted((r["id"], r["c"].timestamp()) for r in out.collect())
+    want = [(i, c.timestamp()) for s, i, own, a in rows if not own for t, _, o, c in rows if o and s == t and a + timedelta(minutes=20) > c - timedelta(seconds=0.3) and a < c + timedelta(minutes=10, seconds=0.6) and abs(c - a) <= timedelta(hours=1)]
+    assert got == sorted(want) and len(want) > 100
+    commits = spark.read.text(f"{base}/state/commits").selectExpr("_metadata.file_name as f").distinct().collect()
+    assert len(commits) == 3
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
 def test_a_deadline_at_the_very_watermark_is_not_forgotten(spark):
     """The timer fires at the watermark itself; a timer set anew for that moment would be gone with it."""
     part = lambda *rows: spark.createDataFrame(rows, "caller string, ms long, id long, kind string").selectExpr("caller", f"timestamp_millis(ms + {START}) as at", "id", "kind", f"ms + {START} as ms")
