@@ -6,7 +6,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -57,6 +57,8 @@ _SCALE, _BASE, _ORDINAL = 0.5**BUCKET_BITS, BUCKET_BASE.astype(np.int32), np.ara
 _NEXT = np.array([max(1, k >> 1) for k in range(CONFIDENCE + 1)] + [min(k + 1, CONFIDENCE) for k in range(CONFIDENCE + 1)], np.int32) << 16
 # The coder's 48-bit numbers are kept as doubles, which hold them and all products here exactly.
 _WHOLE, _SHORT, _WORD, _UNWORD, _UNSHORT = 2.0**48, 2.0**32, 2.0**16, 2.0**-16, 2.0**-32
+#: What rows of ranks are longer by in memory: rows a power of two apart would share few places of the processor's caches.
+_PAD = 32
 
 
 class _Lanes:
@@ -109,7 +111,7 @@ class _Lanes:
         """Of slots' contents: what they expect, their confidences, and the parts m2 and m1 of TOTAL for the ids that orders 2 and 1 expect."""
         n = self.lanes
         expected, sure = held & 0xFFFF, held >> 16
-        weight = self.weight.take(self.row8 + sure)
+        weight = self.weight.take(self.row8 + sure, mode="clip")
         m2 = weight[..., n:] * (TOTAL - 2 * FLOOR)
         m2 >>= WEIGHT_BITS
         m1 = (TOTAL - FLOOR) - m2
@@ -128,7 +130,7 @@ class _Lanes:
         expected -= twice
         expected *= same | (sure > 1)
         expected += twice
-        expected |= _NEXT.take(sure + same * np.int32(CONFIDENCE + 1))
+        expected |= _NEXT.take(sure + same * np.int32(CONFIDENCE + 1), mode="clip")
         self.table[at] = expected
         sure[:, :n] *= ~hit2
         j = self.row8 + sure
@@ -148,21 +150,23 @@ def encode_blocks(ranks: np.ndarray, bucket_of: np.ndarray) -> list[bytes]:
     """
     lanes, size = ranks.shape
     model = _Lanes(lanes)
-    room = 2 * size + 4
-    low, width, first = np.zeros(lanes), np.full(lanes, _WHOLE - 1), np.arange(lanes) * room
-    pos, out = first.copy(), np.zeros(lanes * room, np.uint32)
-    columns = np.zeros((size + 2, lanes), np.int32)
-    columns[2:] = ranks.T
+    low, width = np.zeros(lanes), np.full(lanes, _WHOLE - 1)
+    # An epoch's words, two a step at most, and which of them are given off; those that are, with their lanes, in order of time.
+    words, given, lane_of = np.zeros((EPOCH, 2, lanes), np.int32), np.zeros((EPOCH, 2, lanes), bool), np.tile(np.arange(lanes, dtype=np.min_scalar_type(lanes)), 2 * EPOCH)
+    line, lane = [], []
+    columns = np.zeros((EPOCH + 2, lanes), np.int64)
     for t in range(0, size, EPOCH):
-        x = columns[t + 2 : t + 2 + EPOCH]
-        n, b = len(x), bucket_of.take(columns[t + 2 : t + 2 + EPOCH])
+        n = min(EPOCH, size - t)
+        columns[:2], columns[2 : n + 2] = columns[EPOCH:], ranks[:, t : t + n].T
+        x = columns[2 : n + 2].astype(np.int32)
+        b = bucket_of.take(columns[2 : n + 2])
         model.refresh()
-        at = model.places(columns[t + 1 : t + 1 + n].astype(np.int64), columns[t : t + n].astype(np.int64), np.empty((n, 2 * lanes), np.int64))
-        held = model.table.take(at)
+        at = model.places(columns[1 : n + 1], columns[:n], np.empty((n, 2 * lanes), np.int64))
+        held = model.table.take(at, mode="clip")
         expected, _, m2, m1 = model.mix(held)
         is2, is1 = (expected[:, lanes:] == x) & (m2 > 0), (expected[:, :lanes] == x) & (m1 > 0)
         literal, m21 = ~(is1 | is2), m2 + m1
-        z, m0 = model.ends.take(model.row0 + b), TOTAL - m21
+        z, m0 = model.ends.take(model.row0 + b, mode="clip"), TOTAL - m21
         a, z = (z >> 16) * m0 >> SHARES_BITS, (z & 0xFFFF) * m0 >> SHARES_BITS
         z -= a
         a += m21
@@ -176,10 +180,10 @@ def encode_blocks(ranks: np.ndarray, bucket_of: np.ndarray) -> list[bytes]:
             width *= scale[k]
             np.floor(width, out=width)
             low += off[k] * width
-            short = width < _SHORT
+            short = np.less(width, _SHORT, out=given[k, 0])
             word = np.floor(low * _UNSHORT)
-            out[pos] = word  # lanes that give off none write here again
-            pos += short
+            words[k, 0] = word
+            short = short.astype(np.float64)
             word *= short
             word *= _SHORT
             low -= word
@@ -187,24 +191,28 @@ def encode_blocks(ranks: np.ndarray, bucket_of: np.ndarray) -> list[bytes]:
             more += 1
             low *= more
             width *= more
-            short = np.flatnonzero(width < _SHORT)
+            short = np.less(width, _SHORT, out=given[k, 1]).nonzero()[0]
             if len(short):
-                word = np.floor(low[short] * _UNSHORT)
-                out[pos[short]] = word
-                pos[short] += 1
-                low[short] = (low[short] - word * _SHORT) * _WORD
+                word = np.floor(low.take(short) * _UNSHORT)
+                words[k, 1, short] = word
+                low[short] = (low.take(short) - word * _SHORT) * _WORD
                 width[short] *= _WORD
+        off = np.flatnonzero(given[:n])
+        line.append(words.reshape(-1).take(off))
+        lane.append(lane_of.take(off))
         model.learn(at, held, x, b)
     for _ in range(3):
         word = np.floor(low * _UNSHORT)
-        out[pos] = word
+        line.append(word.astype(np.int32))
+        lane.append(lane_of[:lanes])
         low = (low - word * _SHORT) * _WORD
-        pos += 1
-    words, used = out.reshape(lanes, room), pos - first
-    for p in range(int(used.max()) - 1, 0, -1):
-        words[:, p - 1] += words[:, p] >> 16
-    words = words.astype("<u2")
-    return [words[k, : used[k]].tobytes() for k in range(lanes)]
+    lane = np.concatenate(lane)
+    line, ends = np.concatenate(line).take(np.argsort(lane, kind="stable")), (2 * np.cumsum(np.bincount(lane))).tolist()
+    while len(carry := np.flatnonzero(line >> 16)):  # low is below 1 at the start, so no block's first word has any
+        line[carry] &= 0xFFFF
+        line[carry - 1] += 1
+    raw = line.astype("<u2").tobytes()
+    return [raw[b:e] for b, e in zip([0, *ends], ends, strict=False)]
 
 
 def decode_blocks(blocks: list[bytes], size: int, bucket_of: np.ndarray) -> np.ndarray:
@@ -220,14 +228,14 @@ def decode_blocks(blocks: list[bytes], size: int, bucket_of: np.ndarray) -> np.n
     width, pos = np.full(lanes, _WHOLE - 1), np.arange(lanes) * room + 3
     bucket_by_share, share_row = np.zeros(0, np.uint8), np.arange(lanes) << SHARES_BITS
     every = np.tile(np.arange(BUCKETS, dtype=np.uint8), lanes)
-    out = np.zeros((size + 2, lanes), np.int64)
+    out, ranks = np.zeros((EPOCH + 2, lanes), np.int64), np.zeros((lanes, size + _PAD), np.uint16)
     for t in range(0, size, EPOCH):
         n = min(EPOCH, size - t)
         if model.refresh():
             bucket_by_share = np.repeat(every, np.diff(model.share, axis=1).ravel())
-        at, held, bucket = np.empty((n, 2 * lanes), np.int64), np.empty((n, 2 * lanes), np.int32), np.empty((n, lanes), np.int64)
+        at, held, bucket = np.empty((n, 2 * lanes), np.int64), np.empty((n, 2 * lanes), np.int32), np.empty((n, lanes), np.uint8)
         for k in range(n):
-            model.places(out[t + k + 1], out[t + k], at[k])
+            model.places(out[k + 1], out[k], at[k])
             model.table.take(at[k], out=held[k], mode="clip")
             expected, _, m2, m1 = model.mix(held[k])
             m21 = m2 + m1
@@ -241,8 +249,8 @@ def decode_blocks(blocks: list[bytes], size: int, bucket_of: np.ndarray) -> np.n
             goal *= own
             goal += share_row
             b = bucket[k]
-            b[:] = bucket_by_share.take(goal)
-            z = model.ends.take(model.row0 + b)
+            bucket_by_share.take(goal, out=b, mode="clip")
+            z = model.ends.take(model.row0 + b, mode="clip")
             a = z >> 16
             z &= 0xFFFF
             a *= m0
@@ -262,34 +270,36 @@ def decode_blocks(blocks: list[bytes], size: int, bucket_of: np.ndarray) -> np.n
             z += m2
             code -= a * unit
             width = z * unit
-            width *= _SCALE.take(b)
+            width *= _SCALE.take(b, mode="clip")
             np.floor(width, out=width)
             off = np.floor(code / width)
             code -= off * width
             x, second = expected[:lanes], expected[lanes:]
             own_x = off.astype(np.int32)
-            own_x += _BASE.take(b)
+            own_x += _BASE.take(b, mode="clip")
             own_x -= x
             own_x *= own
             second -= x
             second *= by2
             own_x += second
             own_x += x
-            out[t + k + 2] = own_x
+            out[k + 2] = own_x
             short = width < _SHORT
             more = short * (_WORD - 1)
             more += 1
             width *= more
             code *= more
-            code += words.take(pos) * short
+            code += words.take(pos, mode="clip") * short
             pos += short
-            short = np.flatnonzero(width < _SHORT)
+            short = (width < _SHORT).nonzero()[0]
             if len(short):
                 code[short] = code[short] * _WORD + words.take(pos[short])
                 width[short] *= _WORD
                 pos[short] += 1
-        model.learn(at, held, out[t + 2 : t + 2 + n].astype(np.int32), bucket)
-    return out[2:].T
+        model.learn(at, held, out[2 : n + 2].astype(np.int32), bucket)
+        ranks[:, t : t + n] = out[2 : n + 2].T
+        out[:2] = out[EPOCH:]
+    return ranks[:, :size]
 
 
 def _bucket_of(ranks: int) -> np.ndarray:
@@ -303,13 +313,15 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int]) -> bytes:
     count = np.bincount(ids, minlength=1)
     held = np.flatnonzero(count)
     table = held[np.argsort(-count[held], kind="stable")]
-    rank = np.zeros(len(count), np.int64)
+    rank = np.zeros(len(count), np.uint16)
     rank[table] = np.arange(len(table))
     size = max(1, min(BLOCK, len(ids)))
     lanes = -(-len(ids) // size)
-    rows = np.zeros(lanes * size, np.int64)
-    rows[: len(ids)] = rank[ids]
-    blocks = encode_blocks(rows.reshape(lanes, size), _bucket_of(len(table))) if lanes else []
+    rows, ranks = np.zeros((lanes, size + _PAD), np.uint16), rank.take(ids, mode="clip")
+    full = len(ids) // size
+    rows[:full, :size] = ranks[: full * size].reshape(full, size)
+    rows[full:, : len(ids) - full * size] = ranks[full * size :]
+    blocks = encode_blocks(rows[:, :size], _bucket_of(len(table))) if lanes else []
     known = np.array([d is not None for d in doc_ids], np.uint8)
     header = zlib.compress(b"".join([
         struct.pack("<QQIII", len(ids), len(doc_ids), size, len(blocks), len(table)),
@@ -339,7 +351,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, list[int | None], list[int]]:
         if zlib.crc32(b) != s:
             raise ValueError(f"damaged block {k}")
     rows = decode_blocks(blocks, size, _bucket_of(ranks)).reshape(-1)[:n] if lanes else np.zeros(0, np.int64)
-    return table[rows].astype(np.int64) if n else rows, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], sizes.tolist()
+    return table.take(rows).astype(np.int64) if n else rows, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], sizes.tolist()
 
 
 class _Memory:
@@ -364,14 +376,16 @@ class Pieces:
 
     Byte-level BPE first cuts a text into runs that never hold a space after another character, so a text may be cut before any
     space that doesn't stand between two white-space characters (the end of the text counts as one): the pieces' ids joined
-    are the text's ids. A run never goes on from a letter or digit into other signs either, so a piece that ends with ASCII signs after
+    are the text's ids. A run never goes on from a letter, digit or sign into a line feed either; texts in which no white space stands before
+    a line feed are cut there too. Nor does it go on from a letter or digit into other signs, so a piece that ends with ASCII signs after
     an ASCII letter or digit may be cut before them. Words recur far more than texts, so the library encodes each once; many go to it in one text, with a
-    line feed, which is a run of its own before a space and a character, between them. Texts that hold one of the tokenizer's added
-    tokens aren't cut at all. Pieces and words are counted out and ids are joined by array operations over some MB of text at once.
+    line feed, which is a run of its own before one space or none and a character, before each. Texts that hold one of the tokenizer's added
+    tokens aren't cut at all. Pieces and words are counted out, looked up and joined by array operations over some MB of text at once.
     """
 
     # all white space by any of the libraries at hand
-    _BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    _BLANKS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    _BLANK = rf"[{_BLANKS}]"
     _UNSAFE = rf"{_BLANK} (?:{_BLANK}|\z)"
     _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
     _SPACE = re.compile(r"\s")
@@ -386,22 +400,14 @@ class Pieces:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("this tokenizer has ids of 65,536 or more")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.whole = _Memory(REMEMBERED), _Memory(REMEMBERED)
         feed = self._ids("\n")
         self.feed = feed[0] if len(feed) == 1 else None
+        # The memory: texts, a bank of their ids, and which were asked for since some were last forgotten.
+        self.texts, self.bank, self.used = pa.array([], pa.large_string()), _bank([]), np.zeros(0, bool)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def _whole(self, text: str) -> bytes:
-        """Ids of a text that no space goes before."""
-        x = self.whole.find(text)
-        if x is None:
-            x = self._ids(text).tobytes()
-            if len(text) <= LONGEST:
-                self.whole.new[text] = x
-        return x
-
     def _learn_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words after a space, each by itself or, without white space in them, many with line feeds between them, which are found again one for each."""
         out, together = {}, []
@@ -421,85 +427,143 @@ class Pieces:
                 out.update((w, self._ids(" " + w).tobytes()) for w in some)
         return out
 
-    def _after_space(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words that a space goes before."""
-        self.words.turn()
-        known, before = self.words.new, self.words.old.get
-        out, new, i = list(map(known.get, words)), [], -1
-        for _ in range(out.count(None)):
-            i = out.index(None, i + 1)
-            x = before(words[i])
-            if x is None:
-                new.append(i)
-                out[i] = b""
-            else:
-                known[words[i]] = out[i] = x
-        learnt = self._learn_words([words[i] for i in new])
-        for i in new:
-            out[i] = learnt[words[i]]
-        known.update((w, x) for w, x in learnt.items() if len(w) <= LONGEST)
-        return out
-
-    def _pieces_after_space(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that a space goes before, one after another, and how many each has: those of its word and of the signs after it."""
-        words = pc.ascii_rtrim(pieces, self._SIGNS)
-        _, ends, data = words.buffers()
-        ends, data = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-        last = np.where(np.diff(ends) > 0, np.append(data, 0)[ends[1:] - 1], 0)
-        words = pc.if_else(pa.array(self._ENDS[last]), words, pieces)
-        signs = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()
-        ends_so, tails = np.flatnonzero(signs), {}
-        tail_of = [tails.setdefault(p[-n:], len(tails)) for p, n in zip(pieces.take(pa.array(ends_so)).to_pylist(), signs[ends_so].tolist(), strict=True)]
-        coded = words.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        blobs = [b"", *self._after_space(words), *map(self._whole, tails)]
-        code = np.zeros((len(pieces), 2), np.int64)
-        code[:, 0] = coded.indices.to_numpy()
-        code[:, 0] += 1
-        code[ends_so, 1] = tail_of
-        code[ends_so, 1] += 1 + len(words)
-        ids, ends = _joined(*_bank(blobs), code.ravel())
-        return ids, np.diff(ends[1::2], prepend=0)
+    def _learn(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A bank of distinct texts: those without white space but one space or line feed in front go to the library together."""
+        start, size, alone, banks, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.ones(len(texts), bool), [], 0
+        if self.feed is not None:
+            alone = ~np.asarray(pc.match_substring_regex(texts, rf"\A[\n ]?[^{self._BLANKS}]+\z"))
+        some = np.flatnonzero(~alone)
+        if len(some):
+            words = texts.take(pa.array(some))
+            fed = np.asarray(pc.starts_with(words, "\n"))
+            ends = np.append(np.arange(0, len(some), _TOGETHER), len(some))
+            lines = _regrouped(pc.if_else(pa.array(fed), words, _after("\n", words)), lambda at: at[ends]).to_pylist()
+            for b, e, x in zip(ends.tolist(), ends[1:].tolist(), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=False):
+                ids = np.array(x.ids, "<u2")
+                at = np.flatnonzero(ids == self.feed)
+                if len(at) != e - b:
+                    alone[some[b:e]] = True
+                    continue
+                begin = at + ~fed[b:e]
+                start[some[b:e]], size[some[b:e]] = begin + n, np.append(at[1:], len(ids)) - begin
+                banks.append(ids)
+                n += len(ids)
+        some = np.flatnonzero(alone)
+        for k, x in zip(some.tolist(), self.tokenizer.encode_batch_fast(texts.take(pa.array(some)).to_pylist(), add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u2")
+            start[k], size[k] = n, len(ids)
+            banks.append(ids)
+            n += len(ids)
+        return np.concatenate([np.zeros(0, "<u2"), *banks]), start, size
+
+    def _find(self, texts: pa.Array) -> np.ndarray:
+        """Where in the memory distinct texts stand; new ones are learnt."""
+        at = pc.index_in(texts, value_set=self.texts)
+        new = texts.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.texts) + np.arange(len(new))
+        ids, start, size = self._learn(new)
+        self.bank = tuple(map(np.concatenate, zip(self.bank, (ids, start + len(self.bank[0]), size), strict=True)))
+        self.texts, self.used = pa.concat_arrays([self.texts, new]), np.append(self.used, np.zeros(len(new), bool))
+        self.used[at] = True
+        return at
+
+    def _forget(self) -> None:
+        """Keeps what was asked for since the last time and isn't long, when there is more than REMEMBERED."""
+        if len(self.texts) <= REMEMBERED:
+            return
+        kept = np.flatnonzero(self.used & (pc.binary_length(self.texts).to_numpy() <= LONGEST))
+        ids, ends = _joined(*self.bank, kept)
+        size = self.bank[2].take(kept)
+        self.texts, self.bank, self.used = self.texts.take(pa.array(kept)), (ids, ends - size, size), np.zeros(len(kept), bool)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A bank of pieces, of which each is its word and the signs after it."""
+        words, data = pc.binary_length(pc.ascii_rtrim(pieces, self._SIGNS)).to_numpy(), pieces.buffers()[2]
+        raw = np.append(np.frombuffer(data, np.uint8) if data else [], 0).astype(np.uint8)
+
+        def cut(at: np.ndarray) -> np.ndarray:
+            ends = at[:-1] + words
+            return np.append(np.stack([at[:-1], np.where((words > 0) & self._ENDS[raw[ends - 1]], ends, at[1:])], axis=1).ravel(), at[-1])
+
+        coded = _regrouped(pieces, cut).dictionary_encode()
+        ids, ends = _joined(*self.bank_of(coded.dictionary), coded.indices.to_numpy())
+        begin = np.append(0, ends[1::2])
+        return ids, begin[:-1], np.diff(begin)
+
+    def bank_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A bank of distinct texts, by the memory."""
+        at = self._find(texts)
+        ids, start, size = self.bank
+        return ids, start.take(at), size.take(at)
+
+    @staticmethod
+    def _split(texts: pa.Array, feeds: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of texts cut before spaces and, if asked for, line feeds: the pieces, each text's in order by their numbers, and where each text's begin."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n") if feeds else texts, " ")
+        begin, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        pieces = _after(" ", coded.dictionary)
+        if feeds:
+            pieces = pc.if_else(pc.starts_with(coded.dictionary, "\n"), coded.dictionary, pieces)
+        code = coded.indices.to_numpy().astype(np.int64)
+        code[begin[:-1]] = len(pieces) + np.arange(len(texts))
+        return pa.concat_arrays([pieces, split.values.take(pa.array(begin[:-1]))]), code, begin
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Each text's ids, two bytes each, little-endian."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        self.whole.turn()
+        self._forget()
         special = np.zeros(len(texts), bool)
         for token in self.added:
             special |= np.asarray(pc.match_substring(texts, token))
         unsafe = np.asarray(pc.match_substring_regex(texts, self._UNSAFE)) & ~special
+        feeds = ~np.asarray(pc.match_substring_regex(texts, rf"{self._BLANK}\n"))
         out = [b""] * len(texts)
         for k in np.flatnonzero(special).tolist():
             out[k] = self._ids(texts[k].as_py()).tobytes()
-        for k in np.flatnonzero(unsafe).tolist():
-            out[k] = b"".join(self._whole(p) for p in self._CUT.split(texts[k].as_py()) if p)
-        cut = np.flatnonzero(~(special | unsafe))
-        if not len(cut):
+        groups = []
+        if (own := np.flatnonzero(unsafe)).size:
+            cut = [[p for p in self._CUT.split(t) if p] for t in texts.take(pa.array(own)).to_pylist()]
+            begin = np.append(0, np.cumsum(list(map(len, cut))))
+            groups.append((own, pa.array([p for c in cut for p in c], pa.large_string()), np.arange(begin[-1]), begin))
+        for which in (feeds, ~feeds):
+            if (own := np.flatnonzero(which & ~(special | unsafe))).size:
+                groups.append((own, *self._split(texts.take(pa.array(own)) if len(own) < len(texts) else texts, which is feeds)))
+        if not groups:
             return out
-        split = pc.split_pattern(texts.take(pa.array(cut)) if len(cut) < len(texts) else texts, " ")
-        begin, coded, first = split.offsets.to_numpy(), split.values.dictionary_encode(), {}
-        ids, size = self._pieces_after_space(coded.dictionary)
-        code = coded.indices.to_numpy().astype(np.int64)
-        code[begin[:-1]] = [len(size) + first.setdefault(t, len(first)) for t in split.values.take(pa.array(begin[:-1])).to_pylist()]
-        first_ids, first_size = _bank(list(map(self._whole, first)))
-        ids, ends = _joined(np.concatenate([ids, first_ids]), np.concatenate([size, first_size]), code)
-        ends = np.concatenate([[0], ends]).take(begin).tolist()
-        for k, b, e in zip(cut.tolist(), ends, ends[1:], strict=False):
-            out[k] = ids[b:e].tobytes()
+        bank, before = self._pieces(pa.concat_arrays([pieces for _, pieces, _, _ in groups])), 0
+        for own, pieces, code, begin in groups:
+            ids, ends = _joined(*bank, code + before)
+            before += len(pieces)
+            ends = np.append(0, ends).take(begin).tolist()
+            for k, b, e in zip(own.tolist(), ends, ends[1:], strict=False):
+                out[k] = ids[b:e].tobytes()
         return out
 
 
-def _bank(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' ids one after another, and how many each has."""
-    return np.frombuffer(b"".join(texts), "<u2"), np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+def _after(mark: str, texts: pa.Array) -> pa.Array:
+    kind = pa.large_string()
+    return pc.binary_join_element_wise(pa.scalar(mark, kind), texts, pa.scalar("", kind))
+
+
+def _regrouped(texts: pa.Array, ends: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """The same characters in other texts; ends makes their offsets of the former ones."""
+    _, at, data = texts.buffers()
+    ends = ends(np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1])
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), data or pa.py_buffer(b""))
+
+
+def _bank(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' ids one after another, where each text's begin, and how many it has."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+    return np.frombuffer(b"".join(texts), "<u2"), np.cumsum(size) - size, size
 
 
-def _joined(ids: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts in code, one after another, and where each ends; ids and size are a bank."""
+def _joined(ids: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts in code, one after another, and where each ends; ids, start and size are a bank."""
     sizes = size.take(code)
     ends = np.cumsum(sizes)
-    at = np.repeat((np.cumsum(size) - size).take(code) - (ends - sizes), sizes)
+    at = np.repeat(start.take(code) - (ends - sizes), sizes)
     at += np.arange(len(at))
     return ids.take(at), ends
 

@@ -92,3 +92,37 @@ def test_tables_compress_better_than_halved_ones(monkeypatch):
     monkeypatch.setattr(C, "_SLOTS", (1 << 11) - 1)
     monkeypatch.setattr(C, "EPOCH", 64)
     assert len(whole) < len(C.pack(ids, [1], [len(ids)]))
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_words_beside_line_feeds_go_to_the_library_together():
+    p = C.Pieces(C.default_tokenizer())
+    texts = [" ".join(f"wo{chr(97 + k // 26)}{chr(97 + k % 26)}rt{n}.\nNext{chr(97 + k // 26)}{chr(97 + k % 26)}{n}" for k in range(100)) for n in range(4)]
+    p.tokenizer = Counted(p.tokenizer)
+    got = p.encode(texts)
+    assert p.tokenizer.texts < 40
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain(p, t) for t in texts]
+    p.tokenizer.texts = 0
+    assert p.encode(texts) == got and p.tokenizer.texts == 0
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(C, "REMEMBERED", 20)
+    p = C.Pieces(C.default_tokenizer())
+    for n in range(6):
+        texts = [f"a{n}. b{n}\nc{n} {k}x\n\n d\r\ne \n{'long' * 30}{n}" for k in range(30)] + ["", "a  ", "<|endoftext|> a"]
+        assert [np.frombuffer(x, "<u2").tolist() for x in p.encode(texts)] == [plain(p, t) for t in texts]
+        assert len(p.texts) < 200
