@@ -23,8 +23,8 @@ from .common import written
 BLOCK = 4096
 SEGMENT = 8 << 20
 END_ID = 2
-#: Entries of one generation of a worker's memories, the characters of the longest, and words that go to the library together.
-REMEMBERED = 400_000
+#: Words beyond which a worker forgets those not asked for of late (each takes some 40 bytes), the bytes of the longest, and words that go to the library together.
+REMEMBERED = 1_200_000
 LONGEST = 64
 _TOGETHER = 100
 
@@ -402,8 +402,8 @@ class Pieces:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self._ids("\n")
         self.feed = feed[0] if len(feed) == 1 else None
-        # The memory: texts, a bank of their ids, and which were asked for since some were last forgotten.
-        self.texts, self.bank, self.used = pa.array([], pa.large_string()), _bank([]), np.zeros(0, bool)
+        # The memory: texts, their ids, two bytes each, and which were asked for since some were last forgotten.
+        self.texts, self.ids, self.used = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
@@ -427,34 +427,29 @@ class Pieces:
                 out.update((w, self._ids(" " + w).tobytes()) for w in some)
         return out
 
-    def _learn(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A bank of distinct texts: those without white space but one space or line feed in front go to the library together."""
-        start, size, alone, banks, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.ones(len(texts), bool), [], 0
+    def _learn(self, texts: pa.Array) -> pa.Array:
+        """Ids of distinct texts: those without white space but one space or line feed in front go to the library together."""
+        alone = np.ones(len(texts), bool)
         if self.feed is not None:
             alone = ~np.asarray(pc.match_substring_regex(texts, rf"\A[\n ]?[^{self._BLANKS}]+\z"))
-        some = np.flatnonzero(~alone)
-        if len(some):
-            words = texts.take(pa.array(some))
-            fed = np.asarray(pc.starts_with(words, "\n"))
-            ends = np.append(np.arange(0, len(some), _TOGETHER), len(some))
-            lines = _regrouped(pc.if_else(pa.array(fed), words, _after("\n", words)), lambda at: at[ends]).to_pylist()
-            for b, e, x in zip(ends.tolist(), ends[1:].tolist(), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=False):
-                ids = np.array(x.ids, "<u2")
-                at = np.flatnonzero(ids == self.feed)
-                if len(at) != e - b:
-                    alone[some[b:e]] = True
-                    continue
-                begin = at + ~fed[b:e]
-                start[some[b:e]], size[some[b:e]] = begin + n, np.append(at[1:], len(ids)) - begin
-                banks.append(ids)
-                n += len(ids)
-        some = np.flatnonzero(alone)
-        for k, x in zip(some.tolist(), self.tokenizer.encode_batch_fast(texts.take(pa.array(some)).to_pylist(), add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, "<u2")
-            start[k], size[k] = n, len(ids)
-            banks.append(ids)
-            n += len(ids)
-        return np.concatenate([np.zeros(0, "<u2"), *banks]), start, size
+        words = texts.take(pa.array(np.flatnonzero(~alone)))
+        fed = np.asarray(pc.starts_with(words, "\n"))
+        ends = np.append(np.arange(0, len(words), _TOGETHER), len(words))
+        lines = _regrouped(pc.if_else(pa.array(fed), words, _after("\n", words)), lambda at: at[ends])
+        got = self._all_ids(lines)
+        right = np.array([np.count_nonzero(x == self.feed) for x in got], np.int64) == np.diff(ends)
+        of_right = np.repeat(right, np.diff(ends))
+        alone[np.flatnonzero(~alone)[~of_right]] = True
+        ids, fed = np.concatenate([np.zeros(0, "<u2"), *(x for x, r in zip(got, right, strict=True) if r)]), fed[of_right]
+        at = np.flatnonzero(ids == self.feed) if len(fed) else np.zeros(0, np.int64)
+        at = 2 * np.append(np.stack([at, at + ~fed], axis=1).ravel(), len(ids))
+        together = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(ids)]).take(pa.array(np.arange(1, len(at), 2)))
+        own = pa.array([x.tobytes() for x in self._all_ids(texts.filter(pa.array(alone)))], pa.large_binary())
+        place = np.argsort(np.append(np.flatnonzero(~alone), np.flatnonzero(alone)))
+        return pa.concat_arrays([together, own]).take(pa.array(place))
+
+    def _all_ids(self, texts: pa.Array) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
 
     def _find(self, texts: pa.Array) -> np.ndarray:
         """Where in the memory distinct texts stand; new ones are learnt."""
@@ -462,9 +457,8 @@ class Pieces:
         new = texts.filter(at.is_null())
         at = at.fill_null(-1).to_numpy().astype(np.int64)
         at[at < 0] = len(self.texts) + np.arange(len(new))
-        ids, start, size = self._learn(new)
-        self.bank = tuple(map(np.concatenate, zip(self.bank, (ids, start + len(self.bank[0]), size), strict=True)))
-        self.texts, self.used = pa.concat_arrays([self.texts, new]), np.append(self.used, np.zeros(len(new), bool))
+        self.ids, self.texts = pa.concat_arrays([self.ids, self._learn(new)]), pa.concat_arrays([self.texts, new])
+        self.used = np.append(self.used, np.zeros(len(new), bool))
         self.used[at] = True
         return at
 
@@ -472,13 +466,11 @@ class Pieces:
         """Keeps what was asked for since the last time and isn't long, when there is more than REMEMBERED."""
         if len(self.texts) <= REMEMBERED:
             return
-        kept = np.flatnonzero(self.used & (pc.binary_length(self.texts).to_numpy() <= LONGEST))
-        ids, ends = _joined(*self.bank, kept)
-        size = self.bank[2].take(kept)
-        self.texts, self.bank, self.used = self.texts.take(pa.array(kept)), (ids, ends - size, size), np.zeros(len(kept), bool)
+        kept = pa.array(np.flatnonzero(self.used & (pc.binary_length(self.texts).to_numpy() <= LONGEST)))
+        self.texts, self.ids, self.used = self.texts.take(kept), self.ids.take(kept), np.zeros(len(kept), bool)
 
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A bank of pieces, of which each is its word and the signs after it."""
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces, of which each is its word and the signs after it."""
         words, data = pc.binary_length(pc.ascii_rtrim(pieces, self._SIGNS)).to_numpy(), pieces.buffers()[2]
         raw = np.append(np.frombuffer(data, np.uint8) if data else [], 0).astype(np.uint8)
 
@@ -487,15 +479,8 @@ class Pieces:
             return np.append(np.stack([at[:-1], np.where((words > 0) & self._ENDS[raw[ends - 1]], ends, at[1:])], axis=1).ravel(), at[-1])
 
         coded = _regrouped(pieces, cut).dictionary_encode()
-        ids, ends = _joined(*self.bank_of(coded.dictionary), coded.indices.to_numpy())
-        begin = np.append(0, ends[1::2])
-        return ids, begin[:-1], np.diff(begin)
-
-    def bank_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A bank of distinct texts, by the memory."""
-        at = self._find(texts)
-        ids, start, size = self.bank
-        return ids, start.take(at), size.take(at)
+        at = self._find(coded.dictionary)
+        return _regrouped(self.ids.take(pa.array(at[coded.indices.to_numpy()])), lambda at: at[::2])
 
     @staticmethod
     def _split(texts: pa.Array, feeds: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -531,13 +516,12 @@ class Pieces:
                 groups.append((own, *self._split(texts.take(pa.array(own)) if len(own) < len(texts) else texts, which is feeds)))
         if not groups:
             return out
-        bank, before = self._pieces(pa.concat_arrays([pieces for _, pieces, _, _ in groups])), 0
+        ids, before = self._pieces(pa.concat_arrays([pieces for _, pieces, _, _ in groups])), 0
         for own, pieces, code, begin in groups:
-            ids, ends = _joined(*bank, code + before)
+            joined = _regrouped(ids.take(pa.array(code + before)), lambda at, begin=begin: at[begin])
             before += len(pieces)
-            ends = np.append(0, ends).take(begin).tolist()
-            for k, b, e in zip(own.tolist(), ends, ends[1:], strict=False):
-                out[k] = ids[b:e].tobytes()
+            for k, x in zip(own.tolist(), joined.to_pylist(), strict=True):
+                out[k] = x
         return out
 
 
@@ -547,25 +531,10 @@ def _after(mark: str, texts: pa.Array) -> pa.Array:
 
 
 def _regrouped(texts: pa.Array, ends: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
-    """The same characters in other texts; ends makes their offsets of the former ones."""
+    """The same characters or bytes in other texts; ends makes their offsets of the former ones."""
     _, at, data = texts.buffers()
-    ends = ends(np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1])
-    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), data or pa.py_buffer(b""))
-
-
-def _bank(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts' ids one after another, where each text's begin, and how many it has."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) // 2
-    return np.frombuffer(b"".join(texts), "<u2"), np.cumsum(size) - size, size
-
-
-def _joined(ids: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts in code, one after another, and where each ends; ids, start and size are a bank."""
-    sizes = size.take(code)
-    ends = np.cumsum(sizes)
-    at = np.repeat(start.take(code) - (ends - sizes), sizes)
-    at += np.arange(len(at))
-    return ids.take(at), ends
+    at = np.ascontiguousarray(ends(np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]))
+    return pa.Array.from_buffers(texts.type, len(at) - 1, [None, pa.py_buffer(at), data or pa.py_buffer(b"")])
 
 
 @cache
